@@ -38,15 +38,27 @@ def _windows(toks: Column, n: Column | int, render) -> Column:
 
 
 def phrases(toks: Column, lengths: Column) -> Column:
-    """All windows whose token count is in ``lengths`` (array<int>), one blank between tokens."""
-    return F.flatten(
-        F.transform(
-            lengths,
-            lambda n: F.when(n == 1, toks).otherwise(
-                _windows(toks, n, lambda i: F.array_join(F.slice(toks, i, n), " "))
+    """All windows whose token count is in ``lengths`` (array<int>), one blank between tokens.
+
+    A window of n tokens grows from the window of n - 1 tokens at the same place.
+    """
+
+    def grow(heads: Column, n: Column) -> Column:
+        # heads: windows of n - 1 tokens; all but the last have a next token
+        more = F.size(heads) - 1
+        return F.when(
+            more >= 1,
+            F.zip_with(
+                F.slice(heads, F.lit(1), more),
+                F.slice(toks, n, more),
+                lambda head, tok: F.concat(head, F.lit(" "), tok),
             ),
-        )
-    )
+        ).otherwise(F.array().cast("array<string>"))
+
+    def of_length(n: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(2), n), toks, grow)
+
+    return F.flatten(F.transform(lengths, lambda n: F.when(n == 1, toks).otherwise(of_length(n))))
 
 
 def phrase_heads(toks: Column, shapes: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from techatlas.operators.ranking import top_k
+from techatlas.session import materialize
 
 #: Members up to which a group is handled as one array.
 BLOCK = 64
@@ -83,11 +84,16 @@ def _blocked_pair_counts(links: DataFrame, keys: list[str], block: int) -> DataF
 
 
 def _split(links: DataFrame, group: str, member: str, keys: list[str], block: int):
-    """Distinct links, those of small groups, and those of large groups with the group size."""
-    one = (
+    """Distinct links, those of small groups, and those of large groups with the group size.
+
+    The links are those of the search hits only. They are used many times below, so they are
+    written once.
+    """
+    one = materialize(
         links.select(*keys, F.col(group).alias("_g"), F.col(member).alias("_m"))
         .where("_m is not null")
-        .distinct()
+        .distinct(),
+        "links",
     )
     large = one.groupBy(*keys, "_g").agg(F.count("*").alias("_size")).where(F.col("_size") > block)
     on = [*keys, "_g"]

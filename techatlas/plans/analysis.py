@@ -4,68 +4,69 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from techatlas.operators import aggregate as ag
 from techatlas.operators.codes import code_links_of
 from techatlas.operators.match import match_phrase
+from techatlas.operators.ranking import top_k
+from techatlas.session import materialize
 from techatlas.sources.tables import Tables
 
 RECORD_FIELDS = ["title", "codes"]
 PROJECT_FIELDS = ["title", "objective"]
 
+#: Papers per technology that the impact figures rest on.
+PAPER_SAMPLE = 200
+
 
 class Analysis:
-    """Lazy match tables for ``terms`` over ``tables``.
+    """Match tables for ``terms`` over ``tables``.
 
     ``clamp`` cuts the year window of records at their last full year, as the panels do.
-    Only the columns an analysis uses survive column pruning.
+    With ``materialized`` every match table is written once to the shared folder when it is
+    first used; the panels then read the hits, not the corpora. Without it all tables are
+    lazy, and only the columns an analysis uses are carried.
     """
 
-    def __init__(self, tables: Tables, terms: DataFrame, clamp: bool = False):
+    def __init__(self, tables: Tables, terms: DataFrame, clamp: bool = False, materialized: bool = False):
         self.tables = tables
         self.terms = terms
         self.clamp = clamp
-        self._kept: list[DataFrame] = []
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Keep a small, much used table in executor memory or on their disks; it is computed
-        again from its lineage where an executor is lost."""
-        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+        self.materialized = materialized
 
-    def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.materialized else df
 
     @cached_property
     def last_full_record_year(self) -> DataFrame:
-        return ag.last_full_year(self.tables.records, "pub_date")
+        return self.keep(ag.last_full_year(self.tables.records, "pub_date"), "last-year")
 
     @cached_property
     def last_full_project_year(self) -> DataFrame:
-        return ag.last_full_year(self.tables.projects, "start_date")
+        return self.keep(ag.last_full_year(self.tables.projects, "start_date"), "last-year")
 
     @cached_property
-    def record_terms(self) -> DataFrame:
-        if not self.clamp:
-            return self.terms
-        return ag.effective_end_year(self.terms, self.last_full_record_year)
+    def all_records(self) -> DataFrame:
+        """(tech, record columns …) in the window asked for."""
+        columns = self.tables.records.columns
+        if self.materialized:
+            columns = [c for c in columns if c in ("record_id", "country", "pub_year", "family_id", "applicant_countries", "codes")]
+        found = match_phrase(self.tables.records, self.terms, RECORD_FIELDS, columns, "pub_year")
+        return self.keep(found, "records")
 
     @cached_property
     def records(self) -> DataFrame:
-        """(tech, record columns …)"""
-        return match_phrase(
-            self.tables.records, self.record_terms, RECORD_FIELDS, self.tables.records.columns, "pub_year"
-        )
+        """Hits in the window, up to the last full year if clamped."""
+        if not self.clamp:
+            return self.all_records
+        return self.all_records.where(F.col("pub_year") <= self.last_full_record_year.scalar())
 
     @cached_property
     def record_actors(self) -> DataFrame:
         slim = self.records.select("tech", "record_id", "pub_year")
-        return ag.record_actors(slim, self.tables.record_actor)
+        return self.keep(ag.record_actors(slim, self.tables.record_actor), "record-actors")
 
     @cached_property
     def code_links(self) -> DataFrame:
@@ -73,31 +74,26 @@ class Analysis:
 
     @cached_property
     def projects(self) -> DataFrame:
-        return match_phrase(
+        found = match_phrase(
             self.tables.projects, self.terms, PROJECT_FIELDS, self.tables.projects.columns, "start_year"
         )
+        return self.keep(found, "projects")
 
     @cached_property
     def project_orgs(self) -> DataFrame:
         slim = self.projects.select("tech", "project_id", "start_year", "framework")
-        return ag.project_orgs(slim, self.tables.organizations)
+        return self.keep(ag.project_orgs(slim, self.tables.organizations), "project-orgs")
 
     @cached_property
-    def publications(self) -> DataFrame:
-        return match_phrase(
+    def publications_by_year(self) -> DataFrame:
+        found = match_phrase(
             self.tables.publications, self.terms, ["title"], ["publication_id", "year"], "year"
         )
+        return self.keep(found.groupBy("tech", "year").agg(F.count("*").alias("n")), "publications")
 
     @cached_property
     def papers(self) -> DataFrame:
-        """The 200 most cited matching papers per technology (the reported sample)."""
-        from techatlas.operators.ranking import top_k
-
+        """The most cited matching papers per technology (the reported sample)."""
         found = match_phrase(self.tables.papers, self.terms, ["title"], self.tables.papers.columns, "year")
-        return top_k(
-            found.withColumn("citations", F.coalesce("citations", F.lit(0))), 200, "citations", ["paper_id"]
-        )
-
-    @cached_property
-    def publications_by_year(self) -> DataFrame:
-        return self.publications.groupBy("tech", "year").agg(F.count("*").alias("n"))
+        cited = found.withColumn("citations", F.coalesce("citations", F.lit(0)))
+        return self.keep(top_k(cited, PAPER_SAMPLE, "citations", ["paper_id"]), "papers")
