@@ -13,7 +13,7 @@ from techatlas.sources import ingest as ig
 from techatlas.streaming import jobs as st
 
 RECORD_COLUMNS = ["publication_number", "country", "title", "pub_date", "family_id", "applicant_names", "codes"]
-RECORD_SQL = """select concat(country, record_id, 'A1') publication_number, country, coalesce(title, '') title, pub_date, family_id, applicant_names, coalesce(codes, '') codes
+RECORD_SQL = """select concat(country, record_id, 'A1') publication_number, country, coalesce(title, 'Titel') title, pub_date, family_id, applicant_names, coalesce(codes, '') codes
   from records"""
 
 
@@ -42,7 +42,7 @@ def extract_record_fields(c):
 
 oracle(
     "extract_record_fields",
-    """select record_id, concat(country, record_id, 'A1') publication_number, coalesce(title, '') title, pub_year, applicant_countries, 'A01B   1/00   2' ipc_codes from records""",
+    """select record_id, concat(country, record_id, 'A1') publication_number, coalesce(title, 'Titel') title, pub_year, applicant_countries, 'A01B   1/00   2' ipc_codes from records""",
 )
 
 

@@ -214,8 +214,8 @@ GEO = f"""(select tech, country, sum(r)::bigint records, sum(p)::bigint projects
 CITY = f"({ORACLE['orgs_by_city'].removeprefix(BASE)})"
 ORACLE["panel_geographic"] = CLAMPED + panel_sql(
     "",
-    ("@n total_countries", f"(select tech, count(*) n from {GEO} group by 1)"),
-    ("@n total_cities", f"(select tech, count(*) n from {CITY} group by 1)"),
+    ("@c total_countries", f"(select tech, count(*) c from {GEO} group by 1)"),
+    ("@c total_cities", f"(select tech, count(*) c from {CITY} group by 1)"),
     ("@cross_border_share", CROSS),
     ("@s country_distribution", rows(GEO, "total desc, country", "country", "records", "projects", "total")),
     ("@s city_distribution", rows(CITY, "n desc, city, country", "city", "country", "n")),
