@@ -6,7 +6,7 @@ with their own DataFrames of the same columns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,22 +44,28 @@ def terms_table(spark: SparkSession, terms=None) -> DataFrame:
     )
 
 
-def country_code(nationkey: Column | str) -> Column:
-    return F.concat(F.lit("N"), F.char(F.lit(65) + F.col(nationkey) if isinstance(nationkey, str) else F.lit(65) + nationkey))
+def country_code(nationkey: str) -> Column:
+    """Two letters for a nation key."""
+    return F.concat(F.lit("N"), F.char(F.lit(65) + F.col(nationkey)))
 
 
-@dataclass
 class Tables:
-    """The canonical tables of the analyses."""
+    """The canonical tables of the analyses, by name.
 
-    records: DataFrame
-    record_actor: DataFrame
-    record_code: DataFrame
-    projects: DataFrame
-    organizations: DataFrame
-    papers: DataFrame
-    publications: DataFrame
-    lei_reference: DataFrame
+    ``records, record_actor, record_code, projects, organizations, papers, publications,
+    lei_reference`` are given as DataFrames, or as functions that are called on first use.
+    """
+
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._sources:
+            raise AttributeError(name)
+        source = self._sources[name]
+        table = source if isinstance(source, DataFrame) else source()
+        setattr(self, name, table)
+        return table
 
 
 class StarSchema:
@@ -68,9 +74,13 @@ class StarSchema:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # reading the footer for the schema is a job of its own: once per table
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     def order_text(self) -> DataFrame:
         """Text columns per order.
@@ -316,16 +326,11 @@ class StarSchema:
         )
 
     def tables(self) -> Tables:
-        return Tables(
-            records=self.records(),
-            record_actor=self.record_actor(),
-            record_code=self.record_code(),
-            projects=self.projects(),
-            organizations=self.organizations(),
-            papers=self.papers(),
-            publications=self.publications(),
-            lei_reference=self.lei_reference(),
+        names = (
+            "records", "record_actor", "record_code", "projects", "organizations", "papers", "publications",
+            "lei_reference",
         )
+        return Tables(**{n: getattr(self, n) for n in names})
 
 
 def record_code_links(records: DataFrame, level: int = 4, min_codes: int = 2) -> DataFrame:
