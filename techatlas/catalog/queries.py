@@ -22,6 +22,7 @@ from techatlas.operators import sampling as sa
 from techatlas.operators import series as se
 from techatlas.operators import terms as te
 from techatlas.plans.analysis import Analysis
+from techatlas.session import materialize
 from techatlas.sources.tables import StarSchema, terms_table
 
 QUERIES: dict = {}
@@ -91,7 +92,7 @@ class Ctx:
 
     @cached_property
     def jaccard(self) -> DataFrame:
-        return co.code_jaccard(self.an.code_links)
+        return co.code_jaccard_of(self.an.records)
 
 
 def query(fn):
@@ -802,7 +803,8 @@ def connections(c):
 
 
 def _sample_rows(c):
-    return c.an.records.select("tech", F.col("pub_year").alias("year"), "record_id")
+    """Dated hits; sampling passes over them several times, so they are written first."""
+    return materialize(c.an.records.select("tech", F.col("pub_year").alias("year"), "record_id"), "hits")
 
 
 @query
@@ -817,7 +819,7 @@ def strata_report(c):
 
 @query
 def jaccard_confidence(c):
-    links = co.code_links_of(c.an.records)
+    links = materialize(co.code_links_of(c.an.records), "links")
     rows = links.select("tech", F.col("pub_year").alias("year"), "record_id").distinct()
     sampled = sa.stratified_sample(rows, "record_id", 200)
     sample_links = links.join(sampled.select("tech", "record_id"), ["tech", "record_id"], "left_semi")
@@ -869,20 +871,23 @@ def fit_confidence(c):
 
 
 def _network(c):
-    rp = pr.pairs_actors(c.an.record_actors)
-    op = pr.pairs_orgs(c.an.project_orgs)
-    return rp, op, ac.collab_edges(rp, op, c.merged_actors)
+    an = Analysis(c.tables, c.terms(), materialized=True)
+    actors = an.keep(
+        ac.merge_actors(ag.top_actors(an.record_actors, 50), ag.orgs_with_flags(an.project_orgs, 50)), "actors"
+    )
+    rp, op = pr.pairs_actors(an.record_actors), pr.pairs_orgs(an.project_orgs)
+    return actors, rp, op, ac.collab_edges(rp, op, actors)
 
 
 @query
 def collab_network(c):
-    return _network(c)[2]
+    return _network(c)[3]
 
 
 @query
 def collab_network_nodes(c):
-    rp, op, edges = _network(c)
-    return ac.collab_nodes(edges, rp, op, c.merged_actors)
+    actors, rp, op, edges = _network(c)
+    return ac.collab_nodes(edges, rp, op, actors)
 
 
 def _titles(c, typed):

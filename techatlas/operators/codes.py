@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from techatlas.functions.names import code_set
 from techatlas.functions.text import blank_to_null, split_list
-from techatlas.operators.pairs import pairs_codes
+from techatlas.operators.pairs import pairs_codes, pairs_codes_of
 from techatlas.operators.ranking import top_k
 
 
@@ -72,6 +72,12 @@ def code_jaccard(links: DataFrame, n: int = 15) -> DataFrame:
     return jaccard(pairs_codes(links, top), top)
 
 
+def code_jaccard_of(matches: DataFrame, n: int = 15, level: int = 4) -> DataFrame:
+    """``code_jaccard`` for matches that carry their code text."""
+    top = top_codes(code_links_of(matches, level), n)
+    return jaccard(pairs_codes_of(matches, top, level), top)
+
+
 def code_jaccard_window(
     pair_year: DataFrame, code_year: DataFrame, first: int, last: int, n: int = 15
 ) -> DataFrame:

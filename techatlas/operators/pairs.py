@@ -2,8 +2,8 @@
 
 Three rules keep this safe on hot groups, without ever dropping a pair that counts:
 
-* groups of up to ``BLOCK`` members are listed as one sorted array, equal arrays are counted
-  before their pairs are written out, so copies of one record cost one row;
+* groups of up to ``BLOCK`` members are joined with themselves, their pairs are counted before
+  they are shuffled;
 * larger groups are cut into hash blocks; a task sees one pair of blocks, never the group;
 * where only the top ``k`` pairs are asked for, members of large groups that occur too rarely
   to be in any top pair are left out before pairs are formed (``top_pairs``).
@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from techatlas.functions.names import code_set
 from techatlas.operators.ranking import top_k
 from techatlas.session import materialize
 
-#: Members up to which a group is handled as one array.
+#: Members up to which a group counts as small.
 BLOCK = 64
 
 
@@ -42,16 +43,29 @@ def _exploded(df: DataFrame, keys: list[str], weight: Column, pairs: Column) ->
 
 
 def bounded_pair_counts(links: DataFrame, group: str, member: str, keys: list[str]) -> DataFrame:
-    """(keys, a, b, n) where every group holds few members, e.g. of a fixed vocabulary."""
-    sets = (
-        links.where(F.col(member).isNotNull())
-        .groupBy(*keys, group)
-        .agg(F.sort_array(F.collect_set(member)).alias("_members"))
-        .where(F.size("_members") >= 2)
-        .groupBy(*keys, "_members")
-        .agg(F.count("*").alias("_copies"))
+    """(keys, a, b, n) where every group holds few members, e.g. of a fixed vocabulary.
+
+    An equi-join of the links with themselves on the group; with few members per group no
+    group is heavy, and pairs are counted before they are shuffled.
+    """
+    one = (
+        links.select(*keys, F.col(group).alias("_group"), F.col(member).alias("a")).where("a is not null").distinct()
+    )
+    return (
+        one.join(one.withColumnRenamed("a", "b"), [*keys, "_group"])
+        .where("a < b")
+        .groupBy(*keys, "a", "b")
+        .agg(F.count("*").alias("n"))
     )
-    return _exploded(sets, keys, F.col("_copies"), _all_pairs(F.col("_members")))
+
+
+def set_pair_counts(sets: DataFrame, members: str, keys: list[str]) -> DataFrame:
+    """(keys, a, b, n) from one short sorted array of members per row.
+
+    Equal arrays are counted first, so copies of a row cost one row.
+    """
+    counted = sets.where(F.size(members) >= 2).groupBy(*keys, members).agg(F.count("*").alias("_copies"))
+    return _exploded(counted, keys, F.col("_copies"), _all_pairs(F.col(members)))
 
 
 def _blocked_pair_counts(links: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -83,11 +97,12 @@ def _blocked_pair_counts(links: DataFrame, keys: list[str], block: int) -> DataF
     return _exploded(cell_members, keys, F.lit(1), pairs)
 
 
-def _split(links: DataFrame, group: str, member: str, keys: list[str], block: int):
-    """Distinct links, those of small groups, and those of large groups with the group size.
+def _links(links: DataFrame, group: str, member: str, keys: list[str], block: int):
+    """The distinct links, and (keys, _g, _size) of the groups above ``block`` or None.
 
-    The links are those of the search hits only. They are used many times below, so they are
-    written once.
+    The links are those of the search hits only; they are used several times, so they are
+    written once. Whether there are large groups at all is looked up, and most often there are
+    none: then one aggregate does the whole job.
     """
     one = materialize(
         links.select(*keys, F.col(group).alias("_g"), F.col(member).alias("_m"))
@@ -95,17 +110,22 @@ def _split(links: DataFrame, group: str, member: str, keys: list[str], block: in
         .distinct(),
         "links",
     )
-    large = one.groupBy(*keys, "_g").agg(F.count("*").alias("_size")).where(F.col("_size") > block)
-    on = [*keys, "_g"]
-    return one, one.join(large, on, "left_anti"), one.join(large, on)
+    sizes = one.groupBy(*keys, "_g").agg(F.count("*").alias("_size"))
+    large = materialize(sizes.where(F.col("_size") > block), "large-groups")
+    return one, None if large.isEmpty() else large
 
 
 def pair_counts(
     links: DataFrame, group: str, member: str, keys: list[str], block: int = BLOCK
 ) -> DataFrame:
     """(keys, a, b, n): in how many groups a < b occur together. Exact, all pairs."""
-    _, small, large = _split(links, group, member, keys, block)
-    counts = bounded_pair_counts(small, "_g", "_m", keys).unionAll(_blocked_pair_counts(large, keys, block))
+    one, hot = _links(links, group, member, keys, block)
+    if hot is None:
+        return bounded_pair_counts(one, "_g", "_m", keys)
+    on = [*keys, "_g"]
+    counts = bounded_pair_counts(one.join(hot, on, "left_anti"), "_g", "_m", keys).unionAll(
+        _blocked_pair_counts(one.join(hot, on), keys, block)
+    )
     return counts.groupBy(*keys, "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -137,8 +157,12 @@ def top_pairs(links: DataFrame, group: str, member: str, k: int, block: int = BL
     then they are among the first 2k pairs of their group.
     """
     keys = ["tech"]
-    one, small, large = _split(links, group, member, keys, block)
-    small_counts = bounded_pair_counts(small, "_g", "_m", keys)
+    one, hot = _links(links, group, member, keys, block)
+    if hot is None:
+        return top_k(bounded_pair_counts(one, "_g", "_m", keys), k, "n", ["a", "b"])
+    large = one.join(hot, ["tech", "_g"])
+    small = one.join(hot, ["tech", "_g"], "left_anti")
+    small_counts = materialize(bounded_pair_counts(small, "_g", "_m", keys), "small-pairs")
     bound = (
         top_k(small_counts, k, "n", ["a", "b"])
         .groupBy("tech")
@@ -194,6 +218,20 @@ def pairs_codes(links: DataFrame, top: DataFrame) -> DataFrame:
     return bounded_pair_counts(kept, "record_id", "code", ["tech"])
 
 
+def pairs_codes_of(matches: DataFrame, top: DataFrame, level: int = 4, min_codes: int = 2) -> DataFrame:
+    """``pairs_codes`` for matches that carry their code text: every row cuts its codes down to
+    the top codes by itself, so neither records nor links are shuffled."""
+    labels = top.groupBy("tech").agg(F.collect_list("code").alias("_labels"))
+    sets = (
+        matches.where("pub_year is not null")
+        .select("tech", code_set("codes", level).alias("_all"))
+        .where(F.size("_all") >= min_codes)
+        .join(labels, "tech")
+        .select("tech", F.array_intersect("_all", "_labels").alias("_kept"))
+    )
+    return set_pair_counts(sets, "_kept", ["tech"])
+
+
 def pairs_codes_year(links: DataFrame) -> DataFrame:
     """Codes on the same records per year, all codes."""
     return pair_counts(links, "record_id", "code", ["tech", "pub_year"])

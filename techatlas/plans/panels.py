@@ -147,7 +147,7 @@ def code_flow(an: Analysis, dimension: DataFrame, top_n: int = 15) -> DataFrame:
     """Which classification codes occur together; technologies with under two codes have none."""
     links = an.code_links
     top = an.keep(co.top_codes(links, top_n), "top-codes")
-    pairs = an.keep(co.jaccard(pr.pairs_codes(links, top), top), "code-pairs")
+    pairs = an.keep(co.jaccard(pr.pairs_codes_of(an.records, top), top), "code-pairs")
     described = co.describe_code(top.select("code").distinct(), dimension)
     a = described.select(F.col("code").alias("code_a"), F.col("description").alias("description_a"))
     b = described.select(F.col("code").alias("code_b"), F.col("description").alias("description_b"))

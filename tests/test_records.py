@@ -200,3 +200,9 @@ def test_h_index(spark):
         df = spark.createDataFrame([("q", c) for c in cites], "tech string, citations long")
         got = ag.h_index(df).first()
         assert (got["h_index"] if got else 0) == want
+
+
+def test_pairs_from_code_text(quantum):
+    two = co.code_jaccard_of(quantum)
+    assert rows_of(two) == rows_of(co.code_jaccard(co.code_links_of(quantum)))
+    assert rows_of(two) == [("quantum", "G06N", "H01L", 1, 1, 1.0)]
