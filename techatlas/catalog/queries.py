@@ -54,8 +54,9 @@ class Ctx:
         return Analysis(self.tables, self.terms())
 
     @cached_property
-    def panel(self) -> Analysis:
-        return Analysis(self.tables, self.terms(), clamp=True)
+    def hits(self) -> Analysis:
+        """For results that use the same search hits more than once."""
+        return Analysis(self.tables, self.terms(), materialized=True)
 
     # shared intermediate results
     @cached_property
@@ -88,11 +89,17 @@ class Ctx:
 
     @cached_property
     def actor_years(self) -> DataFrame:
-        return ac.actor_years(ag.actors_by_year(self.an.record_actors), ag.orgs_by_year(self.an.project_orgs, None))
+        years = ac.actor_years(ag.actors_by_year(self.an.record_actors), ag.orgs_by_year(self.an.project_orgs, None))
+        return materialize(years, "actor-years")
+
+    @cached_property
+    def kept_actors(self) -> DataFrame:
+        return materialize(self.merged_actors, "actors")
 
     @cached_property
     def jaccard(self) -> DataFrame:
-        return co.code_jaccard_of(self.an.records)
+        top = materialize(co.top_codes(self.hits.code_links), "top-codes")
+        return co.jaccard(pr.pairs_codes_of(self.hits.records, top), top)
 
 
 def query(fn):
@@ -281,7 +288,7 @@ def pairs_countries(c):
 
 @query
 def pairs_codes(c):
-    return pr.pairs_codes(c.an.code_links, co.top_codes(c.an.code_links))
+    return pr.pairs_codes(c.hits.code_links, co.top_codes(c.hits.code_links))
 
 
 @query
@@ -432,7 +439,7 @@ def funding_by_instrument(c):
 
 @query
 def cross_border_share(c):
-    return ag.cross_border_share(c.an.projects, c.an.project_orgs)
+    return ag.cross_border_share(c.hits.projects, c.hits.project_orgs)
 
 
 @query
@@ -540,12 +547,12 @@ def cagr_funding(c):
 
 @query
 def actor_rank_share(c):
-    return ac.rank_share(c.merged_actors).select("tech", "rank", "name", "records", "projects", "total", "share")
+    return ac.rank_share(c.kept_actors).select("tech", "rank", "name", "records", "projects", "total", "share")
 
 
 @query
 def top_share(c):
-    return ac.top_share(ac.rank_share(c.merged_actors, 20), c.merged_actors)
+    return ac.top_share(ac.rank_share(c.kept_actors, 20), c.kept_actors)
 
 
 @query
@@ -737,7 +744,7 @@ def r2_band(c):
 
 @query
 def top3_band(c):
-    return ac.top_share(ac.rank_share(c.merged_actors, 20), c.merged_actors).select("tech", lb.top3_band("top3_share").alias("band"))
+    return ac.top_share(ac.rank_share(c.kept_actors, 20), c.kept_actors).select("tech", lb.top3_band("top3_share").alias("band"))
 
 
 @query
@@ -776,7 +783,7 @@ def code_jaccard(c):
 
 @query
 def code_jaccard_by_year(c):
-    links = c.an.code_links
+    links = c.hits.code_links
     pair_year = pr.pairs_codes_year(links)
     years = co.codes_by_year(links)
     a = years.select("tech", "pub_year", F.col("code").alias("a"), F.col("n").alias("n_a"))
@@ -786,14 +793,14 @@ def code_jaccard_by_year(c):
 
 @query
 def code_jaccard_window(c):
-    links = c.an.code_links
+    links = c.hits.code_links
     return co.code_jaccard_window(pr.pairs_codes_year(links), co.codes_by_year(links), 1997, 1999, 10)
 
 
 @query
 def code_jaccard_matrix(c):
     """Sections as labels: the matrix of first characters."""
-    links = co.code_links_of(c.an.records, level=1)
+    links = co.code_links_of(c.hits.records, level=1)
     return co.code_jaccard_matrix(co.code_jaccard(links), ["E", "L", "M", "P", "S"])
 
 
@@ -842,8 +849,9 @@ def growth_model_select(c):
 
 @query
 def join_fitted_values(c):
-    best = gr.growth_model_select(gr.growth_curve_fit(c.fit_series))
-    return gr.join_fitted_values(c.cumulative, best)
+    series = materialize(c.cumulative, "series")
+    complete = series.where(F.col("year") <= c.an.last_full_record_year.scalar())
+    return gr.join_fitted_values(series, gr.growth_model_select(gr.growth_curve_fit(complete)))
 
 
 @query
@@ -863,8 +871,9 @@ def maturity_phase_heuristic(c):
 
 @query
 def fit_confidence(c):
-    totals = c.fit_series.groupBy("tech").agg(F.count("*").alias("years"), F.max("cumulative").alias("total"))
-    best = gr.growth_model_select(gr.growth_curve_fit(c.fit_series))
+    series = materialize(c.fit_series, "series")
+    totals = series.groupBy("tech").agg(F.count("*").alias("years"), F.max("cumulative").alias("total"))
+    best = gr.growth_model_select(gr.growth_curve_fit(series))
     return best.join(totals, "tech").select(
         "tech", se.fit_confidence(F.col("r2"), F.col("years"), F.col("total")).alias("confidence")
     )

@@ -7,7 +7,7 @@ Inputs are match tables, ``(tech, record_id, …)`` or ``(tech, project_id, …)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from techatlas.functions.names import normalize_actor_name
@@ -15,10 +15,13 @@ from techatlas.functions.text import blank_to_null, split_list
 from techatlas.operators.ranking import top_k
 
 
+def cents(c: Column | str) -> Column:
+    """Amounts with two decimals; their sum does not depend on the order of summation."""
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(20,2)")
+
+
 def money(c: Column | str) -> Column:
-    """Sum of amounts in cents, so the result does not depend on the order of summation."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.sum(col.cast("decimal(20,2)")).cast("double")
+    return F.sum(cents(c)).cast("double")
 
 
 def _distinct(df: DataFrame, keys: list, row_id: str) -> DataFrame:
@@ -43,9 +46,10 @@ def families_by_year(matches: DataFrame) -> DataFrame:
         .groupBy("tech", F.col("pub_year").alias("year"))
         .agg(F.countDistinct("family_id").alias("families"), F.count("*").alias("records"))
     )
-    any_family = yearly.groupBy("tech").agg((F.max("families") > 0).alias("has_family"))
-    n = F.when(F.col("has_family"), F.col("families")).otherwise(F.col("records"))
-    return yearly.join(any_family, "tech").select("tech", "year", n.alias("n")).where("n > 0")
+    # one row per technology and year here, so the window is small
+    most = F.max("families").over(Window.partitionBy("tech"))
+    n = F.when(most > 0, F.col("families")).otherwise(F.col("records"))
+    return yearly.select("tech", "year", n.alias("n")).where("n > 0")
 
 
 def records_by_country(matches: DataFrame, limit: int | None = 20) -> DataFrame:
@@ -271,9 +275,9 @@ def funding_totals(by_year: DataFrame) -> DataFrame:
 
 def programme_shares(by_programme: DataFrame) -> DataFrame:
     """Share of the total funding per programme in percent."""
-    totals = by_programme.groupBy("tech").agg(money("funding").alias("total"))
+    total = F.sum(cents("funding")).over(Window.partitionBy("tech")).cast("double")
     pct = F.coalesce(F.round(F.try_divide(F.col("funding"), F.col("total")) * 100, 1), F.lit(0.0))
-    return by_programme.join(totals, "tech").select("tech", "programme", "funding", pct.alias("pct"))
+    return by_programme.withColumn("total", total).select("tech", "programme", "funding", pct.alias("pct"))
 
 
 def programme_pivot_funding(by_year_programme: DataFrame, programmes: list[str]) -> DataFrame:
@@ -318,11 +322,9 @@ def venue_distribution(papers: DataFrame, limit: int = 8) -> DataFrame:
         .groupBy("tech", "venue")
         .agg(F.count("*").alias("n"))
     )
-    totals = counted.groupBy("tech").agg(F.sum("n").alias("total"))
-    return (
-        top_k(counted, limit, "n", ["venue"])
-        .join(totals, "tech")
-        .select("tech", "venue", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    with_total = counted.withColumn("total", F.sum("n").over(Window.partitionBy("tech")))
+    return top_k(with_total, limit, "n", ["venue"]).select(
+        "tech", "venue", "n", F.round(F.col("n") / F.col("total"), 4).alias("share")
     )
 
 
@@ -352,8 +354,6 @@ def h_index(papers: DataFrame) -> DataFrame:
     Papers are first counted per citation value; the running count from the top then passes
     over distinct values only. h is the best ``min(value, papers with at least that value)``.
     """
-    from pyspark.sql import Window
-
     per_value = papers.groupBy("tech", F.coalesce("citations", F.lit(0)).alias("c")).agg(
         F.count("*").alias("n")
     )

@@ -125,12 +125,17 @@ def growth_curve_fit(series: DataFrame, keys: list[str] | None = None) -> DataFr
     spread = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = packed.repartition(spread, *keys, "model")
     lk_step, u_step = (LN_K_MAX - LN_K_MIN) / (GRID - 1), 1.0 / (GRID - 1)
-    fitted = packed.withColumn("best", _round(F.lit(LN_K_MIN), F.lit(lk_step), F.lit(0.0), F.lit(u_step)))
+    # one expression for all rounds; its grid is given by four columns
+    best = _round(F.col("_lk"), F.col("_lk_step"), F.col("_u"), F.col("_u_step"))
+    fitted = packed.withColumns(
+        {"_lk": F.lit(LN_K_MIN), "_lk_step": F.lit(lk_step), "_u": F.lit(0.0), "_u_step": F.lit(u_step)}
+    ).withColumn("best", best)
     for _ in range(ROUNDS - 1):
-        lk_low = F.col("best.lk") - ZOOM * lk_step
-        u_low = F.col("best.u") - ZOOM * u_step
+        lows = {"_lk": F.col("best.lk") - ZOOM * lk_step, "_u": F.col("best.u") - ZOOM * u_step}
         lk_step, u_step = 2 * ZOOM * lk_step / (GRID - 1), 2 * ZOOM * u_step / (GRID - 1)
-        fitted = fitted.withColumn("best", _round(lk_low, F.lit(lk_step), u_low, F.lit(u_step)))
+        fitted = fitted.withColumns(
+            {**lows, "_lk_step": F.lit(lk_step), "_u_step": F.lit(u_step)}
+        ).withColumn("best", best)
     ss_tot = F.aggregate(
         "points", F.lit(0.0), lambda s, q: s + (q["y"] - F.col("mean_y")) * (q["y"] - F.col("mean_y"))
     )

@@ -17,6 +17,10 @@ from techatlas.sources.tables import Tables
 RECORD_FIELDS = ["title", "codes"]
 PROJECT_FIELDS = ["title", "objective"]
 
+#: What is written of a hit; a lazy match table carries all columns, as they can be pruned.
+RECORD_COLUMNS = ["record_id", "country", "pub_year", "family_id", "applicant_countries", "codes"]
+PROJECT_COLUMNS = ["project_id", "start_year", "framework", "funding_scheme", "ec_max_contribution"]
+
 #: Papers per technology that the impact figures rest on.
 PAPER_SAMPLE = 200
 
@@ -39,6 +43,9 @@ class Analysis:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialized else df
 
+    def _columns(self, table: DataFrame, needed: list[str]) -> list[str]:
+        return [c for c in table.columns if c in needed] if self.materialized else table.columns
+
     @cached_property
     def last_full_record_year(self) -> DataFrame:
         return self.keep(ag.last_full_year(self.tables.records, "pub_date"), "last-year")
@@ -50,9 +57,7 @@ class Analysis:
     @cached_property
     def all_records(self) -> DataFrame:
         """(tech, record columns …) in the window asked for."""
-        columns = self.tables.records.columns
-        if self.materialized:
-            columns = [c for c in columns if c in ("record_id", "country", "pub_year", "family_id", "applicant_countries", "codes")]
+        columns = self._columns(self.tables.records, RECORD_COLUMNS)
         found = match_phrase(self.tables.records, self.terms, RECORD_FIELDS, columns, "pub_year")
         return self.keep(found, "records")
 
@@ -74,9 +79,8 @@ class Analysis:
 
     @cached_property
     def projects(self) -> DataFrame:
-        found = match_phrase(
-            self.tables.projects, self.terms, PROJECT_FIELDS, self.tables.projects.columns, "start_year"
-        )
+        columns = self._columns(self.tables.projects, PROJECT_COLUMNS)
+        found = match_phrase(self.tables.projects, self.terms, PROJECT_FIELDS, columns, "start_year")
         return self.keep(found, "projects")
 
     @cached_property
