@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from techatlas.llm import minhash
+from techatlas.llm import language, lm, minhash, toxicity
 from techatlas.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a factorization machine."""
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text by a trigram automaton."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by byte context trees."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on 2-word shingles, similarity 0.8 or more."""
