@@ -6,13 +6,15 @@ sequence is its only shingle, without words the set is empty. Shingles are 64-bi
 1. ``signatures``: full minima of ``HASHES`` permutations per document give band keys; of every
    minimum only the low ``BITS`` bits are kept, packed into one binary value.
 2. Documents with equal sets form one class, and one text per class goes on.
-3. Every class of a bucket is a candidate with the bucket's smallest class. Packed signatures
-   estimate the similarity, corrected for chance agreement of the kept bits; pairs far below
-   the threshold go. The rest is confirmed on full sets.
-4. In buckets that still hold several components, members outside the largest one are tried
-   with all members of other components, likewise. Pairs within one component are never formed,
-   since they can't change the result; so large groups of copies cost no squares, and every
-   candidate pair that could join two components is looked at.
+3. ``families``: within every bucket (equal band key) all packed signatures are compared; similarities are
+   estimated from bit counts, corrected for chance agreement of the kept bits. Classes that are
+   joined by estimates not far below the threshold form a family.
+4. ``confirmed``: within a family, pairs are confirmed on full sets in order of their estimates, until none
+   is left that could join two components.
+
+Pairs never become rows: a task compares up to ``TILE`` classes with each other and returns at most one
+edge per class. Buckets and families beyond that are cut into tiles, which meet two by two; a family's tiles
+are of similar set sizes, since sets of very different sizes can't be linked.
 
 Rows without ``doc_id`` are returned, linked with nothing. Rows that share a doc_id are one
 document whose links are those of all its rows. Empty sets are linked with nothing.
@@ -20,20 +22,23 @@ document whose links are those of all its rows. Empty sets are linked with nothi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from techatlas.llm.shared import components, utf8, words_of
 from techatlas.session import materialize
 
-HASHES = 128
+HASHES = 112
 BAND_ROWS = 4
 BITS = 4
+TILE = 1024
+TILE_SHINGLES = 1 << 19
 WORD_CACHE = 400_000
 CHUNK = 2048
 
@@ -147,28 +152,29 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity of two packed signatures from the number of equal b-bit values.
+_FOLD = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
 
-    Differing bits of a value are folded onto its lowest bit and counted; agreement by chance,
-    2^-BITS, is taken out. Works on the bytes as 64-bit numbers.
-    """
-    unit = sum(1 << k for k in range(0, 63, BITS))
-    per = 64 // BITS
-    equal: Column = F.lit(0)
-    for k in range(HASHES // per):
 
-        def number(c: Column, k: int = k) -> Column:
-            half = [F.conv(F.hex(F.substring(c, 1 + 8 * k + 4 * j, 4)), 16, 10).cast("long") for j in (0, 1)]
-            return F.shiftleft(half[0], 32).bitwiseOR(half[1])
+def unpacked(signatures: list[bytes]) -> np.ndarray:
+    """Packed signatures as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
+
 
-        x = number(a).bitwiseXOR(number(b))
-        folded = x
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of every signature of a with every one of b, from the number of equal b-bit values.
+
+    Differing bits of a value are folded onto its lowest bit and counted; agreement by chance,
+    2^-BITS, is taken out.
+    """
+    differ = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        x = a[:, None, k] ^ b[None, :, k]
+        folded = x.copy()
         for s in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(x, s))
-        equal = equal + (F.lit(per) - F.bit_count(folded.bitwiseAND(F.lit(unit))))
+            folded |= x >> np.uint64(s)
+        differ += np.bitwise_count(folded & _FOLD)
     chance = 2.0**-BITS
-    return (equal / F.lit(float(HASHES)) - chance) / (1 - chance)
+    return ((HASHES - differ) / HASHES - chance) / (1 - chance)
 
 
 def estimate_floor(percent: int) -> float:
@@ -178,65 +184,201 @@ def estimate_floor(percent: int) -> float:
     return j - 5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - c)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``part``, which lie side by side."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch["part"].to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if held and part[low] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = part[low]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(sigs: np.ndarray, sides: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(estimate, i, j), i < j, of pairs not far below the threshold; with two sides only across them."""
+    across = sides.min() != sides.max()
+    for low in range(0, len(sigs), 128):
+        e = estimates(sigs[low : low + 128], sigs[low:])
+        i, j = np.nonzero(e >= floor)
+        keep = i < j
+        if across:
+            keep &= sides[low + i] != sides[low + j]
+        i, j = i[keep], j[keep]
+        yield e[i, j], i + low, j + low
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A member of each one's component."""
+    root = np.arange(n)
+    while len(i):
+        new = root.copy()
+        low = np.minimum(root[i], root[j])
+        for k in (i, j, root[i], root[j]):
+            np.minimum.at(new, k, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def _family_edges(floor: float):
+    """Per group of classes (part, side, class, signature): edges that join those with near signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in _groups(batches):
+            ids = group["class"].to_numpy()
+            found = list(_near(unpacked(group["signature"].to_pylist()), group["side"].to_numpy(), floor))
+            root = _joined(len(ids), np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found]))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            a += ids[moved].tolist()
+            b += ids[root[moved]].tolist()
+            if len(a) > 50_000:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def confirm(sets: list[np.ndarray], sigs: np.ndarray, sides: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links at or above the threshold that join all components that any such link joins."""
+    size = np.array([len(s) for s in sets])
+    _, comp = np.unique(comp, return_inverse=True)
+    comp = comp.copy()
+    found = []
+    for e, i, j in _near(sigs, sides, estimate_floor(percent)):
+        few, many = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        open_ = (comp[i] != comp[j]) & (few * 100 >= many * percent)
+        found.append((e[open_], i[open_], j[open_]))
+    e, i, j = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(-e, kind="stable")
+    i, j = i[order], j[order]
+    links = []
+    for low in range(0, len(i), 4096):
+        a, b = i[low : low + 4096], j[low : low + 4096]
+        open_ = comp[a] != comp[b]
+        for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+            if comp[x] == comp[y]:
+                continue
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if shared * 100 >= (size[x] + size[y] - shared) * percent:
+                links.append((x, y))
+                comp[comp == comp[y]] = comp[x]
+    return links
+
+
+def _links(percent: int):
+    """Per group of classes (part, side, class, comp, signature, shingles): confirmed links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            ids = group["class"].to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+            sigs = unpacked(group["signature"].to_pylist())
+            links = confirm(sets, sigs, group["side"].to_numpy(), group["comp"].to_numpy(), percent)
+            a, b = ids[[x for x, _ in links]], ids[[y for _, y in links]]
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            sets = [shingles(text.as_py(), size, cache).view(np.int64) for text in batch["text"]]
+            sets = [shingles(text.as_py(), size, cache).tobytes() for text in batch["text"]]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(sets, pa.list_(pa.int64()))],
+                [batch["doc_id"], batch["text_hash"], pa.array(sets, pa.binary())],
                 names=["doc_id", "text_hash", "shingles"],
             )
 
     return run
 
 
-class _Confirmer:
-    """Estimates and confirms candidate pairs of classes (a, b: set ids)."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> None:
-        self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs at or above the threshold: (a, b) as doc_ids of the classes."""
-        c = self.classes.select("set_id", "signature", "n_shingles", F.col("doc_id"), "text_hash")
-        one = c.select(*(F.col(x).alias(f"{x}_a") for x in c.columns))
-        two = c.select(*(F.col(x).alias(f"{x}_b") for x in c.columns))
-        # sets of very different sizes can't reach the threshold
-        sized = (F.least("n_shingles_a", "n_shingles_b") * 100) >= (
-            F.greatest("n_shingles_a", "n_shingles_b") * self.percent
-        )
-        near = (
-            pairs.join(one, pairs["a"] == one["set_id_a"])
-            .join(two, F.col("b") == two["set_id_b"])
-            .where(sized)
-            .where(estimate(F.col("signature_a"), F.col("signature_b")) >= estimate_floor(self.percent))
-            .select("doc_id_a", "text_hash_a", "doc_id_b", "text_hash_b")
-        )
-        near = materialize(near, "candidates")
-        needed = (
-            near.select(F.col("doc_id_a").alias("doc_id"), F.col("text_hash_a").alias("text_hash"))
-            .unionByName(near.select(F.col("doc_id_b").alias("doc_id"), F.col("text_hash_b").alias("text_hash")))
-            .distinct()
-        )
-        sets = (
-            keyed(self.docs)
-            .join(needed, ["doc_id", "text_hash"], "left_semi")
-            .mapInArrow(_set_rows(self.size), "doc_id long, text_hash long, shingles array<long>")
-            .dropDuplicates(["doc_id", "text_hash"])
-        )
-        sets = materialize(sets, "sets")
-        one = sets.select(*(F.col(x).alias(f"{x}_a") for x in sets.columns))
-        two = sets.select(*(F.col(x).alias(f"{x}_b") for x in sets.columns))
-        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        total = F.size("shingles_a") + F.size("shingles_b") - F.col("shared")
-        return (
-            near.join(one, ["doc_id_a", "text_hash_a"])
-            .join(two, ["doc_id_b", "text_hash_b"])
-            .withColumn("shared", shared)
-            .where(F.col("shared") * 100 >= total * self.percent)
-            .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        )
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one group side by side in one task; ``part`` names the group."""
+    return df.withColumn("part", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys).drop(*keys)
+
+
+def families(classes: DataFrame, percent: int) -> DataFrame:
+    """(class, family) of classes in a family of two or more."""
+    members = classes.select("class", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = members.join(buckets, "bucket").join(classes.select("class", "signature"), "class")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    members = members.withColumn("tiles", tiles).withColumn("side", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    # a tile meets itself and every other tile of its bucket
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    members = members.select(
+        "bucket", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "class", "signature"
+    )
+    edges = _dealt(members, "bucket", "one", "two").select("part", "side", "class", "signature")
+    edges = edges.mapInArrow(_family_edges(estimate_floor(percent)), "a long, b long")
+    return components(edges).select(F.col("id").alias("class"), F.col("component").alias("family"))
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one family; they join the same components as all links do."""
+    own = classes.select("class", "doc_id", "text_hash", "signature", "n_shingles").join(family, "class")
+    # classes whose sizes differ by more than one step of the threshold can't be linked
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    own = materialize(own.withColumn("step", step), "members")
+    whole = own.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    whole = whole.select("family", ((F.col("n") <= TILE) & (F.col("s") <= 2 * TILE_SHINGLES)).alias("small"))
+    tiles = own.groupBy("family", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    tiles = tiles.join(whole, "family").select(
+        "family",
+        F.when(F.col("small"), F.lit(-1)).otherwise(F.col("step")).alias("row"),
+        "step",
+        F.when(F.col("small"), F.lit(1))
+        .otherwise(F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / TILE_SHINGLES)).cast("int"))
+        .alias("tiles"),
+    )
+    sets = keyed(docs).join(own.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    sets = sets.mapInArrow(_set_rows(size), "doc_id long, text_hash long, shingles binary")
+    sets = sets.dropDuplicates(["doc_id", "text_hash"])
+    own = own.join(tiles, ["family", "step"]).join(sets, ["doc_id", "text_hash"])
+    own = own.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    own = materialize(own.select("family", "row", "tile", "class", "signature", "shingles"), "sets")
+
+    columns = ["part", "side", "class", "comp", "signature", "shingles"]
+    alone = own.withColumn("side", F.lit(0)).withColumn("comp", F.col("class"))
+    links = _dealt(alone, "family", "row", "tile").select(columns).mapInArrow(_links(percent), "a long, b long")
+    links = materialize(links, "links")
+    large = tiles.where("row >= 0").select("family", "row", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    if large.isEmpty():
+        return links
+
+    # large families: tiles of equal or neighbouring sizes meet, where more than one component is left
+    parts = own.select("family", "row", "tile", "class").where("row >= 0").join(
+        components(links).select(F.col("id").alias("class"), "component"), "class", "left"
+    )
+    parts = parts.select("family", "row", "tile", "class", F.coalesce("component", "class").alias("comp"))
+    parts = materialize(parts, "parts")
+    several = parts.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("family")
+    large = materialize(large.join(several, "family", "left_semi"), "tiles")
+    one = large.select("family", F.col("row").alias("row1"), F.col("tile").alias("tile1"))
+    two = large.select("family", F.col("row").alias("row2"), F.col("tile").alias("tile2"))
+    meet = one.join(two, "family").where("(row1 = row2 and tile1 < tile2) or row2 = row1 + 1")
+    meet = meet.withColumn("pair", F.xxhash64("family", "row1", "tile1", "row2", "tile2"))
+    sides = meet.select("pair", "family", F.col("row1").alias("row"), F.col("tile1").alias("tile"), F.lit(0).alias("side"))
+    sides = sides.unionByName(
+        meet.select("pair", "family", F.col("row2").alias("row"), F.col("tile2").alias("tile"), F.lit(1).alias("side"))
+    )
+    dealt = own.join(parts.select("class", "comp"), "class").join(sides, ["family", "row", "tile"])
+    more = _dealt(dealt, "pair").select(columns).mapInArrow(_links(percent), "a long, b long")
+    return links.unionByName(materialize(more, "links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -250,38 +392,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = sets.groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature", "bands")).alias("c")
     )
-    classes = materialize(classes.select("set_id", "c.*"), "classes")
-
-    members = classes.select("set_id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("last"))
-    buckets = buckets.where("lead <> last").select("bucket", "lead")
-    members = materialize(members.join(buckets, "bucket"), "buckets")
-
-    confirmer = _Confirmer(docs, classes, size, percent)
-    star = members.where("set_id <> lead").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = materialize(confirmer.links(star), "links")
-
-    first = components(links)
-    own = classes.select("set_id", "doc_id").join(first, F.col("doc_id") == F.col("id"), "left")
-    own = own.select("set_id", F.coalesce("component", "doc_id").alias("comp"))
-    split = members.select("bucket", "set_id").join(own, "set_id")
-    split = materialize(split, "members")
-    share = split.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    major = share.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts"))
-    major = major.where("parts > 1").select("bucket", F.col("m.comp").alias("major"))
-    open_ = materialize(split.join(major, "bucket"), "open")
-    minor = open_.where("comp <> major").select("bucket", F.col("set_id").alias("a"), F.col("comp").alias("comp_a"))
-    other = open_.select("bucket", F.col("set_id").alias("b"), F.col("comp").alias("comp_b"), "major")
-    # a pair of two minor members is met from both sides: take it once
-    cross = minor.join(other, "bucket").where("comp_a <> comp_b and (comp_b = major or a < b)")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    more = materialize(confirmer.links(cross), "links")
-
-    reps = classes.select("set_id", F.col("doc_id").alias("rep"))
-    copies = sets.select("set_id", "doc_id").distinct().join(reps, "set_id").where("doc_id <> rep")
-    copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(more).unionByName(copies))
+    classes = materialize(classes.select("set_id", "c.*", F.monotonically_increasing_id().alias("class")), "classes")
+    links = confirmed(docs, classes, families(classes, percent), size, percent)
+
+    reps = classes.select("set_id", "class", F.col("doc_id").alias("rep"))
+    one = reps.select(F.col("class").alias("a"), F.col("rep").alias("x"))
+    two = reps.select(F.col("class").alias("b"), F.col("rep").alias("y"))
+    edges = links.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    copies = sets.select("set_id", "doc_id").join(reps, "set_id").where("doc_id <> rep")
+    copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    found = components(edges.unionByName(copies))
     out = rows.join(found, rows["doc_id"] == found["id"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select(

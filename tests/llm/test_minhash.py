@@ -60,20 +60,25 @@ def test_repeated_rows_nameless_rows_and_empty_table(spark):
     assert minhash.one_per_group(df.limit(0)).count() == 0
 
 
-def test_estimate_is_unbiased(spark):
+def test_estimate_is_unbiased():
     rnd = np.random.default_rng(5)
-    rows = []
+    errors = []
     for j in (0.5, 0.8, 0.95):
         for _ in range(60):
             shared, own = int(300 * j), 300 - int(300 * j)
             pool = rnd.integers(0, 2**63, 300 + own, dtype=np.uint64)
             a, b = pool[:300], np.concatenate([pool[:shared], pool[300:]])
-            true = shared / (300 + own)
-            rows.append((true, minhash.packed(minhash.minima(a)), minhash.packed(minhash.minima(b))))
-    df = spark.createDataFrame(rows, "j double, a binary, b binary")
-    df = df.withColumn("error", minhash.estimate(F.col("a"), F.col("b")) - F.col("j"))
-    got = df.agg(F.avg("error").alias("bias"), F.max(F.abs("error")).alias("worst")).first()
-    assert abs(got["bias"]) < 0.02 and got["worst"] < 0.25
+            sigs = minhash.unpacked([minhash.packed(minhash.minima(x)) for x in (a, b)])
+            errors.append(minhash.estimates(sigs, sigs)[0, 1] - shared / (300 + own))
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.25
+
+
+def test_tiles_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 700)
+    texts = skewed(9)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, texts), 2).collect()}
+    assert got == brute.roots([i for i, _ in texts], brute.near_links(texts, 2, 80))
 
 
 def test_components_of_paths_stars_and_loops(spark):
