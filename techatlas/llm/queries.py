@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from techatlas.llm import language, lm, minhash, toxicity
+from techatlas.llm import chat, embeddings, kdtree, language, lm, minhash, packing, spaced, spans, toxicity
 from techatlas.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that packing uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its speakers."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text by a factorization machine."""
@@ -32,12 +45,47 @@ def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items: one row per document and item."""
+    found = spaced.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "at", "seeds")
+
+
+@query
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated sentences: which, where these came first, and what is left."""
+    found = spans.changed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "removed", "first_doc_ids", "text")
+
+
+@query
+def op6_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text by byte context trees."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in pieces of binary lengths, each a sequence of its own."""
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query
+def op9_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal bytes."""
+    found = kdtree.shard(table(spark, sf_dir, "documents"), shards=8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on 2-word shingles, similarity 0.8 or more."""

@@ -16,9 +16,13 @@ ordinary join. Null and empty texts hold nothing. Rows without an item_id are it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from techatlas.session import materialize
+
 MASKS = ("11101011", "110100111")
 RUN = 13
 SUBSTITUTIONS = 2
@@ -32,24 +36,35 @@ def words(text: Column) -> Column:
     return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def _seeds(own: Column, at: Column, masks: list[str]) -> Column:
-    """One struct (seed, span) per mask that fits at the 0-based position ``at``; null where it doesn't."""
-    out = []
-    for k, mask in enumerate(masks):
-        marked = [F.get(own, at + i) for i, c in enumerate(mask) if c == "1"]
-        fits = at + len(mask) <= F.size(own)
-        out.append(F.when(fits, F.struct(F.xxhash64(F.lit(k), *marked).alias("seed"), F.lit(len(mask)).alias("span"))))
-    return F.array(*out)
+def _seed_at(number: int, mask: str) -> Callable[[Column], Column]:
+    marked = [i for i, c in enumerate(mask) if c == "1"]
+    return lambda at: F.xxhash64(F.lit(number), *(F.get("codes", at + i) for i in marked))
 
 
-def _windows(df: DataFrame, own: str, masks: list[str]) -> DataFrame:
-    """df with one row per position and mask: at, seed, span."""
-    shortest = min(len(m) for m in masks)
-    at = df.where(F.size(own) >= shortest).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.greatest(F.size(own) - shortest, F.lit(0))))
-    )
-    hit = at.withColumn("s", F.explode(_seeds(F.col(own), F.col("at"), masks))).where("s is not null")
-    return hit.withColumn("seed", F.col("s.seed")).withColumn("span", F.col("s.span")).drop("s")
+def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """One row per window and mask of the words in ``own``, which is dropped: at (from 0), span, seed.
+
+    Words are hashed once; a window's seed is the hash of its marked words' hashes and the mask's
+    number. Only numbers leave the array functions, so that rows stay small.
+    """
+    keys = [c for c in df.columns if c != "own"]
+    df = df.withColumn("n", F.size("own")).withColumn("codes", F.transform("own", lambda w: F.xxhash64(w)))
+    lists = []
+    for k, mask in enumerate(masks):
+        starts = F.sequence(F.lit(0), F.col("n") - len(mask))
+        none = F.array().cast("array<long>")
+        lists.append(F.when(F.col("n") >= len(mask), F.transform(starts, _seed_at(k, mask))).otherwise(none))
+    rows = df.select(*keys, "n", F.posexplode(F.concat(*lists)).alias("at", "seed"))
+    # the lists stand one after the other
+    at, span, before = F.col("at"), F.lit(None).cast("int"), F.lit(0)
+    place = F.lit(None).cast("int")
+    for mask in masks:
+        windows = F.greatest(F.col("n") - (len(mask) - 1), F.lit(0))
+        inside = place.isNull() & (at < before + windows)
+        span = F.when(inside, len(mask)).otherwise(span)
+        place = F.when(inside, at - before).otherwise(place)
+        before = before + windows
+    return rows.select(*keys, place.alias("at"), span.alias("span"), "seed")
 
 
 def _around() -> Column:
@@ -66,47 +81,62 @@ def _around() -> Column:
     return F.zip_with(mine, theirs, lambda a, b: (a == b).cast("int"))
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+        words(F.col("text")).alias("own"),
+    )
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps, one row per (doc_id, text_hash, item_id).
 
     ``matched``: most equal words in a stretch of RUN words (or the whole of a shorter item); ``at``: the
     first seed's position among the text's words; ``seeds``: hits that were verified.
     """
-    items = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("item_words"))
-    items = items.where(F.size("item_words") >= SHORTEST)
-    short = items.where(F.size("item_words") < RUN).select(F.size("item_words").alias("n")).distinct().collect()
-    # at most RUN - SHORTEST further masks: whole short items
-    whole = sorted(r["n"] for r in short)
-    masks = [*MASKS, *("1" * n for n in whole)]
-    seeds = _windows(items, "item_words", masks).withColumnRenamed("at", "item_at")
+    items = benchmark.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("own"))
+    items = items.where(F.size("own") >= SHORTEST).dropDuplicates(["item"])
+    # at most RUN - SHORTEST further masks, for whole short items
+    short = sorted(r["n"] for r in items.where(F.size("own") < RUN).select(F.size("own").alias("n")).distinct().collect())
+    masks = [*MASKS, *("1" * n for n in short)]
+    size = items.select("item", F.size("own").alias("words"))
+    seeds = _seeds(items.select("item", "own"), masks).join(size, "item")
     # a short item is met by its own mask only
-    seeds = seeds.where((F.size("item_words") >= RUN) | (F.size("item_words") == F.col("span")))
-    seeds = seeds.select("seed", "item_id", "item_at", "item_words")
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    own = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("text_hash"),
-        words(F.col("text")).alias("own"),
-    )
-    hits = _windows(own, "own", masks).join(seeds, "seed")
+    seeds = seeds.where((F.col("words") >= RUN) | (F.col("words") == F.col("span")))
+    seeds = materialize(seeds.select("seed", "item", F.col("at").alias("item_at")), "seeds")
+    known = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
+    hits = materialize(_seeds(_own(docs), masks).join(known, "seed").drop("seed"), "hits")
+
+    needed = hits.select("doc_id", "text_hash").distinct()
+    same = ["doc_id", "text_hash"]
+    texts = _null_safe_semi(_own(docs), needed, same).dropDuplicates(same)
+    texts = materialize(texts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "own"), "texts")
     n = F.least(F.lit(RUN), F.size("item_words"))
     equal = F.col("equal")
     starts = F.sequence(F.lit(1), F.greatest(F.size(equal) - n + 1, F.lit(1)))
     best = F.array_max(
         F.transform(starts, lambda k: F.aggregate(F.slice(equal, k, n), F.lit(0), lambda x, y: x + y))
     )
-    needed = F.when(F.size("item_words") >= RUN, RUN - SUBSTITUTIONS).otherwise(F.size("item_words"))
+    least = F.when(F.size("item_words") >= RUN, RUN - SUBSTITUTIONS).otherwise(F.size("item_words"))
     found = (
-        hits.select("doc_id", "text_hash", "item_id", "at", "item_words", _around().alias("equal"))
-        .select("doc_id", "text_hash", "item_id", "at", needed.alias("needed"), best.alias("matched"))
-        .where("matched >= needed")
+        hits.join(items.select("item", "item_id", F.col("own").alias("item_words")), "item")
+        .join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+        .select("doc_id", "text_hash", "item_id", "at", "item_words", _around().alias("equal"))
+        .select("doc_id", "text_hash", "item_id", "at", least.alias("least"), best.alias("matched"))
+        .where("matched >= least")
     )
     return found.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("matched").alias("matched"), F.min("at").alias("at"), F.count(F.lit(1)).alias("seeds")
     )
 
 
+def _null_safe_semi(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    k = keys.select(*(F.col(c).alias(f"__{c}") for c in names))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
+    return df.join(k, on, "left_semi")
+
+
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap with no item, with the columns of docs."""
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()

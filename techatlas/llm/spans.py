@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from techatlas.llm.shared import utf8
 from techatlas.session import materialize
@@ -117,7 +118,7 @@ def without(text: bytes, removed: np.ndarray | list[int]) -> bytes:
     return b"".join(text[a:b] for k, (a, b) in enumerate(sentences(text)) if k not in gone).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(texts, removed):
     import pandas as pd
 

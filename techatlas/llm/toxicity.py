@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from techatlas.llm.shared import doc_remainder, utf8
 
@@ -231,7 +232,7 @@ def clean_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
     """The rows of docs whose score is below the threshold, with the columns of docs."""
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, rows))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def toxicity(texts):
         slots = Slots()
         return _series(machine.value.scores([terms(t, slots) for t in texts]))
