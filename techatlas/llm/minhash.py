@@ -345,7 +345,9 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
         .otherwise(F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / TILE_SHINGLES)).cast("int"))
         .alias("tiles"),
     )
-    sets = keyed(docs).join(own.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    # the members grow with the corpus, so they are never broadcast, however few there are
+    needed = own.select("doc_id", "text_hash").hint("merge")
+    sets = keyed(docs).join(needed, ["doc_id", "text_hash"], "left_semi")
     sets = sets.mapInArrow(_set_rows(size), "doc_id long, text_hash long, shingles binary")
     sets = sets.dropDuplicates(["doc_id", "text_hash"])
     own = own.join(tiles, ["family", "step"]).join(sets, ["doc_id", "text_hash"])
