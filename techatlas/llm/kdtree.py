@@ -1,7 +1,7 @@
 """K-d tree sharding by distributed weighted medians.
 
 A document's size is the bytes of its text plus 1. Its place in metadata space: logarithm of the size,
-source, language, each scaled to 0 .. 2^31 - 1 (categories by checksum, so that equal ones are
+source, language, each scaled to 0 .. 2^30 - 1 (categories by checksum, so that equal ones are
 together; null counts as the empty name). The node of all documents is to become ``shards``
 leaves; a node of m leaves is cut along its widest dimension so that m // 2 leaves' share of its
 bytes lies below, until every node is one leaf, which holds about ``leaf_bytes`` bytes.
@@ -28,7 +28,7 @@ from techatlas.session import materialize
 BINS = 1024
 TOLERANCE = 1e-4
 DIMENSIONS = ("d0", "d1", "d2")
-_TOP = (1 << 31) - 1
+_TOP = (1 << 30) - 1
 
 
 def points(docs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def points(docs: DataFrame) -> DataFrame:
 
     def category(name: str) -> Column:
         value = F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
-        return F.shiftright(F.crc32(F.coalesce(value, F.lit(""))), 1).cast("long")
+        return F.shiftright(F.crc32(F.coalesce(value, F.lit(""))), 2).cast("long")
 
     tie = F.shiftleft(F.xxhash64(text).bitwiseAND((1 << 20) - 1), 12).bitwiseOR(
         F.xxhash64("doc_id").bitwiseAND((1 << 12) - 1)
