@@ -37,7 +37,7 @@ from techatlas.llm.shared import doc_remainder, utf8
 
 SLOTS = 1 << 18
 FACTORS = 8
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 12_000
 MIN_ROWS = 5
 LEAST = 4.0
 DOUBT = 30.0
@@ -48,7 +48,8 @@ SHRINK = 1e-4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
 OFTEN = (2, 4)
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
+ROWS_AT_ONCE = 500
 _BUCKETS = 1 << 30
 _CUT = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
@@ -76,7 +77,7 @@ def terms(text: bytes, slots: Slots) -> np.ndarray:
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots = Slots()
     for batch in batches:
-        found = [terms(t, slots) for t in batch["text"].to_pylist()]
+        found = [terms(t.as_py(), slots) for t in batch["text"]]
         yield pa.record_batch([batch["toxic"], pa.array(found, pa.list_(pa.int64()))], names=["toxic", "terms"])
 
 
@@ -165,7 +166,7 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fits on the one partition of the bounded sample; a row per term and one (slot -1) for the bias."""
     texts, labels = [], []
     for batch in batches:
-        texts += [np.array(t, np.int64) for t in batch["terms"].to_pylist()]
+        texts += [t.values.to_numpy(zero_copy_only=False).astype(np.int32) for t in batch["terms"]]
         labels += batch["toxic"].to_pylist()
     m = fit(texts, np.array(labels, np.float64))
     flat = np.concatenate([np.zeros((1, FACTORS)), m.vectors])
@@ -204,7 +205,10 @@ def _score(machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, m = Slots(), machine.value
         for batch in batches:
-            scores = m.scores([terms(t, slots) for t in batch["text"].to_pylist()])
+            scores = np.empty(batch.num_rows)
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch["text"].slice(low, ROWS_AT_ONCE).to_pylist()
+                scores[low : low + len(part)] = m.scores([terms(t, slots) for t in part])
             yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(scores, pa.float64())], names=["doc_id", "text_hash", "score"])
 
     return run
@@ -235,7 +239,8 @@ def clean_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
     @F.pandas_udf(DoubleType())
     def toxicity(texts):
         slots = Slots()
-        return _series(machine.value.scores([terms(t, slots) for t in texts]))
+        parts = [texts[k : k + ROWS_AT_ONCE] for k in range(0, len(texts), ROWS_AT_ONCE)]
+        return _series(np.concatenate([np.empty(0), *(machine.value.scores([terms(t, slots) for t in p]) for p in parts)]))
 
     text = utf8(F.lower(F.coalesce(F.col("text"), F.lit(""))))
     return docs.where(toxicity(text) < THRESHOLD)
