@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from techatlas.catalog.queries import ALL_TERMS, PREFIXES, PROGRAMMES, SCHEMES, TYPED
+from techatlas.catalog.queries import ALL_TERMS, PREFIXES, TYPED
 from techatlas.functions.labels import STOPWORDS
 from techatlas.functions.names import LEGAL_FORMS
-from techatlas.functions.text import ACCENTED, FOLDED
+from techatlas.functions.text import ACCENTED, FOLDED, WORD_PATTERN
 from techatlas.operators import growth as gr
 from techatlas.sources.tables import TERMS
 
@@ -98,8 +98,7 @@ cl as (select rm.tech, c.* from rm join record_code c using (record_id)),
 pubs as (select t.tech, p.publication_id, p.year from publications p join terms t on {has_phrase('p.title')}
   where {WINDOW.format(y='p.year')}),
 pap as (select * from (select t.tech, p.* replace (coalesce(citations, 0) as citations),
-    row_number() over (partition by t.tech order by coalesce(citations, 0) desc, paper_id) rn_
-  from papers p join terms t on {has_phrase('p.title')} where {WINDOW.format(y='p.year')}) where rn_ <= 200),
+    from papers p join terms t on {has_phrase('p.title')} where {WINDOW.format(y='p.year')})),
 lfy as (select case when substr(d,6,2)::int >= 11 then substr(d,1,4)::int else substr(d,1,4)::int - 1 end y
   from (select max(pub_date) d from records)),
 spine as (select tech, unnest(generate_series(start_year, end_year))::int as year from terms),
@@ -107,19 +106,15 @@ fam as (select tech, pub_year as year, count(distinct family_id) n from rm group
 fser as (select s.tech, s.year, coalesce(n, 0) n from spine s left join fam using (tech, year)),
 cum as (select tech, year, n, sum(n) over (partition by tech order by year)::bigint cumulative from fser),
 fitp as (select * from cum where year <= (select y from lfy)),
-ta as (select tech, actor, count(distinct record_id) n from ra group by 1, 2
-  qualify row_number() over (partition by tech order by n desc, actor) <= 50),
+ta as (select tech, actor, count(distinct record_id) n from ra group by 1, 2),
 oc as (select tech, name, country, count(distinct project_id) n, bool_or(upper(sme) = 'YES') is_sme,
-    bool_or(role = 'coordinator') is_coordinator from po group by 1, 2, 3
-  qualify row_number() over (partition by tech order by n desc, name, country) <= 50),
+    bool_or(role = 'coordinator') is_coordinator from po group by 1, 2, 3),
 ma as (select tech, name, sum(records)::bigint records, sum(projects)::bigint projects, max(country) country,
     bool_or(is_sme) is_sme, bool_or(is_coordinator) is_coordinator, sum(records + projects)::bigint total
   from (select tech, upper(trim(actor)) as name, n records, 0 projects, null::varchar country, false is_sme, false is_coordinator from ta
     union all select tech, upper(trim(name)), 0, n, country, is_sme, is_coordinator from oc) group by 1, 2),
-rbc as (select tech, country, count(*) n from rm group by 1, 2
-  qualify row_number() over (partition by tech order by n desc, country) <= 20),
-pbc as (select tech, country, count(distinct project_id) n from po group by 1, 2
-  qualify row_number() over (partition by tech order by n desc, country) <= 20),
+rbc as (select tech, country, count(*) n from rm group by 1, 2),
+pbc as (select tech, country, count(distinct project_id) n from po group by 1, 2),
 mc as (select coalesce(a.tech, b.tech) tech, coalesce(a.country, b.country) country, coalesce(a.n, 0) records,
     coalesce(b.n, 0) projects, coalesce(a.n, 0) + coalesce(b.n, 0) total
   from rbc a full outer join pbc b on a.tech = b.tech and a.country = b.country),
@@ -158,9 +153,10 @@ pairs_a as (select x.tech, x.actor a, y.actor b, count(distinct x.record_id) n f
 pairs_o as (select x.tech, x.name a, y.name b, count(distinct x.project_id) n from po x join po y
     on x.tech = y.tech and x.project_id = y.project_id and x.name < y.name group by 1, 2, 3
   qualify row_number() over (partition by x.tech order by n desc, a, b) <= 200),
-edges_all as (select tech, least(a, b) source, greatest(a, b) target, sum(n)::bigint weight from (
-    select tech, upper(trim(a)) a, upper(trim(b)) b, n from pairs_a
-    union all select tech, upper(trim(a)), upper(trim(b)), n from pairs_o) where a <> b group by 1, 2, 3),
+named as (select distinct tech, 'r' kind, record_id id, upper(trim(actor)) as name from ra
+  union all select distinct tech, 'p', project_id, upper(trim(name)) from po),
+edges_all as (select x.tech, x.name source, y.name target, count(*) weight from named x join named y
+    on x.tech = y.tech and x.kind = y.kind and x.id = y.id and x.name < y.name group by 1, 2, 3),
 strong as (select tech, name from ma qualify row_number() over (partition by tech order by total desc, name) <= 40),
 edges as (select * from edges_all where (tech, source) in (select tech, name from strong)
     and (tech, target) in (select tech, name from strong)
@@ -229,9 +225,9 @@ oracle("match_prefix", f"""select t.tech, r.record_id, r.title from records r jo
   on contains(' ' || {norm('r.title')}, ' ' || {norm('t.query')}) where {WINDOW.format(y='r.pub_year')}""")
 oracle("match_all_terms", "select tech, record_id from am", ctes(ALL_MATCH))
 oracle("search_records", f"""select tech, record_id, publication_number, country, title, pub_date, applicant_names, applicant_countries, codes, family_id
-  from rm qualify row_number() over (partition by tech order by record_id) <= 10000""")
+  from rm""")
 oracle("search_projects", """select tech, project_id, framework, acronym, title, objective, start_date, status, total_cost, ec_max_contribution, funding_scheme
-  from pm qualify row_number() over (partition by tech order by project_id) <= 10000""")
+  from pm""")
 oracle("records_codes", "select tech, record_id, codes from rm where trim(codes) <> ''")
 oracle("records_codes_years", "select tech, record_id, codes, pub_year as year from rm where trim(codes) <> '' and pub_year is not null")
 oracle("table_filter_sort", """select tech, name, country, total from ma where contains(lower(name), '000000001') or contains(lower(country), '000000001')
@@ -257,8 +253,9 @@ oracle("resolve_entities", """select tech, ma.name, total, coalesce(ma.country,
     where resolved_at <= date '2001-08-01' and resolved_at >= date '2001-08-01' - 90
     qualify row_number() over (partition by upper(trim(raw_name)) order by resolved_at desc, coalesce(lei, '') desc) = 1) e on ma.name = e.name""")
 oracle("describe_code", """select c.code, coalesce(d4.description, d3.description, d1.description, '') description
-  from (select distinct code from record_code) c left join dim_code d4 on length(c.code) >= 4 and d4.code = substr(c.code, 1, 4)
-  left join dim_code d3 on length(c.code) >= 3 and d3.code = substr(c.code, 1, 3) left join dim_code d1 on d1.code = substr(c.code, 1, 1)""")
+  from (select code, case when length(code) >= 4 then substr(code, 1, 4) end c4, case when length(code) >= 3 then substr(code, 1, 3) end c3,
+    substr(code, 1, 1) c1 from (select distinct code from record_code)) c
+  left join dim_code d4 on d4.code = c.c4 left join dim_code d3 on d3.code = c.c3 left join dim_code d1 on d1.code = c.c1""")
 oracle("country_labels", """select tech, country, label, is_european, total from mc left join dim_country using (country)
   where not coalesce(is_office, false)""")
 
@@ -266,8 +263,8 @@ oracle("country_labels", """select tech, country, label, is_european, total from
 oracle("records_by_year", "select * from rby")
 oracle("projects_by_year", "select * from pby")
 oracle("families_by_year", "select * from fam")
-oracle("records_by_country", "select * from rbc")
-oracle("projects_by_country", "select * from pbc")
+oracle("records_by_country", f"select * from rbc {top(20, 'n', 'country')}")
+oracle("projects_by_country", f"select * from pbc {top(20, 'n', 'country')}")
 oracle("records_by_actor_country", f"""select tech, upper(trim(x)) country, count(*) n
   from (select tech, unnest(string_split(applicant_countries, ',')) x from rm) where length(trim(x)) = 2 group by 1, 2 {top(30, 'n', 'country')}""")
 oracle("top_actors", f"select tech, actor, n from ta {top(20, 'n', 'actor')}")
@@ -278,7 +275,7 @@ oracle("actors_by_year", f"""select tech, upper(trim(actor)) actor, pub_year as
 oracle("actor_code_strings", """select tech, applicant_names, codes, count(*) n from rm where trim(applicant_names) <> '' and trim(codes) <> ''
   group by 1, 2, 3""")
 oracle("top_orgs", f"select tech, name, count(distinct project_id) n from po group by 1, 2 {top(20, 'n', 'name')}")
-oracle("orgs_with_flags", "select * from oc")
+oracle("orgs_with_flags", f"select * from oc {top(50, 'n', 'name, country')}")
 oracle("orgs_by_city", f"select tech, city, country, count(distinct project_id) n from po group by 1, 2, 3 {top(50, 'n', 'city, country')}")
 oracle("orgs_by_year", f"select tech, name, start_year as year, count(distinct project_id) n from po group by 1, 2, 3 {top(200, 'n', 'name, start_year')}")
 oracle("orgs_by_programme", f"""select tech, name, framework, count(distinct project_id) n from po where framework is not null group by 1, 2, 3
@@ -304,10 +301,8 @@ oracle("publication_types", """select tech, x as type, count(*) n from (select t
   group by 1, 2""")
 oracle("impact_totals", """select tech, count(*) papers, sum(citations)::bigint citations, round(sum(citations) / count(*), 1) avg_citations,
   round(coalesce(sum(influential) / nullif(sum(citations), 0), 0), 4) influential_ratio from pap group by 1""")
-oracle("programme_evolution", "select tech, year, " + ", ".join(
-    f"sum(n) filter (scheme = '{s}')::bigint \"{s}\"" for s in SCHEMES) + " from fi group by 1, 2")
-oracle("programme_pivot_funding", "select tech, year, " + ", ".join(
-    f"max(round(funding / 1e6, 1)) filter (programme = '{p}') \"{p}\"" for p in PROGRAMMES) + " from fyp group by 1, 2")
+oracle("programme_evolution", "select tech, year, scheme, sum(n)::bigint n from fi group by 1, 2, 3")
+oracle("programme_pivot_funding", "select tech, year, programme, round(funding / 1e6, 1) funding_millions from fyp")
 oracle("programme_shares", "select tech, programme, funding, round(funding / sum(funding) over (partition by tech) * 100, 1) pct from fp")
 INSTR = "(select tech, scheme, sum(n)::bigint n from fi group by 1, 2)"
 oracle("top_instruments", f"select * from {INSTR} {top(3, 'n', 'scheme')}")
@@ -358,8 +353,9 @@ ft as (select tech, years, total, a1 avg_first, a2 avg_second, case when years >
   case when a1 > 0 then (a2 - a1) / a1 when a2 > 0 then 1.0 else 0.0 end overall_growth, case when a2 > 0 then sd / a2 else 1.0 end variation from fe)"""
 oracle("recent_trend_features", "select tech, years, total, " + ", ".join(
     f"round({x}, 6) {x}" for x in ("avg_first", "avg_second", "recent_growth", "overall_growth", "variation")) + " from ft", ctes(FEATURES))
-STOP = "('" + "','".join(STOPWORDS) + "')"
-WORDS = "regexp_extract_all({t}, '[a-zA-Z0-9äöüÄÖÜß-]+')"
+STOP_LIST = repr(STOPWORDS)
+STOP = "(select unnest(" + repr(STOPWORDS) + "))"
+WORDS = "regexp_extract_all({t}, '" + WORD_PATTERN.replace("{", "{{").replace("}", "}}") + "')"
 TERMS_SQL = f"""typed as (select tech, query from {values(TYPED)}),
 tit as (select t.tech, t.query, x.title from (select title from records union all select title from projects) x
   join typed t on contains(' ' || {norm('x.title')}, ' ' || {norm('t.query')})),
@@ -367,7 +363,8 @@ wrd as (select tech, query, {WORDS.format(t='title')} w from tit),
 grm as (select tech, query, unnest(list_concat([array_to_string(w[i:i+1], ' ') for i in range(1, len(w))],
     [array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)])) form from wrd),
 cnt as (select tech, lower(form) as norm, form, count(*) n from grm where contains(lower(form), lower(trim(query)))
-  and split_part(lower(form), ' ', 1) not in {STOP} and split_part(lower(form), ' ', -1) not in {STOP} group by 1, 2, 3),
+  and split_part(lower(form), ' ', 1) not in {STOP} and split_part(lower(form), ' ', -1) not in {STOP}
+  and not regexp_matches(split_part(lower(form), ' ', 1), '^\\p{{L}}$') and not regexp_matches(split_part(lower(form), ' ', -1), '^\\p{{L}}$') group by 1, 2, 3),
 bst as (select tech, norm, arg_min(form, (-n, form)) form, sum(n)::bigint n from cnt group by 1, 2)"""
 oracle("best_surface_form", "select * from bst", ctes(TERMS_SQL))
 
@@ -378,7 +375,7 @@ def cap(w: str) -> str:
 
 def smart(t: str) -> str:
     return f"""case when {t} = upper({t}) or {t} = lower({t}) then array_to_string([case when w = upper(w) and w <> lower(w) and length(w) <= 4
-  and lower(w) not in {STOP} then w else {cap('w')} end for w in string_split({t}, ' ')], ' ') else {t} end"""
+  and not list_contains({STOP_LIST}, lower(w)) and not regexp_matches(w, '^\\p{{L}}$') then w else {cap('w')} end for w in string_split({t}, ' ')], ' ') else {t} end"""
 
 
 oracle("suggest_terms", f"select tech, norm, {smart('form')} term, n from bst {top(30, 'n', 'norm')}", ctes(TERMS_SQL))
@@ -396,8 +393,11 @@ oracle("top_papers", """select tech, row_number() over (partition by tech order
   from pap qualify position <= 10""")
 oracle("union_years", """select tech, year from spine union select r.tech, year from rby r join terms using (tech) where year between start_year and end_year
   union select r.tech, year from pby r join terms using (tech) where year between start_year and end_year""")
-oracle("entrants_except", "select tech, actor from ay where year = 1997 except select tech, actor from ay where year = 1996")
-oracle("persisting_intersect", "select tech, actor from ay where year = 1997 intersect select tech, actor from ay where year = 1996")
+YEAR_BEFORE = """yb as (select tech, year, lag(year) over (partition by tech order by year) p from (select distinct tech, year from ay)),
+now_ as (select a.tech, a.year, a.actor from ay a join yb using (tech, year) where p is not null),
+then_ as (select yb.tech, yb.year, a.actor from yb join ay a on a.tech = yb.tech and a.year = yb.p)"""
+oracle("entrants_except", "select * from now_ except select * from then_", ctes(YEAR_BEFORE))
+oracle("persisting_intersect", "select * from now_ intersect select * from then_", ctes(YEAR_BEFORE))
 oracle("union_term_matches", "select distinct record_id from rm")
 oracle("jaccard_set_union", """select j.tech, j.code_a, j.code_b, count(distinct record_id) union_n from jac j
   join cl on cl.tech = j.tech and cl.code in (j.code_a, j.code_b) group by 1, 2, 3""")
@@ -454,9 +454,9 @@ oracle("code_jaccard_window", """select p.tech, p.a code_a, p.b code_b, p.n, ca.
     """wl as (select * from cl where pub_year between 1997 and 1999),
 wt as (select tech, code, count(distinct record_id) n from wl group by 1, 2 qualify row_number() over (partition by tech order by n desc, code) <= 10),
 wp as (select x.tech, x.code a, y.code b, count(distinct x.record_id) n from wl x join wl y on x.tech = y.tech and x.record_id = y.record_id and x.code < y.code group by 1, 2, 3)"""))
-oracle("code_jaccard_matrix", "select tech, code_a, " + ", ".join(
-    f"coalesce(max(j) filter (code_b = '{s}'), 0.0) \"{s}\"" for s in "ELMPS") + """ from (
-  select tech, code_a, code_b, j from mj union all select tech, code_b, code_a, j from mj) group by 1, 2""", ctes(
+oracle("code_jaccard_matrix", """select a.tech, a.code code_a, b.code code_b, coalesce(max(j), 0.0) jaccard from
+  (select tech, code_a code from mj union select tech, code_b from mj) a join (select tech, code_a code from mj union select tech, code_b from mj) b using (tech)
+  left join mj on mj.tech = a.tech and mj.code_a = least(a.code, b.code) and mj.code_b = greatest(a.code, b.code) group by 1, 2, 3""", ctes(
     """ml as (select distinct tech, record_id, substr(code, 1, 1) code from (select rm.tech, rm.record_id, unnest(cs) code from rm join code_lists using (record_id))),
 mk as (select * from ml where (tech, record_id) in (select tech, record_id from ml group by 1, 2 having count(*) >= 2)),
 mn as (select tech, code, count(*) n from mk group by 1, 2),
@@ -547,11 +547,9 @@ oracle("maturity_phase_heuristic", """select tech, case when years < 3 or total
   when o < -0.1 or r < -0.2 then round(least(0.9, 0.5 + abs(o) * 0.3), 2) else 0.4 end confidence
   from (select *, overall_growth o, recent_growth r, variation cv from ft)""", ctes(FEATURES))
 oracle("collab_network", "select tech, source, target, weight from edges")
-oracle("collab_network_nodes", """select m.tech, m.name, total n, case when (records > 0 or r) and (projects > 0 or o) then 'both' when records > 0 or r then 'patent' else 'cordis' end as type
-  from (select *, (tech, name) in (select tech, upper(trim(a)) from pairs_a union select tech, upper(trim(b)) from pairs_a) r,
-    (tech, name) in (select tech, upper(trim(a)) from pairs_o union select tech, upper(trim(b)) from pairs_o) o from ma) m
-  where (m.tech, m.name) in (select tech, source from edges union select tech, target from edges)""")
+oracle("collab_network_nodes", """select m.tech, m.name, total n, case when records > 0 and projects > 0 then 'both' when records > 0 then 'patent' else 'cordis' end as type
+  from ma m where (m.tech, m.name) in (select tech, source from edges union select tech, target from edges)""")
 oracle("publications_by_year", "select * from pubby")
-oracle("papers_top_n", "select tech, paper_id, title, venue, year, citations from pap")
+oracle("papers_top_n", f"select tech, paper_id, title, venue, year, citations from pap {top(200, 'citations', 'paper_id')}")
 oracle("source_failure_scan", """select distinct 'user-' || user_id tech, s source, s || ': no data' message from (
   select user_id, case event_type when 'error' then 'publications' when 'click' then 'legal entities' end s from events) where s is not null""", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from techatlas.catalog.oracle import BASE, CROSS, FEATURES, HHI, ORACLE, SUMMARY, TOP3, fit_ctes, top
-from techatlas.catalog.queries import Ctx, query
+from techatlas.catalog.queries import QUERIES, Ctx, query
 from techatlas.plans import panels as pa
 from techatlas.plans import reports as rp
 from techatlas.plans.analysis import Analysis
@@ -94,7 +94,7 @@ def panel_report_text(c):
 
 
 @query
-def all_panels(c):
+def radar_all(c):
     """Run metadata and every panel's text per technology."""
     full = rp.all_panels(_panels(c), c.star.code_dimension(), F.lit(AS_OF).cast("date"))
     names = [n for n, f in zip(full.columns, full.schema.fields) if isinstance(f.dataType, T.StructType)]
@@ -106,6 +106,9 @@ def all_panels(c):
     )
 
 
+QUERIES["all_panels"] = QUERIES["radar_all"]
+
+
 @query
 def run_metadata(c):
     meta = pa.run_metadata(_panels(c))
@@ -147,11 +150,12 @@ ORACLE["panel_landscape"] = CLAMPED + panel_sql(
     ("@a total_records, @b total_projects, @c total_publications",
      "(select tech, sum(records)::bigint a, sum(projects)::bigint b, sum(publications)::bigint c from ms group by 1)"),
     ("@s time_series", rows(GROWN, "year", "year", "records", "projects", "publications", dec("reg"), dec("prg"), dec("pug"))),
+    ("@c total_countries", "(select tech, count(*) c from mc group by 1)"),
     ("@s top_countries", rows(f"(select * from mc {top(20, 'total', 'country')})", "total desc, country", "country", "records", "projects", "total")),
 )
 
 ORACLE["panel_maturity"] = (
-    BASE.rstrip() + ",\n" + fit_ctes().replace("from fitp,", "from fitp join (select tech from fitp group by 1 having max(cumulative) >= 30) using (tech),") + ",\n"
+    BASE.rstrip() + ",\n" + fit_ctes() + ",\n"
     + FEATURES + ",\n" + f"""hp as ({ORACLE['maturity_phase_heuristic'].split(FEATURES)[1].strip()}),
 cg as ({ORACLE['cagr_records'].removeprefix(BASE)}),
 fv as (select c.tech, c.year, c.n, c.cumulative, case when f.tech is not null then round(b.rs * case when b.model = 'Logistic'
@@ -160,8 +164,8 @@ fv as (select c.tech, c.year, c.n, c.cumulative, case when f.tech is not null th
 """
     + panel_sql(
         "",
-        ("""case when b.model is null then h.phase when b.maturity_percent < 10 then 'Emerging' when b.maturity_percent < 50 then 'Growing' when b.maturity_percent < 90 then 'Mature' else 'Saturation' end phase,
-  case when b.model is null then h.confidence else round(least(0.95, greatest(0.1, b.r2 * 0.6::double + least(1.0, b.np / 15.0) * 0.2::double + least(1.0, b.ly / 200.0) * 0.2::double)), 2) end confidence,
+        ("""case when b.model is null then null when b.maturity_percent < 10 then 'Emerging' when b.maturity_percent < 50 then 'Growing' when b.maturity_percent < 90 then 'Mature' else 'Saturation' end phase,
+  h.phase heuristic_phase, h.confidence heuristic_confidence, case when b.model is not null then round(least(0.95, greatest(0.1, b.r2 * 0.6::double + least(1.0, b.np / 15.0) * 0.2::double + least(1.0, b.ly / 200.0) * 0.2::double)), 2) end confidence,
   coalesce(g.cagr, 0) cagr, coalesce(b.maturity_percent, 0) maturity_percent, coalesce(b.sat, 0) saturation_level, coalesce(b.x0, 0) inflection_year,
   coalesce(b.r2, 0) r_squared, coalesce(b.model, '') fit_model, @s time_series""",
          rows("fv", "year", "year", "n", "cumulative", dec("fitted"))),
@@ -176,6 +180,7 @@ NODES = ORACLE["collab_network_nodes"].removeprefix(BASE)
 ORACLE["panel_competitive"] = CLAMPED + panel_sql(
     "",
     ("@hhi, case when @hhi < 1500 then 'Low' when @hhi < 2500 then 'Moderate' when @hhi is not null then 'High' end concentration", HHI),
+    ("@c total_actors", "(select tech, count(*) c from ma group by 1)"),
     ("@top3_share", TOP3),
     ("@s top_actors", rows(f"(select * from {RK} where rank <= 20)", "rank", "name", "total", dec("share"))),
     ("@s full_actors", rows(f"(select r.*, e.lei, e.legal_name, coalesce(r.country, e.lc) cc from {RK} r left join {LEI} e on r.name = e.name where rank <= 100)",
@@ -208,14 +213,16 @@ ORACLE["panel_code_flow"] = CLAMPED + panel_sql(
 )
 
 AC = f"({ORACLE['records_by_actor_country'].removeprefix(BASE)})"
+CITIES = "(select tech, city, country, count(distinct project_id) n from po group by 1, 2, 3)"
+CITY = f"({ORACLE['orgs_by_city'].removeprefix(BASE)})"
+ALL_AC = AC.replace(top(30, "n", "country"), "")
 GEO = f"""(select tech, country, sum(r)::bigint records, sum(p)::bigint projects, sum(r + p)::bigint total from (
-  select tech, country, n r, 0 p from {AC} union all select tech, country, n, 0 from rbc where tech not in (select tech from {AC})
+  select tech, country, n r, 0 p from {ALL_AC} union all select tech, country, n, 0 from rbc where tech not in (select tech from {ALL_AC})
   union all select tech, country, 0, n from pbc) group by 1, 2)"""
-CITY = f"({ORACLE['orgs_by_city'].removeprefix(BASE)})"
 ORACLE["panel_geographic"] = CLAMPED + panel_sql(
     "",
     ("@c total_countries", f"(select tech, count(*) c from {GEO} group by 1)"),
-    ("@c total_cities", f"(select tech, count(*) c from {CITY} group by 1)"),
+    ("@c total_cities", f"(select tech, count(*) c from {CITIES} group by 1)"),
     ("@cross_border_share", CROSS),
     ("@s country_distribution", rows(GEO, "total desc, country", "country", "records", "projects", "total")),
     ("@s city_distribution", rows(CITY, "n desc, city, country", "city", "country", "n")),

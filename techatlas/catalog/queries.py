@@ -30,8 +30,6 @@ QUERIES: dict = {}
 PREFIXES = [("hot a", "hot a", 1995, 2001), ("larg", "larg", 1995, 2001), ("cold bolt", "cold bolt", 1996, None)]
 ALL_TERMS = [("anvil hot", "anvil hot", None, None), ("ring blue", "ring blue", None, None)]
 TYPED = [("hot", "hot", None, None), ("blue r", "blue r", None, None), ("ol", "old", None, None)]
-SCHEMES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-PROGRAMMES = ["FP7", "H2020", "HORIZON", "UNKNOWN"]
 
 
 class Ctx:
@@ -61,11 +59,12 @@ class Ctx:
     # shared intermediate results
     @cached_property
     def merged_actors(self) -> DataFrame:
-        return ac.merge_actors(ag.top_actors(self.an.record_actors, 50), ag.orgs_with_flags(self.an.project_orgs, 50))
+        return ac.merge_actors(ag.top_actors(self.an.record_actors, None), ag.orgs_with_flags(self.an.project_orgs, None))
 
     @cached_property
     def merged_countries(self) -> DataFrame:
-        return ac.merge_countries(ag.records_by_country(self.an.records), ag.projects_by_country(self.an.project_orgs))
+        an = self.an
+        return ac.merge_countries(ag.records_by_country(an.records, None), ag.projects_by_country(an.project_orgs, None))
 
     @cached_property
     def merged_series(self) -> DataFrame:
@@ -217,21 +216,18 @@ def match_all_terms(c):
 
 @query
 def search_records(c):
-    found = c.an.records.select(
+    return c.an.records.select(
         "tech", "record_id", "publication_number", "country", "title", "pub_date", "applicant_names",
         "applicant_countries", "codes", "family_id",
     )
-    # the first 10 000 by id, as a search page shows them
-    return rk.top_k(found.withColumn("neg_id", -F.col("record_id")), 10_000, "neg_id", ["record_id"]).drop("neg_id")
 
 
 @query
 def search_projects(c):
-    found = c.an.projects.select(
+    return c.an.projects.select(
         "tech", "project_id", "framework", "acronym", "title", "objective", "start_date", "status", "total_cost",
         "ec_max_contribution", "funding_scheme",
     )
-    return rk.top_k(found.withColumn("neg_id", -F.col("project_id")), 10_000, "neg_id", ["project_id"]).drop("neg_id")
 
 
 @query
@@ -288,12 +284,12 @@ def pairs_countries(c):
 
 @query
 def pairs_codes(c):
-    return pr.pairs_codes(c.hits.code_links, co.top_codes(c.hits.code_links))
+    return pr.pairs_codes_of(c.hits.records, co.top_codes(c.hits.code_links))
 
 
 @query
 def pairs_codes_year(c):
-    return pr.pairs_codes_year(c.an.code_links)
+    return pr.pairs_codes_year_of(c.an.records)
 
 
 @query
@@ -489,12 +485,12 @@ def impact_totals(c):
 
 @query
 def programme_evolution(c):
-    return ag.programme_evolution(ag.funding_by_instrument(c.an.projects), SCHEMES)
+    return ag.programme_evolution(ag.funding_by_instrument(c.an.projects))
 
 
 @query
 def programme_pivot_funding(c):
-    return ag.programme_pivot_funding(ag.funding_by_year_programme(c.an.projects), PROGRAMMES)
+    return ag.programme_pivot_funding(ag.funding_by_year_programme(c.an.projects))
 
 
 @query
@@ -621,12 +617,12 @@ def union_years(c):
 
 @query
 def entrants_except(c):
-    return ac.entrants_except(c.actor_years, 1996, 1997)
+    return ac.entrants_except(c.actor_years)
 
 
 @query
 def persisting_intersect(c):
-    return ac.persisting_intersect(c.actor_years, 1996, 1997)
+    return ac.persisting_intersect(c.actor_years)
 
 
 @query
@@ -783,9 +779,8 @@ def code_jaccard(c):
 
 @query
 def code_jaccard_by_year(c):
-    links = c.hits.code_links
-    pair_year = pr.pairs_codes_year(links)
-    years = co.codes_by_year(links)
+    pair_year = pr.pairs_codes_year_of(c.hits.records)
+    years = co.codes_by_year(c.hits.code_links)
     a = years.select("tech", "pub_year", F.col("code").alias("a"), F.col("n").alias("n_a"))
     b = years.select("tech", "pub_year", F.col("code").alias("b"), F.col("n").alias("n_b"))
     return pair_year.join(a, ["tech", "pub_year", "a"]).join(b, ["tech", "pub_year", "b"])
@@ -793,15 +788,15 @@ def code_jaccard_by_year(c):
 
 @query
 def code_jaccard_window(c):
-    links = c.hits.code_links
-    return co.code_jaccard_window(pr.pairs_codes_year(links), co.codes_by_year(links), 1997, 1999, 10)
+    pairs, years = pr.pairs_codes_year_of(c.hits.records), co.codes_by_year(c.hits.code_links)
+    return co.code_jaccard_window(pairs, years, 1997, 1999, 10)
 
 
 @query
 def code_jaccard_matrix(c):
     """Sections as labels: the matrix of first characters."""
     links = co.code_links_of(c.hits.records, level=1)
-    return co.code_jaccard_matrix(co.code_jaccard(links), ["E", "L", "M", "P", "S"])
+    return co.code_jaccard_matrix(co.code_jaccard(links))
 
 
 @query
@@ -880,23 +875,22 @@ def fit_confidence(c):
 
 
 def _network(c):
-    an = Analysis(c.tables, c.terms(), materialized=True)
+    an = c.hits
     actors = an.keep(
-        ac.merge_actors(ag.top_actors(an.record_actors, 50), ag.orgs_with_flags(an.project_orgs, 50)), "actors"
+        ac.merge_actors(ag.top_actors(an.record_actors, None), ag.orgs_with_flags(an.project_orgs, None)), "actors"
     )
-    rp, op = pr.pairs_actors(an.record_actors), pr.pairs_orgs(an.project_orgs)
-    return actors, rp, op, ac.collab_edges(rp, op, actors)
+    return actors, ac.collab_edges(an.record_actors, an.project_orgs, actors)
 
 
 @query
 def collab_network(c):
-    return _network(c)[3]
+    return _network(c)[1]
 
 
 @query
 def collab_network_nodes(c):
-    actors, rp, op, edges = _network(c)
-    return ac.collab_nodes(edges, rp, op, actors)
+    actors, edges = _network(c)
+    return ac.collab_nodes(edges, actors)
 
 
 def _titles(c, typed):
@@ -919,7 +913,8 @@ def publications_by_year(c):
 
 @query
 def papers_top_n(c):
-    return c.an.papers.select("tech", "paper_id", "title", "venue", "year", "citations")
+    found = rk.top_k(c.an.papers, 200, "citations", ["paper_id"])
+    return found.select("tech", "paper_id", "title", "venue", "year", "citations")
 
 
 @query

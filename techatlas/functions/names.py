@@ -56,8 +56,13 @@ def year_of(c: Column | str) -> Column:
     return F.substring(_col(c), 1, 4).try_cast("int")
 
 
+NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def safe_float(c: Column | str) -> Column:
-    return F.trim(_col(c)).try_cast("double")
+    """Plain and scientific decimal numbers; anything else (also 1.5d, NaN, Infinity) is null."""
+    text = F.trim(_col(c))
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def framework_from_filename(c: Column | str) -> Column:
@@ -70,8 +75,10 @@ def framework_from_filename(c: Column | str) -> Column:
     )
 
 
-#: Java regular expression of named entities XML does not define.
-ENTITY_PATTERN = "&(?!amp;|lt;|gt;|apos;|quot;|#)[a-zA-Z][a-zA-Z0-9]*;"
+# The entities every XML parser knows by name (character references begin with #).
+XML_NAMES = "amp lt gt apos quot".split()
+#: A reference by a name that is none of these.
+ENTITY_PATTERN = rf"&(?!(?:{'|'.join(XML_NAMES)});)\p{{Alpha}}\p{{Alnum}}*;"
 
 
 def sanitize_entities(c: Column | str) -> Column:

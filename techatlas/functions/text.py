@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçý"
 FOLDED = "aaaaaaeeeeiiiiooooouuuuncy"
 
-#: Words of a title as the term extraction sees them.
-WORD_PATTERN = "[a-zA-Z0-9äöüÄÖÜß-]+"
+#: Words of a title as the term extraction sees them: letters and digits of any script, and hyphens.
+WORD_PATTERN = r"[\p{L}\p{N}-]+"
 
 
 def _col(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from techatlas.functions.labels import hhi_band
 from techatlas.functions.names import merge_key
+from techatlas.operators.pairs import set_pair_counts
 from techatlas.operators.ranking import top_k
 
 
@@ -68,10 +69,17 @@ def hhi(actors: DataFrame) -> DataFrame:
     return actors.groupBy("tech").agg(index.alias("hhi")).withColumn("concentration", hhi_band("hhi"))
 
 
-def rank_share(actors: DataFrame, limit: int = 100) -> DataFrame:
-    """Rank by total and share of all activity, for the ``limit`` strongest actors."""
+def rank_share(actors: DataFrame, limit: int | None = 100) -> DataFrame:
+    """Rank by total and share of all activity, for the ``limit`` strongest actors (None: all).
+
+    Shares are of the activity of all actors, whatever the limit.
+    """
     totals = actors.groupBy("tech").agg(F.sum("total").alias("_all"))
-    ranked = top_k(actors, limit, "total", ["name"], "rank")
+    if limit is None:
+        order = Window.partitionBy("tech").orderBy(F.desc("total"), "name")
+        ranked = actors.withColumn("rank", F.row_number().over(order))
+    else:
+        ranked = top_k(actors, limit, "total", ["name"], "rank")
     return ranked.join(totals, "tech").withColumn(
         "share", F.round(F.col("total") / F.col("_all"), 4)
     ).drop("_all")
@@ -102,47 +110,37 @@ def resolve_entities(actors: DataFrame, reference: DataFrame, as_of: Column, val
 
 
 def collab_edges(
-    record_pairs: DataFrame, org_pairs: DataFrame, actors: DataFrame, max_actors: int = 40, max_edges: int = 100
+    record_actors: DataFrame, project_orgs: DataFrame, actors: DataFrame, max_actors: int = 40, max_edges: int | None = 100
 ) -> DataFrame:
-    """Edges of both sources summed on unordered names, among the strongest actors."""
-    a, b = merge_key("a"), merge_key("b")
-    edges = (
-        record_pairs.select("tech", "a", "b", "n")
-        .unionAll(org_pairs.select("tech", "a", "b", "n"))
-        .select("tech", F.least(a, b).alias("source"), F.greatest(a, b).alias("target"), "n")
-        .where("source <> target")
-        .groupBy("tech", "source", "target")
-        .agg(F.sum("n").alias("weight"))
-    )
+    """On how many records and projects the strongest actors occur together.
+
+    The actors are chosen first, by their uncut totals, so only their links are kept: a record
+    holds at most ``max_actors`` of them, and its pairs are formed in its own row.
+    """
     strong = top_k(actors, max_actors, "total", ["name"]).select("tech", "name")
-    kept = edges.join(strong.withColumnRenamed("name", "source"), ["tech", "source"], "left_semi").join(
-        strong.withColumnRenamed("name", "target"), ["tech", "target"], "left_semi"
+    links = record_actors.select(
+        "tech", F.lit("r").alias("kind"), F.col("record_id").alias("id"), merge_key("actor").alias("name")
+    ).unionAll(project_orgs.select("tech", F.lit("p"), "project_id", merge_key("name")))
+    sets = (
+        links.join(strong, ["tech", "name"], "left_semi")
+        .groupBy("tech", "kind", "id")
+        .agg(F.sort_array(F.collect_set("name")).alias("names"))
     )
-    return top_k(kept, max_edges, "weight", ["source", "target"])
+    edges = set_pair_counts(sets, "names", ["tech"]).select(
+        "tech", F.col("a").alias("source"), F.col("b").alias("target"), F.col("n").alias("weight")
+    )
+    return top_k(edges, max_edges, "weight", ["source", "target"])
 
 
-def collab_nodes(
-    edges: DataFrame, record_pairs: DataFrame, org_pairs: DataFrame, actors: DataFrame
-) -> DataFrame:
+def collab_nodes(edges: DataFrame, actors: DataFrame) -> DataFrame:
     """Connected actors; type by the sources they appear in."""
-
-    def ends(pairs: DataFrame, left: str, right: str) -> DataFrame:
-        return pairs.select("tech", F.explode(F.array(merge_key(left), merge_key(right))).alias("name")).distinct()
-
-    from_records = ends(record_pairs, "a", "b").withColumn("_r", F.lit(True))
-    from_orgs = ends(org_pairs, "a", "b").withColumn("_o", F.lit(True))
-    in_records = (F.col("records") > 0) | F.coalesce("_r", F.lit(False))
-    in_projects = (F.col("projects") > 0) | F.coalesce("_o", F.lit(False))
-    return (
-        actors.join(ends(edges, "source", "target"), ["tech", "name"], "left_semi")
-        .join(from_records, ["tech", "name"], "left")
-        .join(from_orgs, ["tech", "name"], "left")
-        .select(
-            "tech",
-            "name",
-            F.col("total").alias("n"),
-            F.when(in_records & in_projects, "both").when(in_records, "patent").otherwise("cordis").alias("type"),
-        )
+    ends = edges.select("tech", F.explode(F.array("source", "target")).alias("name")).distinct()
+    in_records, in_projects = F.col("records") > 0, F.col("projects") > 0
+    return actors.join(ends, ["tech", "name"], "left_semi").select(
+        "tech",
+        "name",
+        F.col("total").alias("n"),
+        F.when(in_records & in_projects, "both").when(in_records, "patent").otherwise("cordis").alias("type"),
     )
 
 
@@ -192,18 +190,24 @@ def actor_dynamics(years: DataFrame) -> DataFrame:
     )
 
 
-def entrants_except(years: DataFrame, previous: int, current: int) -> DataFrame:
-    """Actors of one year that were not there in the other."""
-    seen = years.select("tech", "actor", "year")
-    now = seen.where(F.col("year") == current).select("tech", "actor")
-    return now.subtract(seen.where(F.col("year") == previous).select("tech", "actor"))
+def _with_previous(years: DataFrame) -> DataFrame:
+    """(tech, year, actor, own_prev, prev_year): last active year of the actor and of the technology before."""
+    seen = years.select("tech", "actor", "year").distinct()
+    active = seen.select("tech", "year").distinct()
+    active = active.withColumn("prev_year", F.lag("year").over(Window.partitionBy("tech").orderBy("year")))
+    own = F.lag("year").over(Window.partitionBy("tech", "actor").orderBy("year"))
+    return seen.withColumn("own_prev", own).join(active, ["tech", "year"]).where("prev_year is not null")
+
+
+def entrants_except(years: DataFrame) -> DataFrame:
+    """(tech, year, actor): actors of a year that were not there in the active year before."""
+    found = _with_previous(years).where("own_prev is null or own_prev <> prev_year")
+    return found.select("tech", "year", "actor")
 
 
-def persisting_intersect(years: DataFrame, previous: int, current: int) -> DataFrame:
-    """Actors of both years."""
-    seen = years.select("tech", "actor", "year")
-    now = seen.where(F.col("year") == current).select("tech", "actor")
-    return now.intersect(seen.where(F.col("year") == previous).select("tech", "actor"))
+def persisting_intersect(years: DataFrame) -> DataFrame:
+    """(tech, year, actor): actors of a year that were there in the active year before, too."""
+    return _with_previous(years).where("own_prev = prev_year").select("tech", "year", "actor")
 
 
 def actor_timeline(years: DataFrame, n: int = 10) -> DataFrame:

@@ -280,18 +280,14 @@ def programme_shares(by_programme: DataFrame) -> DataFrame:
     return by_programme.withColumn("total", total).select("tech", "programme", "funding", pct.alias("pct"))
 
 
-def programme_pivot_funding(by_year_programme: DataFrame, programmes: list[str]) -> DataFrame:
-    """Year × programme funding in millions; the programme list fixes the columns."""
-    return (
-        by_year_programme.groupBy("tech", "year")
-        .pivot("programme", programmes)
-        .agg(F.round(F.first("funding") / 1e6, 1))
-    )
+def programme_pivot_funding(by_year_programme: DataFrame) -> DataFrame:
+    """Funding in millions per year and programme, in long form: no programme is left out."""
+    return by_year_programme.select("tech", "year", "programme", F.round(F.col("funding") / 1e6, 1).alias("funding_millions"))
 
 
-def programme_evolution(by_instrument: DataFrame, schemes: list[str]) -> DataFrame:
-    """Year × scheme project counts; absent combinations are null."""
-    return by_instrument.groupBy("tech", "year").pivot("scheme", schemes).agg(F.sum("n"))
+def programme_evolution(by_instrument: DataFrame) -> DataFrame:
+    """Projects per year and scheme, in long form: no scheme is left out."""
+    return by_instrument.groupBy("tech", "year", "scheme").agg(F.sum("n").alias("n"))
 
 
 def top_instruments(by_instrument: DataFrame, limit: int = 8) -> DataFrame:
@@ -322,8 +318,8 @@ def venue_distribution(papers: DataFrame, limit: int = 8) -> DataFrame:
         .groupBy("tech", "venue")
         .agg(F.count("*").alias("n"))
     )
-    with_total = counted.withColumn("total", F.sum("n").over(Window.partitionBy("tech")))
-    return top_k(with_total, limit, "n", ["venue"]).select(
+    totals = counted.groupBy("tech").agg(F.sum("n").alias("total"))
+    return top_k(counted, limit, "n", ["venue"]).join(totals, "tech").select(
         "tech", "venue", "n", F.round(F.col("n") / F.col("total"), 4).alias("share")
     )
 
@@ -382,13 +378,16 @@ def bulk_counts(**tables: DataFrame) -> DataFrame:
 
 def link_stats(record_code: DataFrame) -> DataFrame:
     """Rows, distinct codes and records, first and last year of the code link table."""
-    return record_code.agg(
-        F.count("*").alias("rows"),
-        F.countDistinct("code").alias("codes"),
-        F.countDistinct("record_id").alias("records"),
-        F.min("pub_year").alias("min_year"),
-        F.max("pub_year").alias("max_year"),
+    per_code = record_code.groupBy("code").agg(
+        F.count("*").alias("n"), F.min("pub_year").alias("first"), F.max("pub_year").alias("last")
     )
+    records = record_code.agg(F.countDistinct("record_id").alias("records"))
+    return per_code.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.count("code").alias("codes"),
+        F.min("first").alias("min_year"),
+        F.max("last").alias("max_year"),
+    ).select("rows", "codes", records.scalar().alias("records"), "min_year", "max_year")
 
 
 def records_without_link(records: DataFrame, record_actor: DataFrame) -> DataFrame:

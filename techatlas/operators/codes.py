@@ -32,7 +32,8 @@ def records_codes_years(matches: DataFrame) -> DataFrame:
 
 
 def code_ranking(links: DataFrame) -> DataFrame:
-    return links.groupBy("tech", "code").agg(F.countDistinct("record_id").alias("n"))
+    """Records per code. Links are unique per (tech, record, code), as ``code_links_of`` makes them."""
+    return links.groupBy("tech", "code").agg(F.count("*").alias("n"))
 
 
 def top_codes(links: DataFrame, n: int = 15) -> DataFrame:
@@ -40,7 +41,8 @@ def top_codes(links: DataFrame, n: int = 15) -> DataFrame:
 
 
 def codes_by_year(links: DataFrame) -> DataFrame:
-    return links.groupBy("tech", "code", "pub_year").agg(F.countDistinct("record_id").alias("n"))
+    """Records per code and year of unique links."""
+    return links.groupBy("tech", "code", "pub_year").agg(F.count("*").alias("n"))
 
 
 def analysed_records(links: DataFrame) -> DataFrame:
@@ -99,12 +101,17 @@ def code_jaccard_window(
     return jaccard(kept, top)
 
 
-def code_jaccard_matrix(pairs: DataFrame, labels: list[str]) -> DataFrame:
-    """Dense symmetric matrix with zero diagonal, one row per label of the fixed label list."""
+def code_jaccard_matrix(pairs: DataFrame) -> DataFrame:
+    """Dense symmetric matrix in long form, zero on the diagonal and where codes never meet.
+
+    Labels are the codes of ``pairs``, at most the top codes it was made of.
+    """
     both = pairs.select("tech", "code_a", "code_b", "jaccard").unionAll(
         pairs.select("tech", "code_b", "code_a", "jaccard")
     )
-    return both.groupBy("tech", "code_a").pivot("code_b", labels).agg(F.max("jaccard")).fillna(0.0, labels)
+    labels = both.select("tech", "code_a").distinct()
+    cells = labels.join(labels.withColumnRenamed("code_a", "code_b"), "tech")
+    return cells.join(both, ["tech", "code_a", "code_b"], "left").fillna(0.0, ["jaccard"])
 
 
 def connections(pairs: DataFrame) -> DataFrame:

@@ -235,3 +235,10 @@ def pairs_codes_of(matches: DataFrame, top: DataFrame, level: int = 4, min_codes
 def pairs_codes_year(links: DataFrame) -> DataFrame:
     """Codes on the same records per year, all codes."""
     return pair_counts(links, "record_id", "code", ["tech", "pub_year"])
+
+
+def pairs_codes_year_of(matches: DataFrame, level: int = 4, min_codes: int = 2) -> DataFrame:
+    """``pairs_codes_year`` for matches that carry their code text: pairs are formed in each row, equal
+    sets of a year are counted first."""
+    sets = matches.where("pub_year is not null").select("tech", "pub_year", code_set("codes", level).alias("_all"))
+    return set_pair_counts(sets.where(F.size("_all") >= min_codes), "_all", ["tech", "pub_year"])

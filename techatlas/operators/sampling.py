@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from techatlas.session import materialize
+
 
 def allocate(strata: DataFrame, target: int, census_threshold: int = 5) -> DataFrame:
     """(tech, year, pop) to (…, take): small strata whole, the others in proportion.
@@ -56,19 +58,17 @@ def strata_report(rows: DataFrame, target: int, census_threshold: int = 5) -> Da
     )
 
 
-def stratum_index(rows: DataFrame, row_id: str, buckets: int = 4096) -> DataFrame:
+def stratum_index(rows: DataFrame, row_id: str) -> DataFrame:
     """Add ``_idx``, the zero-based position of each row in its (tech, year) by ``row_id``.
 
-    Ids are cut into equal ranges. A row's position is the number of rows in earlier ranges (a
-    small table) plus its position in its own range, so a stratum that holds a third of all
-    rows is ranked by many tasks. ``row_id`` is an integer, unique per technology.
+    Rows are dealt into sorted ranges of about equal size, whatever the ids are (hashes, outliers,
+    text). A row's position is the number of rows of its stratum in earlier ranges (a small table) plus its
+    position in its own range, so a stratum that holds a third of all rows is ranked by many tasks.
+    The ranges are written first, so that both counts see the same ones.
     """
-    low = rows.agg(F.min(row_id)).scalar()
-    span = rows.agg(F.ceil((F.max(row_id) - F.min(row_id) + 1) / buckets).cast("long")).scalar()
-    ranged = rows.withColumn("_low", low).withColumn("_span", span).withColumn(
-        "_range", F.expr(f"({row_id} - _low) div _span")
-    ).drop("_low", "_span")
     keys = ["tech", "year"]
+    ranged = rows.repartitionByRange(*keys, row_id).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_range")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from techatlas.operators import aggregate as ag
 from techatlas.operators.codes import code_links_of
 from techatlas.operators.match import match_phrase
-from techatlas.operators.ranking import top_k
 from techatlas.session import materialize
 from techatlas.sources.tables import Tables
 
@@ -21,9 +20,6 @@ PROJECT_FIELDS = ["title", "objective"]
 RECORD_COLUMNS = ["record_id", "country", "pub_year", "family_id", "applicant_countries", "codes"]
 PROJECT_COLUMNS = ["project_id", "start_year", "framework", "funding_scheme", "ec_max_contribution"]
 
-#: Papers per technology that the impact figures rest on.
-PAPER_SAMPLE = 200
-
 
 class Analysis:
     """Match tables for ``terms`` over ``tables``.
@@ -97,7 +93,6 @@ class Analysis:
 
     @cached_property
     def papers(self) -> DataFrame:
-        """The most cited matching papers per technology (the reported sample)."""
+        """All matching papers."""
         found = match_phrase(self.tables.papers, self.terms, ["title"], self.tables.papers.columns, "year")
-        cited = found.withColumn("citations", F.coalesce("citations", F.lit(0)))
-        return self.keep(top_k(cited, PAPER_SAMPLE, "citations", ["paper_id"]), "papers")
+        return self.keep(found.withColumn("citations", F.coalesce("citations", F.lit(0))), "papers")

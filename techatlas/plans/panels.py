@@ -17,9 +17,6 @@ from techatlas.operators import ranking as rk
 from techatlas.operators import series as se
 from techatlas.plans.analysis import Analysis
 
-#: Cumulative families below which no growth curve is fitted.
-MIN_FOR_FIT = 30
-
 
 def nested(df: DataFrame, name: str, fields: list[str], order: list[str], desc: str | None = None) -> DataFrame:
     """(tech, name): the rows of a technology as a sorted array of structs.
@@ -47,33 +44,36 @@ def landscape(an: Analysis) -> DataFrame:
     values = ["records", "projects", "publications"]
     grown = se.yoy_growth(series, values)
     countries = ac.merge_countries(
-        ag.records_by_country(an.records), ag.projects_by_country(an.project_orgs), 20
+        ag.records_by_country(an.records, None), ag.projects_by_country(an.project_orgs, None)
     )
     totals = series.groupBy("tech").agg(*[F.sum(v).alias(f"total_{v}") for v in values])
     return _assemble(
         an.terms,
         totals,
         nested(grown, "time_series", ["year", *values, *[f"{v}_growth" for v in values]], ["year"]),
-        nested(countries, "top_countries", ["country", "records", "projects", "total"], ["country"], "total"),
+        countries.groupBy("tech").agg(F.count("*").alias("total_countries")),
+        nested(
+            rk.top_k(countries, 20, "total", ["country"]), "top_countries", ["country", "records", "projects", "total"],
+            ["country"], "total",
+        ),
     )
 
 
 def maturity(an: Analysis) -> DataFrame:
-    """Phase of each technology from the growth curve of its patent families.
+    """Phase of each technology from the growth curve of its patent families, and from their recent trend.
 
-    The curve uses complete years only and needs enough families; otherwise, and for the
-    series shown, all years count.
+    The curve uses complete years only and is null where there are too few for any fit; the trend
+    (``heuristic_…``) and the series shown are of all years.
     """
     series = se.cumulative(
         se.spine_left_join(an.terms, ag.families_by_year(an.all_records)).withColumnRenamed("n", "records"), "records"
     )
     complete = series.where(F.col("year") <= an.last_full_record_year.scalar())
     size = complete.groupBy("tech").agg(F.count("*").alias("years"), F.max("cumulative").alias("fitted_total"))
-    enough = complete.join(size.where(F.col("fitted_total") >= MIN_FOR_FIT), "tech", "left_semi")
-    best = an.keep(gr.growth_model_select(gr.growth_curve_fit(enough)), "fits")
+    best = an.keep(gr.growth_model_select(gr.growth_curve_fit(complete)), "fits")
     growth = se.series_cagr(complete, "records").select("tech", "cagr")
     fallback = se.heuristic_phase(se.trend_features(series, "records")).select(
-        "tech", F.col("phase").alias("_phase"), F.col("confidence").alias("_confidence")
+        "tech", F.col("phase").alias("heuristic_phase"), F.col("confidence").alias("heuristic_confidence")
     )
     with_fit = gr.join_fitted_values(series, best)
     joined = _assemble(
@@ -84,8 +84,10 @@ def maturity(an: Analysis) -> DataFrame:
     conf = se.fit_confidence(F.col("r2"), F.col("years"), F.col("fitted_total"))
     return joined.select(
         "tech",
-        F.when(has_fit, se.maturity_phase(F.col("maturity_percent"))).otherwise(F.col("_phase")).alias("phase"),
-        F.when(has_fit, conf).otherwise(F.col("_confidence")).alias("confidence"),
+        F.when(has_fit, se.maturity_phase(F.col("maturity_percent"))).alias("phase"),
+        F.when(has_fit, conf).alias("confidence"),
+        "heuristic_phase",
+        "heuristic_confidence",
         F.coalesce("cagr", F.lit(0.0)).alias("cagr"),
         F.coalesce("maturity_percent", F.lit(0.0)).alias("maturity_percent"),
         F.coalesce("sat", F.lit(0.0)).alias("saturation_level"),
@@ -96,27 +98,26 @@ def maturity(an: Analysis) -> DataFrame:
     )
 
 
-def competitive(an: Analysis, as_of: Column | None = None, actor_cap: int = 50) -> DataFrame:
-    """Strongest actors of both sources, concentration, and who works with whom."""
-    # a few hundred rows per technology each, used by every part below
+def competitive(an: Analysis, as_of: Column | None = None, actor_cap: int | None = 100) -> DataFrame:
+    """Strongest actors of both sources, concentration, and who works with whom.
+
+    All actors count in totals, shares and concentration; ``actor_cap`` cuts the list shown (None: all).
+    """
     actors = an.keep(
-        ac.merge_actors(
-            ag.top_actors(an.record_actors, actor_cap), ag.orgs_with_flags(an.project_orgs, actor_cap)
-        ),
-        "actors",
+        ac.merge_actors(ag.top_actors(an.record_actors, None), ag.orgs_with_flags(an.project_orgs, None)), "actors"
     )
-    ranked = ac.rank_share(actors, 2 * actor_cap)
+    ranked = ac.rank_share(actors, actor_cap)
+    best = ranked if actor_cap is None or actor_cap >= 20 else ac.rank_share(actors, 20)
     known = ac.resolve_entities(ranked, an.tables.lei_reference, F.current_date() if as_of is None else as_of)
-    record_pairs = an.keep(pr.pairs_actors(an.record_actors), "record-pairs")
-    org_pairs = an.keep(pr.pairs_orgs(an.project_orgs), "org-pairs")
-    edges = an.keep(ac.collab_edges(record_pairs, org_pairs, actors), "edges")
-    nodes = ac.collab_nodes(edges, record_pairs, org_pairs, actors)
+    edges = an.keep(ac.collab_edges(an.record_actors, an.project_orgs, actors), "edges")
+    nodes = ac.collab_nodes(edges, actors)
     full = ["rank", "name", "records", "projects", "total", "share", "country", "is_sme", "is_coordinator", "lei", "legal_name"]
     return _assemble(
         an.terms,
         ac.hhi(actors),
-        ac.top_share(ranked, actors),
-        nested(ranked.where("rank <= 20"), "top_actors", ["name", "total", "share"], ["rank"]),
+        actors.groupBy("tech").agg(F.count("*").alias("total_actors")),
+        ac.top_share(best, actors),
+        nested(best.where("rank <= 20"), "top_actors", ["name", "total", "share"], ["rank"]),
         nested(known, "full_actors", full, ["rank"]),
         nested(nodes, "network_nodes", ["name", "n", "type"], ["name"], "n"),
         nested(edges, "network_edges", ["source", "target", "weight"], ["source", "target"], "weight"),
@@ -166,10 +167,11 @@ def code_flow(an: Analysis, dimension: DataFrame, top_n: int = 15) -> DataFrame:
 
 def geographic(an: Analysis) -> DataFrame:
     """Countries, cities and cross-border work; applicant countries where there are any."""
-    named = ag.records_by_actor_country(an.records)
-    filing = ag.records_by_country(an.records).join(named.select("tech").distinct(), "tech", "left_anti")
-    countries = ac.merge_countries(named.unionByName(filing), ag.projects_by_country(an.project_orgs))
-    cities = ag.orgs_by_city(an.project_orgs)
+    named = ag.records_by_actor_country(an.records, None)
+    filing = ag.records_by_country(an.records, None).join(named.select("tech").distinct(), "tech", "left_anti")
+    countries = ac.merge_countries(named.unionByName(filing), ag.projects_by_country(an.project_orgs, None))
+    cities = ag.orgs_by_city(an.project_orgs, None)
+    shown = rk.top_k(cities, 50, "n", ["city", "country"])
     pairs = pr.pairs_countries(an.project_orgs)
     return _assemble(
         an.terms,
@@ -177,13 +179,13 @@ def geographic(an: Analysis) -> DataFrame:
         cities.groupBy("tech").agg(F.count("*").alias("total_cities")),
         ag.cross_border_share(an.projects, an.project_orgs).select("tech", "cross_border_share"),
         nested(countries, "country_distribution", ["country", "records", "projects", "total"], ["country"], "total"),
-        nested(cities, "city_distribution", ["city", "country", "n"], ["city", "country"], "n"),
+        nested(shown, "city_distribution", ["city", "country", "n"], ["city", "country"], "n"),
         nested(pairs, "collaboration_pairs", ["a", "b", "n"], ["a", "b"], "n"),
     )
 
 
 def research_impact(an: Analysis) -> DataFrame:
-    """h-index, venues, types and best papers of the most cited matches."""
+    """h-index, venues, types and best papers of all matches."""
     return _assemble(
         an.terms,
         ag.h_index(an.papers),

@@ -60,7 +60,7 @@ def landscape_text() -> Column:
         _say("The leading country is {} with {} activities.", _first("top_countries", "country"), _int(_first("top_countries", "total"))),
         F.when(rg != 0, _say("Patents changed by {} in the last year covered.", _pct(rg))),
         F.when(pg != 0, _say("Projects changed by {} in the last year covered.", _pct(pg))),
-        F.when(F.size("top_countries") > 0, _say("{} countries are active.", _int(F.size("top_countries")))),
+        F.when(F.size("top_countries") > 0, _say("{} countries are active.", _int(F.col("total_countries")))),
     )
 
 
@@ -69,8 +69,9 @@ def maturity_text() -> Column:
     years = F.size("time_series")
     total = F.aggregate("time_series", F.lit(0).cast("long"), lambda s, x: s + x["records"])
     return _text(
-        F.col("phase").isNotNull(),
+        F.col("phase").isNotNull() | F.col("heuristic_phase").isNotNull(),
         _say("The technology is in the phase {} at {} of its saturation level.", F.col("phase"), _pct(m)),
+        F.when(F.col("phase").isNull(), _say("Its recent trend puts the technology in the phase {}.", F.col("heuristic_phase"))),
         F.when(
             F.col("r_squared") > 0,
             _say("The {} growth curve fits with {} quality (R2 = {}).", F.col("fit_model"), lb.r2_band("r_squared"),
@@ -90,7 +91,7 @@ def competitive_text() -> Column:
         F.when(F.col("hhi") > 0, _say("The concentration index is {} ({}).", _int(F.floor("hhi")), F.lower("concentration"))),
         _say("The leading actor is {} with a share of {}.", _first("top_actors", "name"), _pct(_first("top_actors", "share") * 100)),
         F.when(top3 > 0, _say("The top three hold {}: a {} field.", _pct(top3 * 100), lb.top3_band("top3_share"))),
-        _say("{} actors were found.", _int(F.size("full_actors"))),
+        _say("{} actors were found.", _int(F.col("total_actors"))),
         F.when(
             F.size("network_edges") > 0,
             _say("The network has {} nodes and {} edges.", _int(F.size("network_nodes")), _int(F.size("network_edges"))),
@@ -143,16 +144,13 @@ def geographic_text(european: list[str] = lb.EU_EEA) -> Column:
 
 
 def impact_text() -> Column:
-    title = _first("top_papers", "title")
-    short = F.when(F.length(title) > 80, F.concat(F.substring(title, 1, 80), F.lit("..."))).otherwise(title)
     return _text(
         F.col("papers") > 0,
         _say("The h-index of the field is {}.", F.col("h_index")),
         _say("{} papers are cited {} times on average.", _int(F.col("papers")), F.col("avg_citations").cast("decimal(18,1)")),
         F.when(F.col("influential_ratio") > 0, _say("{} of the citations are influential.", _pct(F.col("influential_ratio") * 100))),
-        _say('The most cited paper is "{}" with {} citations.', short, _int(_first("top_papers", "citations"))),
+        _say('The most cited paper is "{}" with {} citations.', _first("top_papers", "title"), _int(_first("top_papers", "citations"))),
         _say('The leading venue is "{}" with {} papers.', _first("top_venues", "venue"), _int(_first("top_venues", "n"))),
-        F.when(F.col("papers") >= 200, "The figures rest on the 200 most cited papers; the h-index is an approximation."),
     )
 
 
@@ -211,5 +209,5 @@ def write_panels(
             status.append((name, "ok", ""))
         except Exception as e:  # noqa: BLE001 - reported, not hidden
             log.exception("panel %s failed", name)
-            status.append((name, "failed", str(e)[:500]))
+            status.append((name, "failed", str(e)))
     return spark.createDataFrame(status, "panel string, status string, message string")
