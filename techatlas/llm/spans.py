@@ -91,8 +91,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     spans = _keyed(docs).mapInArrow(_span_rows, "doc_id long, text_hash long, sentence int, span binary")
     spans = materialize(spans, "spans")
     place = F.struct("doc_id", "text_hash", "sentence")
-    first = spans.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = materialize(first.where("not (first <=> last)").select("span", "first"), "repeated")
+    first = spans.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.where("n > 1").select("span", "first"), "repeated")
     again = spans.join(first, "span").where(~place.eqNullSafe(F.col("first")))
     return again.select(
         "doc_id",
