@@ -32,6 +32,22 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+#: Buckets of the filter that spares rows a shuffle.
+FILTER_BUCKETS = 1 << 20
+
+
+def split_by(df: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose value of ``name`` may be among those of keys, and rows for which it can't.
+
+    Values are hashed into FILTER_BUCKETS buckets and those that keys use are broadcast, so at most
+    FILTER_BUCKETS numbers whatever the size of keys. Wide rows that need no join are not shuffled; with very
+    many keys the first part is most of df, and still right.
+    """
+    used = keys.select(F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BUCKETS)).alias("__bucket")).distinct()
+    same = F.pmod(F.xxhash64(df[name]), F.lit(FILTER_BUCKETS)) == used["__bucket"]
+    return df.join(F.broadcast(used), same, "left_semi"), df.join(F.broadcast(used), same, "left_anti")
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from techatlas.llm.shared import split_by
 from techatlas.session import materialize
 
 MASKS = ("11101011", "110100111")
@@ -108,10 +109,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
     hits = materialize(_seeds(_own(docs), masks).join(known, "seed").drop("seed"), "hits")
 
-    needed = hits.select("doc_id", "text_hash").distinct()
     same = ["doc_id", "text_hash"]
-    texts = _null_safe_semi(_own(docs), needed, same).dropDuplicates(same)
-    texts = materialize(texts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "own"), "texts")
+    needed = materialize(hits.select(*same).distinct(), "hit")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts, _ = split_by(texts, needed, "text_hash")
+    texts = _null_safe(texts, needed, same, "left_semi").dropDuplicates(same)
+    texts = texts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), words(F.col("text")).alias("own"))
+    texts = materialize(texts, "texts")
     n = F.least(F.lit(RUN), F.size("item_words"))
     equal = F.col("equal")
     starts = F.sequence(F.lit(1), F.greatest(F.size(equal) - n + 1, F.lit(1)))
@@ -131,15 +135,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _null_safe_semi(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    k = keys.select(*(F.col(c).alias(f"__{c}") for c in names))
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
-    return df.join(k, on, "left_semi")
+def _null_safe(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
+    """A join with keys that grow with the corpus: never broadcast, however few there are."""
+    k = keys.select(*(F.col(c).alias(f"__key_{c}") for c in names)).hint("merge")
+    return df.join(k, [df[c].eqNullSafe(k[f"__key_{c}"]) for c in names], how)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap with no item, with the columns of docs."""
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    kept = own.join(bad, own["__own"].eqNullSafe(bad["__hash"]) & own["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
-    return kept.select(*docs.columns)
+    bad = materialize(bad, "contaminated")
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    maybe, clean = split_by(own, bad, "__hash")
+    return clean.unionByName(_null_safe(maybe, bad, ["__id", "__hash"], "left_anti")).select(*docs.columns)
