@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import components, utf8, words_of
+from techatlas.llm.shared import components, split_by, utf8, words_of
 from techatlas.session import materialize
 
 HASHES = 112
@@ -347,7 +347,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
     )
     # the members grow with the corpus, so they are never broadcast, however few there are
     needed = own.select("doc_id", "text_hash").hint("merge")
-    sets = keyed(docs).join(needed, ["doc_id", "text_hash"], "left_semi")
+    texts, _ = split_by(keyed(docs), own, "text_hash")
+    sets = texts.join(needed, ["doc_id", "text_hash"], "left_semi")
     sets = sets.mapInArrow(_set_rows(size), "doc_id long, text_hash long, shingles binary")
     sets = sets.dropDuplicates(["doc_id", "text_hash"])
     own = own.join(tiles, ["family", "step"]).join(sets, ["doc_id", "text_hash"])
@@ -420,13 +421,17 @@ def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     Of rows that share a doc_id one stays. Rows without doc_id all stay. Columns are as in docs.
     """
-    found = near_duplicates(docs, size, percent).where("kept and doc_id is not null")
-    best = found.groupBy("doc_id").agg(F.min("text_hash").alias("best"), F.count(F.lit(1)).alias("rows"))
-    best = best.select(F.col("doc_id").alias("__id"), F.col("best").alias("__best"), F.col("rows").alias("__rows"))
-    own = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = own.join(best, (own["doc_id"] == best["__id"]) & (own["__hash"] == best["__best"]))
-    single = joined.where("__rows = 1").select(*docs.columns)
+    found = near_duplicates(docs, size, percent).where("doc_id is not null")
+    # what is to be looked at: documents that go, and those of several rows
+    some = found.groupBy("doc_id").agg(
+        F.first("kept").alias("__kept"), F.min("text_hash").alias("__best"), F.count(F.lit(1)).alias("__rows")
+    )
+    some = materialize(some.where("not __kept or __rows > 1").withColumnRenamed("doc_id", "__id"), "copies")
+    own = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
+    maybe, single = split_by(own, some, "__id")
+    joined = maybe.join(some.hint("merge"), "__id", "left")
+    others = joined.where("__kept is null")
     # rows that are equal in doc_id and text
-    several = joined.where("__rows > 1").dropDuplicates(["__id"]).select(*docs.columns)
-    nameless = docs.where(F.col("doc_id").isNull())
-    return single.unionByName(several).unionByName(nameless)
+    several = joined.where("__kept and __hash = __best").dropDuplicates(["__id"])
+    parts = [p.select(*docs.columns) for p in (single, others, several)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
