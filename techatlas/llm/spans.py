@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from techatlas.llm.shared import utf8
+from techatlas.llm.shared import split_by, utf8
 from techatlas.session import materialize
 
 RUN = 3
@@ -129,11 +129,12 @@ def _without(texts, removed):
 def changed(docs: DataFrame) -> DataFrame:
     """Documents that lose sentences: doc_id, text_hash, removed, first_doc_ids, text (what is left)."""
     cut = covered(docs)
-    texts = _keyed(docs).dropDuplicates(["doc_id", "text_hash"])
-    joined = texts.join(cut, texts["doc_id"].eqNullSafe(cut["doc_id"]) & texts["text_hash"].eqNullSafe(cut["text_hash"]))
-    return joined.select(
-        cut["doc_id"], cut["text_hash"], "removed", "first_doc_ids", _without("text", "removed").alias("text")
-    )
+    cut = materialize(cut, "covered")
+    texts, _ = split_by(_keyed(docs), cut, "text_hash")
+    keys = cut.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "removed", "first_doc_ids")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__hash"))
+    joined = texts.dropDuplicates(["doc_id", "text_hash"]).join(keys.hint("merge"), same)
+    return joined.select("doc_id", "text_hash", "removed", "first_doc_ids", _without("text", "removed").alias("text"))
 
 
 def cut_rows(docs: DataFrame) -> DataFrame:
@@ -141,10 +142,11 @@ def cut_rows(docs: DataFrame) -> DataFrame:
     cut = materialize(covered(docs), "covered").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed")
     )
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    same = own["__own"].eqNullSafe(cut["__hash"]) & own["doc_id"].cast("long").eqNullSafe(cut["__id"])
-    joined = own.join(cut, same, "left")
-    kept = joined.where("__removed is null").select(*docs.columns)
+    own = docs.withColumn("__hash", F.xxhash64("text"))
+    maybe, same = split_by(own, cut, "__hash")
+    keys = cut.select(F.col("__id"), F.col("__hash").alias("__cut"), "__removed").hint("merge")
+    joined = maybe.join(keys, maybe["__hash"].eqNullSafe(keys["__cut"]) & maybe["doc_id"].cast("long").eqNullSafe(keys["__id"]), "left")
+    kept = same.select(*docs.columns).unionByName(joined.where("__removed is null").select(*docs.columns))
     less = joined.where("__removed is not null").withColumn("text", _without(utf8(F.col("text")), F.col("__removed")))
     if "n_chars" in docs.columns:
         less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
