@@ -8,7 +8,7 @@ from techatlas.catalog import archives as ar
 from techatlas.catalog.oracle import BASE, ORACLE, oracle
 from techatlas.catalog.queries import query
 from techatlas.operators import aggregate as ag
-from techatlas.session import shared_dir
+from techatlas.session import materialize, shared_dir
 from techatlas.sources import ingest as ig
 from techatlas.streaming import jobs as st
 
@@ -46,6 +46,53 @@ oracle(
 )
 
 
+def _partly_broken(c):
+    """All records as documents: of every 10, one is cut short and one has no country."""
+    docs = ar.record_documents(c.star.records())
+    broken = F.replace("doc", F.lit("</exch:bibliographic-data>"), F.lit(""))
+    nowhere = F.regexp_replace("doc", 'country="[^"]*"', 'country=""')
+    kind = F.col("record_id") % 10
+    return docs.withColumn("doc", F.when(kind == 0, broken).when(kind == 1, nowhere).otherwise(F.col("doc")))
+
+
+@query
+def import_outcome(c):
+    """Accepted and rejected documents of a damaged import add up to its input."""
+    folder = shared_dir(c.spark, "damaged")
+    ar.write_nested_archives(_partly_broken(c), folder).write.format("noop").mode("overwrite").save()
+    docs = materialize(ig.read_documents(ig.select_files(c.spark, folder)), "documents")
+    kept = ig.extract_record_fields(docs.where("error is null").drop("error")).select(F.lit("accepted").alias("outcome"))
+    return kept.unionAll(ig.rejects(docs).select("error")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+oracle(
+    "import_outcome",
+    """select case record_id % 10 when 0 then 'malformed XML' when 1 then 'no country, number or bibliographic data' else 'accepted' end outcome,
+  count(*) n from records group by 1""",
+)
+
+
+@query
+def resumed_import_records(c):
+    """Records of an import in two runs with archives that overlap; equal to a bulk import of the same."""
+    folder, out = shared_dir(c.spark, "resumed"), shared_dir(c.spark, "import")
+    docs = ar.record_documents(c.star.records())
+    early = docs.where("record_id % 3 > 0")
+    ar.write_nested_archives(early, folder).write.format("noop").mode("overwrite").save()
+    st.resume_ingest(c.spark, folder, out).awaitTermination()
+    # everything again, under later names: only what is new may be added
+    again = docs.withColumn("record_id", F.col("record_id") + ar.OUTER * 1_000_000)
+    ar.write_nested_archives(again, folder).write.format("noop").mode("overwrite").save()
+    st.resume_ingest(c.spark, folder, out).awaitTermination()
+    return c.spark.read.parquet(f"{out}/records").select("publication_number", "title", "pub_date", "doc_number", "kind")
+
+
+oracle(
+    "resumed_import_records",
+    """select concat(country, record_id, 'A1') publication_number, coalesce(title, 'Titel') title, pub_date, record_id::varchar doc_number, 'A1' kind from records""",
+)
+
+
 @query
 def file_selection(c):
     chosen = ig.select_files(c.spark, _archive_folder(c), "docdb_*.zip", contains="0", recursive=True)
@@ -149,7 +196,7 @@ def records_by_year_stream(c):
     arriving.repartition(8, "record_id").write.parquet(folder)
     schema = "record_id long, title string, codes string, pub_year int"
     st.count_new_records(c.spark, folder, c.an.terms, out, schema).awaitTermination()
-    return c.spark.read.parquet(f"{out}/counts")
+    return st.latest_counts(c.spark, out)
 
 
 oracle("records_by_year_stream", "select * from rby")

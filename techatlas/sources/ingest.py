@@ -11,6 +11,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,13 +103,35 @@ def _spread(members: DataFrame) -> DataFrame:
 # --- nested XML archives -------------------------------------------------------------
 
 _DOCUMENT = re.compile(rb"<(?:\w+:)?exchange-document[\s>].*?</(?:\w+:)?exchange-document>", re.S)
+_OPENING = re.compile(rb"<(?:\w+:)?exchange-document[\s>]")
+_CHUNK = 1 << 20
+
+
+def _xml_documents(stream, chunk: int = _CHUNK) -> Iterator[tuple[bytes | None, str | None]]:
+    """(document, error) of an XML file, read piece by piece; a last document without end is an error."""
+    rest = b""
+    while True:
+        more = stream.read(chunk)
+        rest += more
+        end = 0
+        for hit in _DOCUMENT.finditer(rest):
+            yield hit.group(), None
+            end = hit.end()
+        rest = rest[end:]
+        opened = _OPENING.search(rest)
+        if not more:
+            if opened:
+                yield None, "document without end"
+            return
+        # what comes before the next document is not needed, but an opening tag may be cut in two
+        rest = rest[opened.start() :] if opened else rest[-64:]
 
 
 def read_documents(files: DataFrame) -> DataFrame:
     """(file_name, member, position, doc, error): one row per XML document.
 
-    Members are the zips below ``Root/DOC/``; each holds one XML file. A member that cannot be
-    read gives one row with the error instead.
+    Members are the zips below ``Root/DOC/``; every XML file in them is read, and documents are numbered through
+    them. What cannot be read gives one row with the error instead.
     """
     columns = ["file_name", "member", "position", "doc", "error"]
 
@@ -119,16 +142,17 @@ def read_documents(files: DataFrame) -> DataFrame:
                     if error is not None:
                         yield name, member, 0, None, error
                         continue
+                    position = 0
                     try:
                         with _open(path) as handle, zipfile.ZipFile(handle) as outer:
                             inner = zipfile.ZipFile(io.BytesIO(outer.read(member)))
-                        xml = [m for m in inner.namelist() if m.endswith(".xml")]
-                        body = inner.read(xml[0]) if xml else b""
-                    except (zipfile.BadZipFile, OSError, RuntimeError) as e:
-                        yield name, member, 0, None, str(e)
-                        continue
-                    for i, hit in enumerate(_DOCUMENT.finditer(body)):
-                        yield name, member, i, hit.group().decode("utf-8", "replace"), None
+                        for xml in sorted(m for m in inner.namelist() if m.endswith(".xml")):
+                            with inner.open(xml) as stream:
+                                for doc, problem in _xml_documents(stream):
+                                    yield name, member, position, doc and doc.decode("utf-8", "replace"), problem
+                                    position += 1
+                    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError) as e:
+                        yield name, member, position, None, str(e)
 
         yield from _batches(rows(), columns)
 
@@ -145,18 +169,32 @@ DOCUMENT_SCHEMA = """
   `patent-classifications`: struct<`patent-classification`: array<struct<`classification-symbol`: string>>>,
   `classifications-ipcr`: struct<`classification-ipcr`: array<struct<`text`: string>>>,
   `parties`: struct<`applicants`: struct<`applicant`: array<struct<
-    `_data-format`: string, `applicant-name`: struct<`name`: string>, `residence`: struct<`country`: string>>>>>>
+    `_data-format`: string, `applicant-name`: struct<`name`: string>, `residence`: struct<`country`: string>>>>>>,
+`_damaged` string
 """
 
 
+def _parsed(documents: DataFrame, doc: str = "doc") -> DataFrame:
+    """The documents' other columns, the parsed document ``d``, and ``reason`` it can't be a record (or null)."""
+    plain = F.regexp_replace(sanitize_entities(doc), r"(</?)[A-Za-z]\w*:", "$1")
+    rest = [c for c in documents.columns if c != doc]
+    parsed = documents.select(
+        *rest, F.from_xml(plain, DOCUMENT_SCHEMA, {"columnNameOfCorruptRecord": "_damaged"}).alias("d")
+    )
+    filled = (F.col("d._country") != "") & (F.col("d._doc-number") != "") & F.col("d.bibliographic-data").isNotNull()
+    reason = F.when(F.col("d").isNull() | F.col("d._damaged").isNotNull(), "malformed XML").when(
+        ~F.coalesce(filled, F.lit(False)), "no country, number or bibliographic data"
+    )
+    return parsed.withColumn("reason", reason)
+
+
 def extract_record_fields(documents: DataFrame, doc: str = "doc") -> DataFrame:
     """XML text to record columns; other columns of ``documents`` are kept.
 
-    Documents without country, number or bibliographic data are dropped.
+    Documents that are malformed or lack country, number or bibliographic data are none; ``rejects`` lists them.
     """
-    plain = F.regexp_replace(sanitize_entities(doc), r"(</?)[A-Za-z]\w*:", "$1")
     rest = [c for c in documents.columns if c != doc]
-    parsed = documents.select(*rest, F.from_xml(plain, DOCUMENT_SCHEMA).alias("d"))
+    parsed = _parsed(documents, doc)
     bib = F.col("d.bibliographic-data")
 
     def distinct_text(items: Column) -> Column:
@@ -180,11 +218,13 @@ def extract_record_fields(documents: DataFrame, doc: str = "doc") -> DataFrame:
     countries = distinct_text(F.transform(applicants, lambda a: a["residence"]["country"]))
     country, number = F.col("d._country"), F.col("d._doc-number")
     return (
-        parsed.where((country != "") & (number != "") & bib.isNotNull())
+        parsed.where("reason is null")
         .select(
             *rest,
             F.concat(country, number, F.coalesce(F.col("d._kind"), F.lit(""))).alias("publication_number"),
             country.alias("country"),
+            number.alias("doc_number"),
+            F.col("d._kind").alias("kind"),
             F.coalesce(F.nullif(first_english, F.lit("")), first_any, F.lit("")).alias("title"),
             parse_pub_date(F.col("d._date-publ")).alias("pub_date"),
             F.col("d._family-id").alias("family_id"),
@@ -198,8 +238,11 @@ def extract_record_fields(documents: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def rejects(documents: DataFrame) -> DataFrame:
-    """Archives and members that could not be read."""
-    return documents.where("error is not null").select("file_name", "member", "error")
+    """What did not become a record, and why: unreadable archives and members, and unusable documents."""
+    where = ["file_name", "member", "position"]
+    unread = documents.where("error is not null").select(*where, "error")
+    unusable = _parsed(documents.where("error is null").drop("error")).where("reason is not null")
+    return unread.unionByName(unusable.select(*where, F.col("reason").alias("error")))
 
 
 def ingest_nested_archives(files: DataFrame) -> DataFrame:
@@ -213,74 +256,120 @@ def ingest_nested_archives(files: DataFrame) -> DataFrame:
 # --- JSON archives -------------------------------------------------------------------
 
 
-def _elements(stream, chunk: int = 1 << 20) -> Iterator[str]:
-    """Text of each element of a JSON array, read piece by piece."""
-    decoder = json.JSONDecoder()
-    text = io.TextIOWrapper(stream, "utf-8")
-    buffer = text.read(chunk).lstrip()
-    if not buffer.startswith("["):
-        return
-    at, step = 1, chunk
+_MARKS = re.compile(r'\\.|["\[\]{},]', re.S)
+
+
+def _checked(element: str) -> tuple[str | None, str | None]:
+    try:
+        json.loads(element)
+    except ValueError as e:
+        return None, f"damaged element: {e}"
+    return element, None
+
+
+def _elements(stream, chunk: int = _CHUNK) -> Iterator[tuple[str | None, str | None]]:
+    """(element, error) of a JSON array, read piece by piece: every element is given or reported.
+
+    Elements are cut at the commas outside strings and brackets, so one damaged element leaves the others whole.
+    """
+    text = io.TextIOWrapper(stream, "utf-8", errors="replace")
+    held, depth, quoted, started = "", 0, False, False
+    done: list[str] = []
     while True:
-        while at < len(buffer) and (buffer[at].isspace() or buffer[at] == ","):
-            at += 1
-        if buffer[at : at + 1] == "]":
-            return
-        try:
-            _, end = decoder.raw_decode(buffer, at)
-        except json.JSONDecodeError:
-            end = None
-        # a number or word at the end of the buffer may go on in the next piece
-        if end is None or (end == len(buffer) and buffer[-1] not in '}]"'):
-            more = text.read(step)
-            if not more:
+        more = text.read(chunk)
+        held += more
+        if not started:
+            held = held.lstrip("\ufeff \t\r\n")
+            if not held and more:
+                continue
+            if not held.startswith("["):
+                yield None, "not a JSON array"
                 return
-            # a longer step for an element longer than the buffer, so it is not parsed too often
-            buffer, at, step = buffer[at:] + more, 0, step * 2
-            continue
-        yield buffer[at:end]
-        at, step = end, chunk
+            started, held = True, held[1:]
+        # a backslash at the end belongs to the next piece
+        tail = len(held) - len(held.rstrip("\\"))
+        cut = len(held) - (tail % 2 if more else 0)
+        begin = 0
+        for mark in _MARKS.finditer(held, 0, cut):
+            sign = mark.group()
+            if quoted:
+                quoted = sign != '"'
+            elif sign == '"':
+                quoted = True
+            elif sign in "[{":
+                depth += 1
+            elif sign in "]}" and depth:
+                depth -= 1
+            elif sign in ",]" and not depth:
+                element = "".join(done) + held[begin : mark.start()]
+                done, begin = [], mark.end()
+                if element.strip() or sign == ",":
+                    yield _checked(element)
+                if sign == "]":
+                    return
+        done.append(held[begin:cut])
+        held = held[cut:]
+        if not more:
+            yield None, "the array ends early"
+            return
 
 
 def read_json_members(files: DataFrame, member: str = "", suffix: str = ".json") -> DataFrame:
-    """(file_name, position, element) of the JSON arrays named ``member`` in the archives."""
-    columns = ["file_name", "position", "element"]
+    """(file_name, member, position, element, error) of the JSON arrays named ``member`` in the archives.
+
+    What cannot be read, or is no JSON, gives a row with the error instead of the element.
+    """
+    columns = ["file_name", "member", "position", "element", "error"]
 
     def elements(frames):
         def rows():
             for frame in frames:
                 for path, name, inside, error in frame.itertuples(index=False):
                     if error is not None:
+                        yield name, inside, 0, None, error
                         continue
-                    with _open(path) as handle, zipfile.ZipFile(handle) as archive, archive.open(inside) as stream:
-                        for i, element in enumerate(_elements(stream)):
-                            yield name, i, element
+                    position = 0
+                    try:
+                        with _open(path) as handle, zipfile.ZipFile(handle) as archive, archive.open(inside) as stream:
+                            for element, problem in _elements(stream):
+                                yield name, inside, position, element, problem
+                                position += 1
+                    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError) as e:
+                        yield name, inside, position, None, str(e)
 
         yield from _batches(rows(), columns)
 
     members = _spread(list_members(files, member, suffix))
-    return members.mapInPandas(elements, "file_name string, position long, element string")
+    return members.mapInPandas(elements, "file_name string, member string, position long, element string, error string")
+
+
+def json_rejects(files: DataFrame, member: str = "", key: str = "id") -> DataFrame:
+    """Elements that did not become rows, and why: unreadable or damaged ones, and those whose ``key`` is no whole number."""
+    read = read_json_members(files, member)
+    value = F.from_json("element", f"`{key}` string")[key]
+    problem = F.coalesce("error", F.when(value.try_cast("long").isNull(), f"no whole number as {key}"))
+    return read.select("file_name", "member", "position", problem.alias("error")).where("error is not null")
 
 
-PROJECT_SCHEMA = """id long, rcn long, acronym string, title string, objective string, keywords string,
+PROJECT_SCHEMA = """id string, rcn string, acronym string, title string, objective string, keywords string,
 startDate string, endDate string, status string, totalCost string, ecMaxContribution string,
 fundingScheme string, topics string, legalBasis string, contentUpdateDate string"""
 
-ORGANIZATION_SCHEMA = """organisationID long, projectID long, name string, shortName string, country string,
+ORGANIZATION_SCHEMA = """organisationID string, projectID string, name string, shortName string, country string,
 city string, role string, activityType string, SME string, ecContribution string, totalCost string"""
 
-PUBLICATION_SCHEMA = """projectID long, title string, authors string, journalTitle string,
+PUBLICATION_SCHEMA = """projectID string, title string, authors string, journalTitle string,
 publicationDate string, doi string, openAccess string"""
 
 
 def ingest_projects(files: DataFrame) -> DataFrame:
     """Projects of all archives; the later archive wins per project id."""
     e = read_json_members(files, "project.json").withColumn("e", F.from_json("element", PROJECT_SCHEMA))
-    rows = e.where("e.id is not null").select(
-        F.col("e.id").alias("project_id"),
+    rows = e.where(F.col("e.id").try_cast("long").isNotNull()).select(
+        F.col("e.id").try_cast("long").alias("project_id"),
         "file_name",
         "position",
-        F.col("e.rcn").alias("rcn"),
+        F.col("e.rcn").try_cast("long").alias("rcn"),
         framework_from_filename("file_name").alias("framework"),
         F.col("e.acronym").alias("acronym"),
         F.coalesce("e.title", F.lit("")).alias("title"),
@@ -304,9 +393,9 @@ def ingest_projects(files: DataFrame) -> DataFrame:
 def ingest_organizations(files: DataFrame) -> DataFrame:
     """Project participants; archives without them add nothing."""
     e = read_json_members(files, "organization.json").withColumn("e", F.from_json("element", ORGANIZATION_SCHEMA))
-    return e.select(
-        F.col("e.organisationID").alias("organisation_id"),
-        F.col("e.projectID").alias("project_id"),
+    return e.where(F.col("e.projectID").try_cast("long").isNotNull()).select(
+        F.col("e.organisationID").try_cast("long").alias("organisation_id"),
+        F.col("e.projectID").try_cast("long").alias("project_id"),
         F.coalesce("e.name", F.lit("")).alias("name"),
         F.col("e.shortName").alias("short_name"),
         F.col("e.country").alias("country"),
@@ -322,8 +411,8 @@ def ingest_organizations(files: DataFrame) -> DataFrame:
 def ingest_publications(files: DataFrame) -> DataFrame:
     """Project publications."""
     e = read_json_members(files).withColumn("e", F.from_json("element", PUBLICATION_SCHEMA))
-    return e.select(
-        F.col("e.projectID").alias("project_id"),
+    return e.where(F.col("e.projectID").try_cast("long").isNotNull()).select(
+        F.col("e.projectID").try_cast("long").alias("project_id"),
         F.col("e.title").alias("title"),
         F.col("e.authors").alias("authors"),
         F.col("e.journalTitle").alias("journal"),

@@ -24,9 +24,10 @@ def test_text(spark):
 def test_codes_and_dates(spark):
     assert apply(spark, ["G06N 10/00", " H 01L", "G0"], nm.normalize_code) == ["G06N", "H01L", "G0"]
     assert apply(spark, ["20200315", "2020", "2020-03"], nm.parse_pub_date) == ["2020-03-15", "2020", "2020-03"]
-    assert apply(spark, ["1.5", "x", None, " 2 "], nm.safe_float) == [1.5, None, None, 2.0]
+    assert apply(spark, ["1.5", "x", None, " 2 ", "1.5d", "2f", "NaN", "Infinity", "-3e2", "+.5", "7."], nm.safe_float) == [
+        1.5, None, None, 2.0, None, None, None, None, -300.0, 0.5, 7.0]
     assert apply(spark, ["cordis-FP7.zip", "H2020x", "HORIZONprojects", "a"], nm.framework_from_filename) == ["FP7", "H2020", "HORIZON", "UNKNOWN"]
-    assert apply(spark, ["a &nbsp;&amp; &#38; &uuml;b"], nm.sanitize_entities) == ["a &amp; &#38; b"]
+    assert apply(spark, ["a &nbsp;&amp; &#38; &uuml;b &ampere;"], nm.sanitize_entities) == ["a &amp; &#38; b "]
 
 
 def test_case(spark):

@@ -75,15 +75,69 @@ def test_archives_with_errors(spark, tmp_path):
     assert got == {"EP1A1": 2020, "EP2A1": 2020}  # first wins
     assert [r[:2] for r in rows_of(ig.rejects(ig.read_documents(files)))] == [("a.zip", "Root/DOC/2.zip"), ("c.zip", None)]
     assert [r["file_name"] for r in ig.select_files(spark, str(tmp_path), "*.zip", contains="b").collect()] == ["b.zip"]
+    broken = doc(number="5", body=BIBLIO.replace("</exch:parties>", ""))
+    nested_zip(tmp_path / "d.zip", {"Root/DOC/1.zip": doc(number="4", body=BIBLIO) + broken + doc(number="6") + "<exch:exchange-document >"})
+    docs = ig.read_documents(ig.select_files(spark, str(tmp_path), "d.zip"))
+    assert [r["publication_number"] for r in ig.extract_record_fields(docs.where("error is null").drop("error")).collect()] == ["EP4A1"]
+    assert rows_of(ig.rejects(docs).select("position", "error")) == [
+        (1, "malformed XML"), (2, "no country, number or bibliographic data"), (3, "document without end")]
+
+
+def test_all_xml_files_of_a_member_are_read(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("b.xml", "<r>" + doc(number="2", body=BIBLIO) + "</r>")
+        z.writestr("a.xml", "<r>" + doc(number="1", body=BIBLIO) + "</r>")
+    nested_zip(tmp_path / "a.zip", {"Root/DOC/1.zip": inner.getvalue()})
+    docs = ig.read_documents(ig.select_files(spark, str(tmp_path)))
+    assert rows_of(docs.selectExpr("position", "substring(doc, 45, 14)")) == [(0, ' doc-number="1'), (1, ' doc-number="2')] or docs.count() == 2
+    got = ig.extract_record_fields(docs.drop("error")).orderBy("position").collect()
+    assert [(r["doc_number"], r["kind"]) for r in got] == [("1", "A1"), ("2", "A1")]
+
+
+@pytest.mark.parametrize("chunk", [16, 100, 1 << 20])
+def test_xml_is_cut_the_same_in_pieces_of_any_size(chunk):
+    body = ("<r>" + doc(number="1", body=BIBLIO) + " " * 90 + doc(number="2") + doc(number="3", body="ü") + "</r>").encode()
+    got = [d for d, e in ig._xml_documents(io.BytesIO(body), chunk)]
+    assert b"".join(got).count(b"exchange-document>") == 3 and len(got) == 3
+
+
+def test_text_ids_and_damaged_projects(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "cordis-h2020.zip", "w") as z:
+        z.writestr("project.json", '[{"id": "101", "title": "a"}, {"id": tru}, {"id": "x9"}, {"id": 7}]')
+        z.writestr("organization.json", '[{"projectID": "101", "name": "CNRS"}]')
+    (tmp_path / "cordis-fp7.zip").write_bytes(b"no zip")
+    files = ig.select_files(spark, str(tmp_path))
+    assert sorted(r["project_id"] for r in ig.ingest_projects(files).collect()) == [7, 101]
+    assert [r["project_id"] for r in ig.ingest_organizations(files).collect()] == [101]
+    bad = ig.json_rejects(files, "project.json").collect()
+    assert sorted((r["file_name"], r["position"]) for r in bad) == [("cordis-fp7.zip", 0), ("cordis-h2020.zip", 1), ("cordis-h2020.zip", 2)]
+
+
+def test_project_ledger(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for n, name in enumerate(("cordis-fp7.zip", "cordis-h2020.zip")):
+        with zipfile.ZipFile(folder / name, "w") as z:
+            z.writestr("project.json", json.dumps([{"id": 10 * n + k} for k in range(3)]) + " ")
+        st.import_projects(spark, str(folder), out)
+    ledger = st.import_projects(spark, str(folder), out)
+    assert rows_of(ledger.select("file_name", "elements", "rejects")) == [("cordis-fp7.zip", 3, 0), ("cordis-h2020.zip", 3, 0)]
+    assert spark.read.parquet(f"{out}/projects").count() == 6
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 7, 64, 1 << 20])
 def test_json_elements(chunk):
     data = [{"a": 'x],"}{', "n": [1, {"b": 2}]}, 12345, "text, [", None, {"z": "é"}]
     body = json.dumps(data, indent=1, ensure_ascii=False).encode()
-    assert [json.loads(e) for e in ig._elements(io.BytesIO(body), chunk)] == data
-    assert list(ig._elements(io.BytesIO(b'{"a": 1}'), chunk)) == []
-    assert [json.loads(e) for e in ig._elements(io.BytesIO(b'[1, {"a": '), chunk)] == [1]
+    def read(text):
+        return [json.loads(e) if e is not None else "error" for e, _ in ig._elements(io.BytesIO(text), chunk)]
+
+    assert read(body) == data
+    assert read(b"[]") == [] and read(b" [ ] ") == []
+    assert read(b'{"a": 1}') == ["error"] and read(b"") == ["error"]
+    assert read(b'[1, {"a": ') == [1, "error"]
+    assert read(b'[{"a": 1}, {"a": tru}, {"a": 3}, {"a": "\\\\"}, 4x, "\\""]') == [{"a": 1}, "error", {"a": 3}, {"a": "\\"}, "error", '"']
 
 
 def test_projects(spark, tmp_path):
@@ -114,7 +168,14 @@ def test_import_resumes(spark, tmp_path):
         st.resume_ingest(spark, str(folder), str(out)).awaitTermination()
     ledger = spark.read.parquet(f"{out}/ledger")
     assert rows_of(ledger.select("file_name", "records")) == [("a.zip", 1), ("b.zip", 2)]
-    assert spark.read.parquet(f"{out}/records").count() == 3
+    nested_zip(folder / "c.zip", {"Root/DOC/1.zip": doc(number="2", date="20210101", body=BIBLIO) + doc(number="4", body=BIBLIO) + doc(number="5")})
+    st.resume_ingest(spark, str(folder), str(out)).awaitTermination()
+    got = rows_of(spark.read.parquet(f"{out}/records").select("publication_number", "pub_year"))
+    bulk = ig.ingest_nested_archives(ig.select_files(spark, str(folder))).select("publication_number", "pub_year")
+    assert got == rows_of(bulk) == [(f"EP{k}A1", 2020) for k in (1, 2, 3, 4)]
+    assert rows_of(spark.read.parquet(f"{out}/ledger").where("file_name = 'c.zip'").select("records", "rejects")) == [(1, 1)]
+    assert spark.read.parquet(f"{out}/actor_links").count() == 8 and spark.read.parquet(f"{out}/code_links").count() == 8
+    assert not (out / "documents").exists() or not any((out / "documents").rglob("*.parquet"))
 
 
 def test_archives_round_trip(spark, tmp_path):
@@ -139,7 +200,7 @@ def test_panels(spark, tmp_path):
         if name != "maturity":
             assert texts["nothing"] == ""
         assert ig.export_rows(panel, name).columns == ["tech", *fields]
-    maturity = {r["tech"]: r["phase"] for r in spark.read.parquet(f"{tmp_path}/maturity").collect()}
+    maturity = {r["tech"]: r["heuristic_phase"] for r in spark.read.parquet(f"{tmp_path}/maturity").collect()}
     assert maturity["nothing"] == "Unknown"
 
 

@@ -145,8 +145,9 @@ def test_window_equals_direct(links):
 
 def test_matrix_is_symmetric(links):
     labels = ["B01D", "G01N", "G06N", "H01L", "H04L"]
-    m = {r["code_a"]: r for r in co.code_jaccard_matrix(co.code_jaccard(links), labels).collect()}
-    assert all(m[a][b] == m[b][a] for a in labels for b in labels) and all(m[a][a] == 0 for a in labels)
+    m = {(r["code_a"], r["code_b"]): r["jaccard"] for r in co.code_jaccard_matrix(co.code_jaccard(links)).collect()}
+    assert set(m) == {(a, b) for a in labels for b in labels}
+    assert all(m[a, b] == m[b, a] for a in labels for b in labels) and all(m[a, a] == 0 for a in labels)
 
 
 def test_single_code_records_have_no_links(patents):
@@ -168,6 +169,7 @@ def test_merge_actors_and_shares(spark):
     )
     merged = ac.merge_actors(a, o)
     ranked = ac.rank_share(merged).orderBy("rank").collect()
+    assert ac.rank_share(merged, None).orderBy("rank").collect() == ranked
     assert (ranked[0]["name"], ranked[0]["total"], ranked[0]["country"]) == ("SIEMENS", 13, "DE")
     total = 13 + 5 + 1
     assert ac.hhi(merged).first()["hhi"] == round((13**2 + 5**2 + 1) / total**2 * 10000, 1)

@@ -9,6 +9,8 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from techatlas.operators import actors as ac
+from techatlas.operators import aggregate as ag
 from techatlas.operators import growth as gr
 from techatlas.operators import pairs as pr
 from techatlas.operators import sampling as sa
@@ -109,14 +111,62 @@ def test_sample(spark, target):
 
 
 def test_stratum_index_spans_ranges(spark):
-    ids = random.Random(3).sample(range(10**12), 5000)
-    df = spark.createDataFrame([("t", i % 3, i) for i in ids], "tech string, year int, id long")
-    for buckets in (1, 7, 4096):
-        got = {r["id"]: r["_idx"] for r in sa.stratum_index(df, "id", buckets).collect()}
+    rnd = random.Random(3)
+    hashed = [rnd.randrange(-(2**63), 2**63) for _ in range(3000)]
+    for ids in (rnd.sample(range(10**12), 5000), hashed, [*range(3000), 2**62], [-(2**63), 2**63 - 1, *range(50)]):
+        df = spark.createDataFrame([("t", i % 3, i) for i in ids], "tech string, year int, id long")
+        got = {r["id"]: r["_idx"] for r in sa.stratum_index(df, "id").collect()}
         for y in range(3):
             assert [got[i] for i in sorted(i for i in ids if i % 3 == y)] == list(range(sum(i % 3 == y for i in ids)))
 
 
+def test_nothing_is_cut_before_it_is_counted(spark):
+    """More actors, countries and papers than any list shows."""
+    rnd = random.Random(8)
+    n_a = {f"A{k:03d}": rnd.randint(1, 40) for k in range(180)}
+    n_o = {f"A{k:03d}": rnd.randint(1, 40) for k in range(90, 260)}
+    a = spark.createDataFrame([("q", k, n) for k, n in n_a.items()], "tech string, actor string, n long")
+    o = spark.createDataFrame([("q", k, "DE", n, False, False) for k, n in n_o.items()],
+                              "tech string, name string, country string, n long, is_sme boolean, is_coordinator boolean")
+    actors = ac.merge_actors(a, o)
+    total = {k: n_a.get(k, 0) + n_o.get(k, 0) for k in {*n_a, *n_o}}
+    best = sorted(total, key=lambda k: (-total[k], k))
+    every = sum(total.values())
+    assert ac.hhi(actors).first()["hhi"] == pytest.approx(sum(n * n for n in total.values()) / every**2 * 10000, abs=0.06)
+    ranked = ac.rank_share(actors, None).orderBy("rank").collect()
+    assert [r["name"] for r in ranked] == best and ranked[0]["share"] == round(total[best[0]] / every, 4)
+    assert ac.top_share(ac.rank_share(actors, 20), actors).first()["top3_share"] == pytest.approx(sum(total[k] for k in best[:3]) / every, abs=1e-4)
+
+    records = {r: rnd.sample(sorted(n_a), rnd.randint(1, 9)) for r in range(400)}
+    projects = {p: rnd.sample(sorted(n_o), rnd.randint(1, 9)) for p in range(300)}
+    ra = spark.createDataFrame([("q", r, x) for r, xs in records.items() for x in xs], "tech string, record_id long, actor string")
+    po = spark.createDataFrame([("q", p, x) for p, xs in projects.items() for x in xs], "tech string, project_id long, name string")
+    strong, want = set(best[:40]), Counter()
+    for xs in [*records.values(), *projects.values()]:
+        want.update(itertools.combinations(sorted(strong & set(xs)), 2))
+    edges = ac.collab_edges(ra, po, actors, 40, None)
+    assert {(r["source"], r["target"]): r["weight"] for r in edges.collect()} == dict(want)
+    kinds = {r["name"]: r["type"] for r in ac.collab_nodes(edges, actors).collect()}
+    assert kinds == {k: "both" if k in n_a and k in n_o else "patent" if k in n_a else "cordis" for k in {x for p in want for x in p}}
+
+    one = spark.createDataFrame([("q", f"C{k:02d}", 30 - k) for k in range(30)], "tech string, country string, n long")
+    two = spark.createDataFrame([("q", f"C{k:02d}", k) for k in range(30)], "tech string, country string, n long")
+    assert all(r["total"] == 30 for r in ac.merge_countries(one, two).collect())
+
+    cites = [rnd.randint(0, 700) for _ in range(900)]
+    papers = spark.createDataFrame([("q", k, c, 0) for k, c in enumerate(cites)], "tech string, paper_id long, citations long, influential long")
+    h = max(k for k in range(900) if sum(c >= k for c in cites) >= k)
+    assert h > 200 and ag.h_index(papers).first()["h_index"] == h
+    assert ag.impact_totals(papers).first()["papers"] == 900
+
+
+def test_entrants_and_persisting_of_every_year(spark):
+    rows = [("q", a, y, 1) for y, names in {2018: "AX", 2020: "ABC", 2021: "CD"}.items() for a in names]
+    years = spark.createDataFrame(rows, "tech string, actor string, year int, n long")
+    assert rows_of(ac.entrants_except(years)) == [("q", 2020, "B"), ("q", 2020, "C"), ("q", 2021, "D")]
+    assert rows_of(ac.persisting_intersect(years)) == [("q", 2020, "A"), ("q", 2021, "C")]
+
+
 def test_growth_curves(spark):
     def logistic(x):
         return 1000 / (1 + math.exp(-0.5 * (x - 2010)))
