@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from techatlas.llm import chat, embeddings, kdtree, language, lm, minhash, packing, spaced, spans, toxicity
-from techatlas.llm.shared import table
+from techatlas.llm.shared import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,42 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on 2-word shingles, similarity 0.8 or more."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE["op1_perspectives"] = r"""with m as (
+  select conv_id, turn, role speaker, coalesce(text, '') body from conversations),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, speaker nulls first, md5(body)) - 1 as n from m),
+p as (select distinct conv_id conv, speaker perspective from m where speaker is not null and speaker <> 'system'),
+x as (select o.*, perspective, case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user' end as part
+  from o join p on o.conv_id is not distinct from p.conv),
+y as (select *, '<|im_start|>' || part || case when part = 'user' and speaker is not null then ' name=' || speaker else '' end || chr(10) head from x),
+z as (select *, head || body || '<|im_end|>' || chr(10) full_ from y),
+s as (select *, coalesce(sum(length(full_)) over (partition by conv_id, perspective order by n
+  rows between unbounded preceding and 1 preceding), 0)::bigint begins from z)
+select conv_id, perspective, n::bigint as position, part as role, case when part = 'user' then speaker end as name, full_ as rendered, begins as start,
+  part = 'assistant' as trained, case when part = 'assistant' then begins + length(head) end mask_start,
+  (case when part = 'assistant' then length(body) + 10 else 0 end)::bigint mask_length from s"""
+
+ORACLE["op6_int8_tiles"] = """with recursive v as (
+  select vec_id, embedding::double[] e, label from embeddings where label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+link as (select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, to_) as (select vec_id, vec_id from embeddings union select reach.id, link.y from reach join link on link.x = reach.to_),
+comp as (select id, min(to_) component_id from reach group by 1),
+n as (select x, count(*) n_links from link group by 1)
+select vec_id, coalesce(n_links, 0) n_links, component_id, vec_id = component_id kept
+from embeddings join comp on comp.id = vec_id left join n on n.x = vec_id"""
+
+ORACLE["op10_minhash"] = f"""with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') w from documents),
+sh as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end s
+  from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) i from t where len(w) > 0)),
+n as (select doc_id, count(*) n from sh group by 1),
+both_ as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y from both_ join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+edge as (select x, y from link union all select y, x from link),
+reach(id, to_) as (select doc_id, doc_id from documents union select reach.id, edge.y from reach join edge on edge.x = reach.to_),
+comp as (select id, min(to_) component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept
+from documents d join comp on comp.id = d.doc_id left join n on n.doc_id = d.doc_id"""
