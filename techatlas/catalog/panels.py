@@ -11,6 +11,7 @@ from techatlas.catalog.queries import QUERIES, Ctx, query
 from techatlas.plans import panels as pa
 from techatlas.plans import reports as rp
 from techatlas.plans.analysis import Analysis
+from techatlas.sources import ingest as ig
 
 AS_OF = "2001-08-01"
 
@@ -115,6 +116,28 @@ def run_metadata(c):
     return meta.select("tech", "complete_until", *[F.array_join(x, "|").alias(x) for x in ("sources", "methods", "warnings")])
 
 
+def _export(name: str, build) -> None:
+    """Register the export table of a panel as ``export_<panel>``."""
+
+    def run(c):
+        dimension = c.star.country_dimension() if name == "geographic" else None
+        return ig.export_rows(build(c), name, dimension)
+
+    run.__name__ = f"export_{name}"
+    run.__doc__ = f"Rows of the {name} export."
+    query(run)
+
+
+_export("landscape", lambda c: pa.landscape(_panels(c)))
+_export("maturity", lambda c: pa.maturity(_panels(c)))
+_export("competitive", lambda c: pa.competitive(_panels(c), F.lit(AS_OF).cast("date")))
+_export("funding", lambda c: pa.funding(_panels(c)))
+_export("code_flow", lambda c: pa.code_flow(_panels(c), c.star.code_dimension()))
+_export("geographic", lambda c: pa.geographic(_panels(c)))
+_export("research_impact", lambda c: pa.research_impact(_panels(c)))
+_export("temporal", lambda c: pa.temporal(_panels(c)))
+
+
 # --- SQL twins -----------------------------------------------------------------------
 
 #: BASE with the records cut at their last full year, as the panels do.
@@ -256,3 +279,17 @@ ORACLE["run_metadata"] = CLAMPED + """select t.tech, least(end_year, y) complete
     union all select 'publications' where t.tech in (select tech from pubs) union all select 'papers' where t.tech in (select tech from pap))) sources,
   'phrase search|yearly aggregation|concentration index|growth curve fit|Jaccard index|h-index' methods,
   case when y < end_year then 'record data is complete up to ' || y || ' only' else '' end warnings from terms t, lfy"""
+
+ORACLE["export_landscape"] = CLAMPED + f"""select tech, year, records, projects, publications, reg records_growth, prg projects_growth, pug publications_growth
+  from {GROWN}"""
+ORACLE["export_maturity"] = BASE.rstrip() + ",\n" + fit_ctes() + "\n" + f"select tech, year, n records, cumulative, fitted from ({ORACLE['join_fitted_values'].split(fit_ctes())[1].strip()})"
+ORACLE["export_competitive"] = CLAMPED + f"""select r.tech, r.rank, r.name, records, projects, total, share, coalesce(r.country, e.lc) country
+  from {RK} r left join {LEI} e on r.name = e.name where rank <= 100"""
+ORACLE["export_funding"] = CLAMPED + "select tech, year, n projects, funding from fy"
+ORACLE["export_code_flow"] = CLAMPED + f"""select tech, code_a, a.description description_a, code_b, b.description description_b, jaccard
+  from jac join {DESC} a on a.code = code_a join {DESC} b on b.code = code_b"""
+ORACLE["export_geographic"] = CLAMPED + f"""select tech, g.country, coalesce(label, g.country) as label, coalesce(is_european, false) is_european, records, projects, total
+  from {GEO} g left join dim_country d on d.country = g.country"""
+ORACLE["export_research_impact"] = CLAMPED + f"select tech, title, year, citations, venue from ({ORACLE['top_papers'].removeprefix(BASE)})"
+ORACLE["export_temporal"] = CLAMPED.rstrip() + ",\n" + YRS + f"""
+select tech, year, total_actors, round(new_entrant_rate * 100, 1) new_entrant_rate, round(persistence_rate * 100, 1) persistence_rate from {DYN}"""

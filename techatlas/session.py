@@ -39,10 +39,31 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``materialize`` wrote and ``release`` has not removed.
+_written: list[str] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme Spark would read it by, so that Python tasks open the same place."""
+    target, files = _hadoop(spark, path)
+    return files.makeQualified(target).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, on whatever file system it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _hadoop(spark, path)
+    files.delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate results; to be called when no DataFrame built on them is needed any more."""
+    while _written:
+        remove(spark, _written.pop())
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
@@ -53,4 +74,5 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from techatlas.functions.labels import EUROPEAN
 from techatlas.functions.names import (
     framework_from_filename,
     parse_pub_date,
@@ -431,16 +432,31 @@ EXPORTS = {
     "competitive": ("full_actors", ["rank", "name", "records", "projects", "total", "share", "country"]),
     "funding": ("time_series", ["year", "projects", "funding"]),
     "code_flow": ("pairs", ["code_a", "description_a", "code_b", "description_b", "jaccard"]),
-    "geographic": ("country_distribution", ["country", "records", "projects", "total"]),
+    "geographic": ("country_distribution", ["country", "label", "is_european", "records", "projects", "total"]),
     "research_impact": ("top_papers", ["title", "year", "citations", "venue"]),
     "temporal": ("entrant_persistence_trend", ["year", "total_actors", "new_entrant_rate", "persistence_rate"]),
 }
 
 
-def export_rows(panel: DataFrame, name: str) -> DataFrame:
-    """Flat rows of a panel's export table."""
+def export_rows(panel: DataFrame, name: str, countries: DataFrame | None = None) -> DataFrame:
+    """Flat rows of a panel's export table.
+
+    Rates are in percent with one decimal. ``countries`` (country, label, is_european) names the
+    countries; without it codes stand for names.
+    """
     column, fields = EXPORTS[name]
-    return panel.select("tech", F.explode(column).alias("r")).select("tech", *[F.col(f"r.{f}") for f in fields])
+    rows = panel.select("tech", F.explode(column).alias("r")).select("tech", "r.*")
+    if name == "geographic":
+        if countries is None:
+            rows = rows.withColumn("label", F.col("country")).withColumn("is_european", F.col("country").isin(EUROPEAN))
+        else:
+            rows = rows.join(countries.select("country", "label", "is_european"), "country", "left")
+            rows = rows.withColumn("label", F.coalesce("label", "country"))
+            rows = rows.withColumn("is_european", F.coalesce("is_european", F.lit(False)))
+    if name == "temporal":
+        rates = ("new_entrant_rate", "persistence_rate")
+        rows = rows.withColumns({c: F.round(F.col(c) * 100, 1) for c in rates})
+    return rows.select("tech", *fields)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
