@@ -6,7 +6,7 @@ Every piece is a sequence of its own: no sequence crosses documents, none needs
 sequences of one length form a bucket (``bucket``: log2 of the length) that is batched together.
 
 The tokenizer's words end at white space, so the ids of a text are those of its white-space-separated parts in a
-row; each task tokenizes a part once and keeps its ids (up to a bound). Special tokens' strings in a text are
+row; each Python worker tokenizes a part once and keeps its ids (up to a bound). Special tokens' strings in a text are
 ordinary text. Null texts count as empty: the end id alone. Rows are packed as often as they occur.
 sequence_id: the task's number and a running number, the same whenever the same files are read.
 """
@@ -14,6 +14,8 @@ sequence_id: the task's number and a running number, the same whenever the same
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,44 +28,53 @@ from techatlas.llm.shared import utf8
 
 LENGTH = 4096
 END = 2
-CACHE = 300_000
+CACHE = 1_200_000
 CACHED_BYTES = 64
 TEXT_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 1000
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
-class Ids(dict):
-    """Ids of white-space-separated parts, as little-endian unsigned 32-bit numbers."""
+class Ids:
+    """Ids of texts, as little-endian unsigned 32-bit numbers; keeps those of the first CACHE parts seen."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[bytes, bytes] = {}
 
-    def add(self, parts: list[bytes]) -> None:
+    def encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
         for k in range(0, len(parts), WORDS_AT_ONCE):
             some = parts[k : k + WORDS_AT_ONCE]
-            encoded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            for part, e in zip(some, encoded, strict=True):
-                self[part] = np.array(e.ids, "<u4").tobytes()
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            for part, e in zip(some, found, strict=True):
+                out[part] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
+        return out
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, with the end id."""
         split = [t.split() for t in texts]
         parts = set().union(*split)
-        self.add([p for p in parts if p not in self])
+        new = self.encoded([p for p in parts if p not in self.known])
+        if len(self.known) < CACHE:
+            self.known.update((p, i) for p, i in new.items() if len(p) <= CACHED_BYTES)
+        ids = {p: self.known[p] for p in parts if p not in new} | new
         end = np.array([END], "<u4").tobytes()
-        out = [b"".join(map(self.__getitem__, s)) + end for s in split]
-        if len(self) > CACHE:
-            self.clear()
-        else:
-            for p in parts:
-                if len(p) > CACHED_BYTES:
-                    del self[p]
-        return out
+        return [b"".join(map(ids.__getitem__, s)) + end for s in split]
+
+
+_loaded: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The tokenizer of this Python worker; its tasks share it and the parts it knows."""
+    if path not in _loaded:
+        _loaded[path] = Ids(path)
+    return _loaded[path]
 
 
 def lengths(n: int, longest: int) -> list[int]:
@@ -86,7 +97,7 @@ def _grouped(texts: list[bytes | None]) -> Iterator[list[bytes]]:
 
 def _pieces(path: str, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = ids_of(path)
         sequence = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
