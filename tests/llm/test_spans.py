@@ -79,6 +79,19 @@ def test_passages_of_fifty_words_are_cut_once(spark):
         assert all(f"Own start {d}" in left[d] and "here." in left[d] for d in range(5))
 
 
+def test_passages_inside_long_sentences_are_cut_at_any_offset(spark):
+    """60 words without a full stop after 1 to 30 other words: all but some words at the ends go."""
+    passage = [f"p{k}q" for k in range(60)]
+    docs = [(d, " ".join([*(f"b{d}x{k}" for k in range(1 + d)), *passage, *(f"e{d}x{k}" for k in range(30 - d))])) for d in range(30)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], brute.DOCS)
+    left = {r["doc_id"]: r["text"].split() for r in spans.cut_rows(df).collect()}
+    assert left[0] == docs[0][1].split()
+    for d in range(1, 30):
+        own = [w for w in docs[d][1].split() if w not in passage]
+        assert [w for w in left[d] if w not in passage] == own
+        assert len(left[d]) - len(own) <= 20
+
+
 def test_sentences_make_up_the_text():
     for _, t in fixture(3):
         text = (t or "").encode()
