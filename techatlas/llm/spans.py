@@ -1,7 +1,8 @@
 """Substring dedup on sliding sentence spans.
 
 A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends;
-sentences of over ``LONGEST`` words are cut at places that depend on the words nearby (``_cuts``), so that equal passages are cut alike whatever stands before them. Every run of ``RUN`` consecutive sentences
+sentences of over ``LONGEST`` words are cut at places that depend on the words nearby (``_cuts``), so that equal passages are cut alike whatever stands before them. Where ``RUN`` sentences have under ``LEAST_WORDS`` words, they and
+their like beside them are joined to longer ones by the same rule, so that no run is too short. Every run of ``RUN`` consecutive sentences
 with at least ``LEAST_WORDS`` words is hashed (128 bits; A-Z in lower case, white space as one blank).
 Of each hash the occurrence with the smallest (doc_id, hash of the text, sentence number) is the
 first; sentences covered by any other occurrence, in the same or another text, are removed.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +62,45 @@ def _cuts(marks: list[int]) -> list[int]:
     return cuts[1:]
 
 
+def _thin(words: list[int]) -> list[bool]:
+    """Which sentences lie in RUN consecutive ones of under LEAST_WORDS words, from the words of each."""
+    thin = [False] * len(words)
+    for i in range(len(words) - RUN + 1):
+        if sum(words[i : i + RUN]) < LEAST_WORDS:
+            thin[i : i + RUN] = [True] * RUN
+    return thin
+
+
 def sentences(text: bytes) -> list[tuple[int, int]]:
     """Byte ranges of the sentences that hold a word; together with the white space between them they are the text."""
-    out = []
+    pieces = []
     low = 0
     for high in [*(m.end() for m in _END.finditer(text)), len(text)]:
         part = text[low:high]
         n = len(part.split())
         if n > LONGEST:
             begins = [m.start() for m in _WORD.finditer(part)]
-            marks = [xxhash.xxh3_64_intdigest(w) for w in part.lower().split()]
-            cuts = [low, *(low + begins[k] for k in _cuts(marks)), high]
-            out += list(zip(cuts, cuts[1:], strict=False))
+            ends = _cuts([xxhash.xxh3_64_intdigest(w) for w in part.lower().split()])
+            cuts = [low, *(low + begins[k] for k in ends), high]
+            pieces += zip(cuts, cuts[1:], (b - a for a, b in pairwise([0, *ends, n])), strict=False)
             low = high
         elif n:
-            out.append((low, high))
+            pieces.append((low, high, n))
             low = high
         # a range without words goes with the next sentence
+    out = []
+    for thin, group in groupby(zip(pieces, _thin([n for _, _, n in pieces]), strict=True), lambda x: x[1]):
+        ranges = [r for r, _ in group]
+        if thin:
+            marks, ends = [], {}
+            for a, b, n in ranges:
+                marks += [NEVER] * (n - 1)
+                marks.append(xxhash.xxh3_64_intdigest(b" ".join(text[a:b].lower().split())))
+                ends[len(marks)] = b
+            cuts = [ranges[0][0], *(ends[k] for k in _cuts(marks)), ranges[-1][1]]
+            out += pairwise(cuts)
+        else:
+            out += [(a, b) for a, b, _ in ranges]
     return out
 
 

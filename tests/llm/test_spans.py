@@ -92,6 +92,33 @@ def test_passages_inside_long_sentences_are_cut_at_any_offset(spark):
         assert len(left[d]) - len(own) <= 20
 
 
+def test_passages_of_short_sentences_are_cut_once(spark):
+    """60 words in sentences of one and two words: all but some words at the ends go, equal texts lose everything."""
+    one = " ".join(f"p{k}!!" for k in range(60))
+    two = " ".join(f"p{k} q{k}." for k in range(30))
+    same = "word!! " * 60
+    for passage in (one, two, same):
+        docs = [(d, f"Own start {d}{d}a {d}b {d}c.\n{passage}\nOwn end {d}a {d}b {d}c here.") for d in range(3)]
+        docs += [(10, passage), (11, passage)]
+        df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], brute.DOCS)
+        left = {r["doc_id"]: r["text"].split() for r in spans.cut_rows(df).collect()}
+        assert left[11] == []
+        for d in (1, 2):
+            own = [w for w in docs[d][1].split() if w not in passage.split()]
+            assert [w for w in left[d] if w not in passage.split()] == own
+            assert len(left[d]) - len(own) <= 20
+
+
+def test_no_run_is_too_short():
+    rnd = random.Random(9)
+    for _ in range(300):
+        text = " ".join(" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 1, 2, 3, 5, 9, 30]))) + "." for _ in range(rnd.randint(0, 40)))
+        words = [len(text[a:b].split()) for a, b in spans.sentences(text.encode())]
+        assert sum(words) == len(text.split()) and max(words, default=0) <= spans.LONGEST
+        assert all(sum(words[i : i + spans.RUN]) >= spans.LEAST_WORDS for i in range(len(words) - spans.RUN + 1))
+        assert len(words) >= spans.RUN or sum(words) <= 2 * spans.LONGEST
+
+
 def test_sentences_make_up_the_text():
     for _, t in fixture(3):
         text = (t or "").encode()
