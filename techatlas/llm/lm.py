@@ -1,17 +1,15 @@
 """N-gram language model as a weighted backoff automaton.
 
-Tokens of a text: its whitespace words (A-Z in lower case), then one end token. Words are counted
-over all training rows. N-grams of two and more words are counted over all training rows as far as
-they can reach the floor: an n-gram occurs at most as often as its parts, so only n-grams whose
-parts reached it are counted. States and arcs are those n-grams that make up at least ``FLOOR`` of
-all tokens (and occur twice), hence at most 1 / FLOOR per order whatever the size of the corpus;
-that model is broadcast. All other words stay in a distributed table and meet the texts by a join.
+Tokens of a text: its whitespace words (A-Z in lower case), then one end token. Words and n-grams are
+counted over all training rows; states and arcs are all n-grams that occur twice, whatever the size of
+the corpus. They stay in distributed tables, which the words of the texts meet by equi-joins, longest
+n-gram first. Only numbers for the words that make up at least ``FLOOR`` of all tokens (at most 1 / FLOOR)
+are broadcast; other words are numbered by 63 bits of a hash.
 
 Probabilities: words as in the base score, (c + ADD) / (N + ADD * (V + 1)); longer n-grams by
 absolute discounting, the rest of the mass going to the shorter context, so that every state's
 probabilities sum to 1. A state without an arc for the next word passes it to its failure state
-at the price of the backoff weight. A word outside the automaton leads to the root, whose
-arc for it lies in the table.
+at the price of the backoff weight.
 
 Null texts count as empty: one end token. Rows without doc_id are held out. Repeated rows are
 scored, and trained on, once each.
@@ -22,9 +20,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ END, START, OTHER = 0, 1, -1
 FIRST_WORD = 2
 COUNTER_WORDS = 300_000
 TOKENS_AT_ONCE = 2_000_000
+TEXTS_AT_ONCE = 1000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,71 +189,142 @@ class Automaton:
         return vocabulary, arcs, fail, weight, down, words_to.get(START, 0), single
 
 
-def _traverse(automaton):
-    """One walk per text. Words outside the automaton are listed for the join."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(k, TEXTS_AT_ONCE)
+
+
+def _numbers(text: bytes | None, vocabulary: dict[bytes, int]) -> list[int]:
+    """Numbers of a text's words: those of the vocabulary, or the (negative) hash of a word outside it."""
+    get = vocabulary.get
+    return [get(w) or -1 - (xxhash.xxh3_64_intdigest(w) >> 1) for w in words_of(text)]
+
 
+def _numbered_words(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, arcs, fail, weight, down, start, single = automaton.value.built()
-        counts = automaton.value.word_counts
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n = batch.num_rows
-            tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            words, times, ends = [], [], [0]
-            for k, text in enumerate(batch["text"]):
-                found = words_of(text.as_py())
-                get = vocabulary.get
-                ids = [get(w, OTHER) for w in found]
-                ids.append(END)
-                state, total = start, 0.0
-                for w in ids:
-                    if w < 0:
-                        total += down[state]
-                        state = 0
-                        continue
-                    arc = arcs[state].get(w)
-                    while arc is None:
-                        total += weight[state]
-                        state = fail[state]
-                        arc = arcs[state].get(w)
-                    state = arc[0]
-                    total += arc[1]
-                numbers = np.array(ids, np.int64)
-                inside = numbers[numbers >= 0]
-                tokens[k], known[k] = len(ids), int((counts[inside] > 0).sum())
-                base[k], score[k] = single[inside].sum(), total
-                if len(inside) < len(ids):
-                    rest = Counter(w for w, i in zip(found, ids, strict=False) if i < 0)
-                    words += rest.keys()
-                    times += rest.values()
-                ends.append(len(words))
-            ends_ = pa.array(ends, pa.int32())
-            yield pa.record_batch(
-                [
-                    pa.array(np.arange(row, row + n)),
-                    batch["doc_id"],
-                    batch["held_out"],
-                    pa.array(tokens),
-                    pa.array(known),
-                    pa.array(base),
-                    pa.array(score),
-                    pa.ListArray.from_arrays(ends_, pa.array(words, pa.binary())),
-                    pa.ListArray.from_arrays(ends_, pa.array(times, pa.int64())),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"],
-            )
-            row += n
+            ids = [END if w is None else _numbers(w, vocabulary.value)[0] for w in batch["word"].to_pylist()]
+            yield pa.record_batch([pa.array(ids, pa.int64()), batch["n"]], names=["id", "n"])
 
     return run
 
 
-def fit(texts: DataFrame, order: int = 3, floor: float = FLOOR) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table of all word counts (null: end token) of texts (text as bytes)."""
-    spark = texts.sparkSession
+def _numbered_texts(vocabulary):
+    """Every text as the numbers of its words, between START and END."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in _slices(batches):
+            ids = [[START, *_numbers(t.as_py(), vocabulary.value), END] for t in batch["text"]]
+            at = pa.array(np.arange(row, row + len(ids)))
+            out = [at, batch["doc_id"], batch["held_out"], pa.array(ids, pa.list_(pa.int64()))]
+            yield pa.record_batch(out, names=["row", "doc_id", "held_out", "ids"])
+            row += len(ids)
+
+    return run
+
+
+def _windows(ids: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all places of some texts: text, place in it, and the ``order`` words that end there as columns."""
+    ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.diff(ends, prepend=0)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(ids)), sizes)
+    place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    before = [np.concatenate([np.zeros(min(k, len(flat)), np.int64), flat[: max(0, len(flat) - k)]]) for k in range(order - 1, -1, -1)]
+    return text, place, np.array(before)
+
+
+def _gram_rows(columns: np.ndarray, place: np.ndarray, n: int) -> list[pa.Array]:
+    """The last n words at every place; columns further left, and those before the text, are null."""
+    order = len(columns)
+    back = range(order - 1, -1, -1)
+    return [pa.array(c, mask=(k >= n) | (place < k)) for c, k in zip(columns, back, strict=True)]
+
+
+def _count_grams(order: int):
+    """Partial counts of the n-grams of 2 to ``order`` words; shorter ones have nulls on the left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            _, place, columns = _windows(batch["ids"], order)
+            for n in range(2, order + 1):
+                at = place >= n - 1
+                own = columns[order - n :, at]
+                by = np.lexsort(own)
+                own = own[:, by]
+                new = np.ones(own.shape[1], bool)
+                new[1:] = (own[:, 1:] != own[:, :-1]).any(axis=0)
+                first = np.flatnonzero(new)
+                times = np.diff(first, append=own.shape[1])
+                none = [pa.nulls(len(first), pa.int64())] * (order - n)
+                out = [*none, *(pa.array(c[first]) for c in own), pa.array(times.astype(np.int64))]
+                yield pa.record_batch(out, names=[*_names(order), "n"])
+
+    return run
+
+
+def _places_of(order: int):
+    """A row for every word and end of a text, with the words before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            text, place, columns = _windows(batch["ids"], order)
+            at = place > 0
+            rows = batch["row"].to_numpy()[text[at]]
+            yield pa.record_batch([pa.array(rows), *_gram_rows(columns[:, at], place[at], order)], names=["row", *_names(order)])
+
+    return run
+
+
+def _names(order: int) -> list[str]:
+    return [f"w{k}" for k in range(1, order + 1)]
+
+
+def _with(df: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """df with the columns of table for the word number in ``name`` (never null); words of the vocabulary meet it by a broadcast."""
+    same = F.col(name) == F.col("id")
+    inside = df.where(F.col(name) >= 0).join(F.broadcast(table.where("id >= 0")), same, "left")
+    outside = df.where(F.col(name) < 0).join(table.where("id < 0"), same, "left")
+    return inside.unionByName(outside).drop("id")
+
+
+def _model(grams: DataFrame, words: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Per order from 2: table of n-grams with count and probability p, table of contexts with their weight."""
+    names = _names(order)
+    tables, weights = [], []
+    for n in range(2, order + 1):
+        own = names[order - n :]
+        rows = grams.where(F.col(own[0]).isNotNull())
+        rows = (rows.where(F.col(names[order - n - 1]).isNull()) if n < order else rows).select(*own, "n")
+        if n == 2:
+            rows = _with(rows, words.select("id", F.col("n").alias("of")), own[0])
+            rows = _with(rows, words.select("id", F.col("p").alias("lower")), own[1])
+        else:
+            shorter = tables[-1]
+            heads = shorter.select(*(F.col(a).alias(b) for a, b in zip(own[1:], own[:-1], strict=True)), F.col("n").alias("of"))
+            rows = rows.join(heads, own[:-1]).join(shorter.select(*own[1:], F.col("p").alias("lower")), own[1:])
+        rows = materialize(rows.select(*own, "n", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p"), "lower"), "grams")
+        rest = [F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "lower")]
+        # contexts are named as the words before the last one
+        weights.append(materialize(rows.groupBy(*own[:-1]).agg(F.log10(rest[0] / rest[1]).alias("weight")), "weights"))
+        tables.append(rows.drop("lower"))
+    return tables, weights
+
+
+def _word_counts(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """Table of all word counts (null: end token) of texts (text as bytes), number of tokens, of types."""
     counts = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "word_counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
-    tokens, types = total["n"] or 0, total["types"]
+    return counts, total["n"] or 0, total["types"]
+
+
+def fit(texts: DataFrame, order: int = 3, floor: float = FLOOR) -> tuple[Automaton, DataFrame]:
+    """The model in memory, for small corpora, and the table of all word counts of texts."""
+    spark = texts.sparkSession
+    counts, tokens, types = _word_counts(texts)
     least = max(2.0, floor * tokens)
     ends = counts.where("word is null").first()
     ends = ends["n"] if ends else 0
@@ -272,7 +345,7 @@ def fit(texts: DataFrame, order: int = 3, floor: float = FLOOR) -> tuple[Automat
     return Automaton(words, word_counts, keys, times, tokens, types), counts
 
 
-def score(docs: DataFrame, order: int = 3, floor: float = FLOOR) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, floor: float = 0.0) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -280,29 +353,59 @@ def score(docs: DataFrame, order: int = 3, floor: float = FLOOR) -> DataFrame:
         (doc_remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
         utf8(F.col("text")).alias("text"),
     )
-    model, counts = fit(rows.where(~F.col("held_out")).select("text"), order, floor)
-    walked = rows.mapInArrow(
-        _traverse(spark.sparkContext.broadcast(model)),
-        "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-        "words array<binary>, times array<long>",
+    counts, tokens, types = _word_counts(rows.where(~F.col("held_out")).select("text"))
+    norm = tokens + ADD * (types + 1)
+    least = max(2.0, floor * tokens)
+    short = counts.where("word is not null").where(F.col("n") >= max(2.0, FLOOR * tokens)).orderBy(F.desc("n"), "word")
+    listed = short.select("word").toArrow()["word"].to_pylist()
+    vocabulary = spark.sparkContext.broadcast({w: FIRST_WORD + k for k, w in enumerate(listed)})
+    words = counts.mapInArrow(_numbered_words(vocabulary), "id long, n long")
+    words = words.unionByName(words.where(F.col("id") == END).select(F.lit(START).cast("long").alias("id"), "n"))
+    words = materialize(words.withColumn("p", (F.col("n") + ADD) / F.lit(norm)), "words")
+    texts = materialize(
+        rows.mapInArrow(_numbered_texts(vocabulary), "row long, doc_id long, held_out boolean, ids array<long>"), "texts"
     )
-    walked = materialize(walked, "walked")
-    least = max(2.0, floor * model.tokens)
-    rare = counts.where("word is not null").where(F.col("n") < least)
-    pairs = walked.select("row", F.explode(F.arrays_zip("words", "times")).alias("p"))
-    pairs = pairs.select("row", F.col("p.words").alias("word"), F.col("p.times").alias("times"))
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + F.lit(ADD)) / F.lit(model.norm))
-    rest = pairs.join(rare, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * log_p).alias("rest"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rest_known"),
+    names = _names(order)
+    schema = ", ".join(f"{w} long" for w in names)
+    grams = texts.where(~F.col("held_out")).select("ids").mapInArrow(_count_grams(order), f"{schema}, n long")
+    grams = materialize(grams.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
+    tables, weights = _model(grams, words, order)
+
+    unseen = F.log10(F.lit(ADD) / F.lit(norm))
+    places = texts.select("row", "ids").mapInArrow(_places_of(order), f"row long, {schema}")
+    left = places.withColumn("s", F.lit(0.0))
+    done = []
+    for n in range(order, 1, -1):
+        own = names[order - n :]
+        table = tables[n - 2].select(*own, F.log10("p").alias("arc"))
+        met = left.join(table, own, "left")
+        met = materialize(met.select("row", *own, "s", "arc"), "met")
+        done.append(met.where("arc is not null").select("row", (F.col("s") + F.col("arc")).alias("s")))
+        fell = met.where("arc is null").drop("arc")
+        weight = weights[n - 2]
+        if n == 2:
+            fell = _with(fell, weight.withColumnRenamed(own[0], "id"), own[0])
+        else:
+            fell = fell.join(weight, own[:-1], "left")
+        left = fell.select("row", *own[1:], (F.col("s") + F.coalesce("weight", F.lit(0.0))).alias("s"))
+    left = materialize(left, "left")
+    single = words.select("id", F.log10("p").alias("arc"))
+    found = _with(left, single, names[-1])
+    done.append(found.select("row", (F.col("s") + F.coalesce("arc", unseen)).alias("s")))
+    summed = reduce(DataFrame.unionByName, done).groupBy("row").agg(F.sum("s").alias("score"))
+
+    each = texts.select("row", F.explode(F.slice("ids", 2, F.size("ids"))).alias("w"))
+    known = _with(each, words.select("id", "n", F.log10("p").alias("arc")), "w").groupBy("row").agg(
+        F.count(F.when(F.col("n") > 0, 1)).alias("n_known"), F.sum(F.coalesce("arc", unseen)).alias("base_score")
     )
-    rest_log = F.coalesce("rest", F.lit(0.0))
-    return walked.join(rest, "row", "left").select(
+    return texts.select("row", "doc_id", "held_out", (F.size("ids") - 1).cast("long").alias("n_tokens")).join(
+        known, "row", "left"
+    ).join(summed, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rest_log).alias("base_score"),
-        (F.col("score") + rest_log).alias("score"),
+        "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
     )

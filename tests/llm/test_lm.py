@@ -112,3 +112,15 @@ def test_held_out_texts_gain_over_the_base(spark):
     df = lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
     r = df.selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
     assert r["s"] / r["n"] > r["b"] / r["n"] + 0.1
+
+
+def test_model_does_not_shrink_as_the_corpus_grows(spark):
+    """A trigram that occurs twice counts among 1.5 million tokens as among a few."""
+    rare = [(i, "one rare trigram") for i in (1, 3)]
+    rows = [*rare, *((10 + i, "filler " * 30000) for i in range(55))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], brute.DOCS)
+    got = {r["doc_id"]: r for r in lm.score(df).collect()}
+    p, one, total, z = model(rows, 3, 0.0)
+    assert got[1]["train_tokens"] == total > 1.1e6 and one["rare"] == 2
+    want = sum(math.log10(p(w, h)) for w, h in [("one", ("<s>",)), ("rare", ("<s>", "one")), ("trigram", ("one", "rare")), ("</s>", ("rare", "trigram"))])
+    assert got[1]["score"] == pytest.approx(want, rel=1e-9)
