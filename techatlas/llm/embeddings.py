@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by int8 tile products with exact error bounds.
 
-Vectors are compared within one label (and one length) by cosine in double precision. Equal
-vectors form one class, and one of each class goes on. Classes of a label are cut into tiles of
+Vectors are compared within one label (and one length) by cosine in double precision; components are
+kept as given, single for array<float> and double for all others. Equal vectors form one class, and one
+of each class goes on. Classes of a label are cut into tiles of
 ``TILE`` vectors, whatever the label's share of all rows, and a task compares two tiles:
 
 * a unit vector u is kept as s * q, q in -127 .. 127, with e >= |u - s q|. For two vectors,
@@ -83,13 +84,19 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _tile_pairs(threshold: float):
+def _vectors(values: bytes, dim: int, kind: str) -> np.ndarray:
+    """Vectors of a tile; doubles times a power of two each, so that no square leaves the range."""
+    x = np.frombuffer(values, kind).reshape(-1, dim).astype(np.float64)
+    return x if kind == "<f4" else np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _tile_pairs(threshold: float, element: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                x = np.frombuffer(row["x"], "<f4").reshape(-1, dim).astype(np.float64)
-                y = None if row["y"] is None else np.frombuffer(row["y"], "<f4").reshape(-1, dim).astype(np.float64)
+                x = _vectors(row["x"], dim, element)
+                y = None if row["y"] is None else _vectors(row["y"], dim, element)
                 ids = np.concatenate([row["x_ids"], row["y_ids"] or []]).astype(np.int64)
                 times = np.concatenate([row["x_times"], row["y_times"] or []]).astype(np.int64)
                 shift = 0 if y is None else len(x)
@@ -116,25 +123,31 @@ def _tile_pairs(threshold: float):
     return run
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(element: str):
     """One row per tile: its vectors as one binary value."""
-    for batch in batches:
-        values = [np.array([m["embedding"] for m in ms], "<f4").tobytes() for ms in batch["members"].to_pylist()]
-        ids = [[m["vec_id"] for m in ms] for ms in batch["members"].to_pylist()]
-        times = [[m["times"] for m in ms] for ms in batch["members"].to_pylist()]
-        keys = [[m["key"] for m in ms] for ms in batch["members"].to_pylist()]
-        kind = pa.list_(pa.int64())
-        yield pa.record_batch(
-            [batch["label"], batch["dim"], batch["tile"], pa.array(values, pa.binary()), pa.array(ids, kind), pa.array(times, kind), pa.array(keys, kind)],
-            names=["label", "dim", "tile", "x", "ids", "times", "keys"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.array([m["embedding"] for m in ms], element).tobytes() for ms in batch["members"].to_pylist()]
+            ids = [[m["vec_id"] for m in ms] for ms in batch["members"].to_pylist()]
+            times = [[m["times"] for m in ms] for ms in batch["members"].to_pylist()]
+            keys = [[m["key"] for m in ms] for ms in batch["members"].to_pylist()]
+            kind = pa.list_(pa.int64())
+            yield pa.record_batch(
+                [batch["label"], batch["dim"], batch["tile"], pa.array(values, pa.binary()), pa.array(ids, kind), pa.array(times, kind), pa.array(keys, kind)],
+                names=["label", "dim", "tile", "x", "ids", "times", "keys"],
+            )
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    element = "<f4" if single else "<f8"
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
         F.col("label").alias("label"),
     )
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -151,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     tiles = classes.groupBy("label", "dim", F.floor(F.col("number") / TILE).alias("tile")).agg(members)
     label = rows.schema["label"].dataType.simpleString()
     tiles = tiles.select("label", "dim", "tile", "members").mapInArrow(
-        _tiles, f"label {label}, dim int, tile long, x binary, ids array<long>, times array<long>, keys array<long>"
+        _tiles(element), f"label {label}, dim int, tile long, x binary, ids array<long>, times array<long>, keys array<long>"
     )
     tiles = materialize(tiles, "tiles")
 
@@ -170,7 +183,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     none = {"y": "binary", "y_ids": "array<long>", "y_times": "array<long>", "y_keys": "array<long>"}
     alone = one.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     work = pairs.select(columns).unionByName(alone.select(columns))
-    found = work.mapInArrow(_tile_pairs(threshold), "key long, id long, links long, root long")
+    found = work.mapInArrow(_tile_pairs(threshold, element), "key long, id long, links long, root long")
     found = materialize(found, "found")
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

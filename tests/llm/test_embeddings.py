@@ -80,3 +80,16 @@ def test_query_and_empty_table(spark):
     got = queries.QUERIES["op6_int8_tiles"](spark, sf).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == plain(rows)
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_double_columns_are_compared_as_given(spark):
+    """Cosines within 2e-8 of the threshold, components beyond and below single precision."""
+    rows = []
+    for k in [*range(-20, 0), *range(1, 21)]:
+        c = 0.93 + k * 1e-9
+        rows += [(100 + 2 * k, [1.0, 0.0], k), (101 + 2 * k, [c, (1 - c * c) ** 0.5], k)]
+    rows += [(900, [1e300, 1e299], 99), (901, [1e-300, 1e-301], 99), (902, [1e300, -1e300], 99)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    want = {i: int(k > 0) for i, _, k in rows if k != 99} | {900: 1, 901: 1, 902: 0}
+    assert got == want
