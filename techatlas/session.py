@@ -66,13 +66,14 @@ def release(spark: SparkSession) -> None:
         remove(spark, _written.pop())
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def materialize(df: DataFrame, purpose: str, by: str | None = None, **options: str) -> DataFrame:
     """Write an intermediate result below the shared folder and go on from the files.
 
     For results used several times: they are computed once, survive lost executors, and the
-    plans built on them stay small.
+    plans built on them stay small. ``by``: a column whose values get a folder each; ``options``: of the Parquet writer.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    out = df.write.options(**options)
+    (out.partitionBy(by) if by else out).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
