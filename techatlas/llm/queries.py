@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from techatlas.llm import chat, embeddings, kdtree, language, lm, minhash, packing, spaced, spans, toxicity
+from techatlas.llm import (
+    align,
+    chat,
+    dualtree,
+    embeddings,
+    exact,
+    kdtree,
+    language,
+    lm,
+    minhash,
+    packing,
+    spaced,
+    spans,
+    toxicity,
+)
 from techatlas.llm.shared import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +107,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates by 128-bit hash and bytes; the smallest id stays."""
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return dualtree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query
+def op13_lockstep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over all texts."""
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.alignment(table(spark, sf_dir, "documents"), a, b)
+
+
 ORACLE["op1_perspectives"] = r"""with m as (
   select conv_id, turn, role speaker, coalesce(text, '') body from conversations),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, speaker nulls first, md5(body)) - 1 as n from m),
@@ -130,3 +165,21 @@ reach(id, to_) as (select doc_id, doc_id from documents union select reach.id, e
 comp as (select id, min(to_) component_id from reach group by 1)
 select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept
 from documents d join comp on comp.id = d.doc_id left join n on n.doc_id = d.doc_id"""
+
+ORACLE["op11_exact"] = r"""with t as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') s from documents),
+g as (select s, min(doc_id) keep_id, count(*) group_size from t group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(s) as text_sha256 from t join g using (s)"""
+
+ORACLE["op12_dual_tree"] = f"""with d as (
+  select doc_id, regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') w from documents),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) t from benchmark),
+c as (select count(*) n_all, sum(len(w))::bigint l_all from d where len(w) > 0),
+tf as (select doc_id, len(w) n, unnest(w) t from d),
+v as (select doc_id, n, t, count(*) tf from tf where t in (select t from i) group by all),
+df as (select t, floor(1000 * ln((2 * n_all + 2)::double / (2 * count(*) + 1)::double))::bigint w from v, c group by t, n_all),
+s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_all) // l_all))))::bigint score
+  from i join v using (t) join df using (t), c group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from s where score > 0 qualify rank <= 50"""
