@@ -29,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import utf8
+from techatlas.llm.shared import Known, tidy, utf8
 from techatlas.session import materialize
 
 #: The word rule of A's file type: fixed values of the public format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"
-#: Parts that a worker remembers: so many bytes of them, counted with what Python needs for each.
+#: Bytes of known parts that a worker keeps; 300 for Python's own needs of each.
 MEMORY = 48 << 20
+CACHED_LETTERS = 64
 #: Longer parts go through the plain library, which copes with any length.
 LONG_PART = 2000
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 2 << 20
 #: Parts to a lane.
 LANE = 128
 #: Pairs of ids in one slice.
@@ -87,8 +88,7 @@ class Pair:
         self.parted = not any(SPACE in p.lstrip(SPACE) for p in names)
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int32)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int32)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.held = 0
+        self.known = Known(MEMORY, lambda part, found: 300 + 2 * len(part) + len(found[0]) + len(found[1]))
 
     def parts(self, text: str) -> list[str]:
         """The text without the space before each part."""
@@ -124,16 +124,12 @@ class Pair:
 
     def of(self, texts: list[list[str]]) -> dict[str, tuple[bytes, bytes, bool]]:
         parts = set().union(*texts)
-        known = self.known
-        new = self.tokens([p for p in parts if p not in known])
-        out = {p: known[p] for p in parts if p not in new} | new
-        if self.held > MEMORY:
-            self.known, self.held = {}, 0
-        for p, v in new.items():
-            if len(p) <= 64:
-                self.known[p] = v
-                self.held += 300 + 2 * len(p) + len(v[0]) + len(v[1])
-        return out
+        out = self.known.among(parts)
+        new = self.tokens([p for p in parts if p not in out])
+        for p, found in new.items():
+            if len(p) <= CACHED_LETTERS:
+                self.known.put(p, found)
+        return out | new
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -314,7 +310,7 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("text"))
     return rows.mapInArrow(
-        _aligned_rows(a, b),
+        tidy(_aligned_rows(a, b)),
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, cuts binary",
     )
 
@@ -340,7 +336,7 @@ def _pair_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """Per pair of ids that is linked anywhere: pair, b_id, a_id, n (links), best (no other A id has more with this B id)."""
-    rows = aligned.select("pairs").mapInArrow(_counted, "pair long, n long")
+    rows = aligned.select("pairs").mapInArrow(tidy(_counted), "pair long, n long")
     n = rows.groupBy("pair").agg(F.sum("n").alias("n"))
     n = materialize(n.withColumn("b_id", F.shiftright("pair", 16)), "pair_counts")
     # A's vocabulary bounds the pairs of a B id, and with it this join
@@ -397,7 +393,7 @@ def weighed(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                 table["best"].to_numpy().astype(np.int8),
             )
         )
-        part = aligned.select("row", "pairs").mapInArrow(_weighed(model), "row long, count_sum long, n_best long")
+        part = aligned.select("row", "pairs").mapInArrow(tidy(_weighed(model)), "row long, count_sum long, n_best long")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return aligned.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})

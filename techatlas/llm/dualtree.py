@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import utf8
+from techatlas.llm.shared import tidy, utf8
 from techatlas.session import materialize
 
 K = 50
@@ -87,7 +87,7 @@ def vectors(docs: DataFrame, known) -> DataFrame:
     ``known``: broadcast numbers of the block's terms.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("text"))
-    rows = rows.mapInArrow(_vector_rows(known), "doc_id long, n long, idx binary, tf binary")
+    rows = rows.mapInArrow(tidy(_vector_rows(known)), "doc_id long, n long, idx binary, tf binary")
     first = F.pmod(F.xxhash64("doc_id", "n"), F.lit(WAVES)) == 0
     return rows.where("n > 0").withColumn("part", F.when(first, 0).otherwise(1))
 
@@ -337,7 +337,7 @@ def _search_block(spark, docs: DataFrame, items: list, k: int) -> DataFrame | No
             (start, idx, weight[idx], weight.astype(np.float64), least, n, total["length"], k)
         )
         part = rows.where(F.col("part") == 0 if first else F.col("part") > 0).select("doc_id", "n", "idx", "tf")
-        part = part.mapInArrow(_searched(model), "item long, doc_id long, score long")
+        part = part.mapInArrow(tidy(_searched(model)), "item long, doc_id long, score long")
         found = materialize(_best(part if first else part.unionByName(found), k).drop("rank"), "ranked")
         if first:
             for r in found.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).collect():

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import components, split_by, utf8, words_of
+from techatlas.llm.shared import components, split_by, tidy, utf8, words_of
 from techatlas.session import materialize
 
 HASHES = 112
@@ -147,7 +147,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Per row: n_shingles, set_id (128-bit hash of the set), packed signature, band keys."""
     return keyed(docs).mapInArrow(
-        _signature_rows(size),
+        tidy(_signature_rows(size)),
         "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, bands array<long>",
     )
 
@@ -324,7 +324,7 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
         "bucket", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "class", "signature"
     )
     edges = _dealt(members, "bucket", "one", "two").select("part", "side", "class", "signature")
-    edges = edges.mapInArrow(_family_edges(estimate_floor(percent)), "a long, b long")
+    edges = edges.mapInArrow(tidy(_family_edges(estimate_floor(percent))), "a long, b long")
     return components(edges).select(F.col("id").alias("class"), F.col("component").alias("family"))
 
 
@@ -349,7 +349,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
     needed = own.select("doc_id", "text_hash").hint("merge")
     texts, _ = split_by(keyed(docs), own, "text_hash")
     sets = texts.join(needed, ["doc_id", "text_hash"], "left_semi")
-    sets = sets.mapInArrow(_set_rows(size), "doc_id long, text_hash long, shingles binary")
+    sets = sets.mapInArrow(tidy(_set_rows(size)), "doc_id long, text_hash long, shingles binary")
     sets = sets.dropDuplicates(["doc_id", "text_hash"])
     own = own.join(tiles, ["family", "step"]).join(sets, ["doc_id", "text_hash"])
     own = own.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
@@ -357,7 +357,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
 
     columns = ["part", "side", "class", "comp", "signature", "shingles"]
     alone = own.withColumn("side", F.lit(0)).withColumn("comp", F.col("class"))
-    links = _dealt(alone, "family", "row", "tile").select(columns).mapInArrow(_links(percent), "a long, b long")
+    links = _dealt(alone, "family", "row", "tile").select(columns).mapInArrow(tidy(_links(percent)), "a long, b long")
     links = materialize(links, "links")
     large = tiles.where("row >= 0").select("family", "row", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     if large.isEmpty():
@@ -380,7 +380,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
         meet.select("pair", "family", F.col("row2").alias("row"), F.col("tile2").alias("tile"), F.lit(1).alias("side"))
     )
     dealt = own.join(parts.select("class", "comp"), "class").join(sides, ["family", "row", "tile"])
-    more = _dealt(dealt, "pair").select(columns).mapInArrow(_links(percent), "a long, b long")
+    more = _dealt(dealt, "pair").select(columns).mapInArrow(tidy(_links(percent)), "a long, b long")
     return links.unionByName(materialize(more, "links"))
 
 

@@ -6,7 +6,7 @@ Every piece is a sequence of its own: no sequence crosses documents, none needs
 sequences of one length form a bucket (``bucket``: log2 of the length) that is batched together.
 
 The tokenizer's words end at white space, so the ids of a text are those of its white-space-separated parts in a
-row; each Python worker tokenizes a part once and keeps its ids (up to a bound). Special tokens' strings in a text are
+row; each Python worker keeps the ids of the parts it meets most, in MEMORY bytes. Special tokens' strings in a text are
 ordinary text. Null texts count as empty: the end id alone. Rows are packed as often as they occur.
 sequence_id: the task's number and a running number, the same whenever the same files are read.
 """
@@ -24,19 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import utf8
+from techatlas.llm.shared import Known, tidy, utf8
 
 LENGTH = 4096
 END = 2
-CACHE = 1_200_000
+#: Bytes of known parts that a worker keeps; 130 for Python's own needs of each.
+MEMORY = 48 << 20
 CACHED_BYTES = 64
-TEXT_AT_ONCE = 1 << 20
+TEXT_AT_ONCE = 2 << 20
 WORDS_AT_ONCE = 1000
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class Ids:
-    """Ids of texts, as little-endian unsigned 32-bit numbers; keeps those of the first CACHE parts seen."""
+    """Ids of texts, as little-endian unsigned 32-bit numbers; keeps those of frequent parts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -44,7 +45,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known(MEMORY, lambda part, ids: 130 + len(part) + len(ids))
 
     def encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -59,10 +60,12 @@ class Ids:
         """The ids of each text, with the end id."""
         split = [t.split() for t in texts]
         parts = set().union(*split)
-        new = self.encoded([p for p in parts if p not in self.known])
-        if len(self.known) < CACHE:
-            self.known.update((p, i) for p, i in new.items() if len(p) <= CACHED_BYTES)
-        ids = {p: self.known[p] for p in parts if p not in new} | new
+        ids = self.known.among(parts)
+        new = self.encoded([p for p in parts if p not in ids])
+        for p, i in new.items():
+            if len(p) <= CACHED_BYTES:
+                self.known.put(p, i)
+        ids |= new
         end = np.array([END], "<u4").tobytes()
         return [b"".join(map(ids.__getitem__, s)) + end for s in split]
 
@@ -137,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LENGTH) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     pieces = rows.mapInArrow(
-        _pieces(tokenizer, longest),
+        tidy(_pieces(tokenizer, longest)),
         "doc_id long, start long, length long, doc_tokens long, sequence_id long, ids binary",
     )
     return pieces.withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))

@@ -1,9 +1,12 @@
-"""Helpers of the operators: whitespace words, connected components, gapless numbering."""
+"""Helpers of the operators: whitespace words, connected components, gapless numbering, memory of workers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,57 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def give_back() -> None:
+    """Return memory that this process has freed, but still holds, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not everywhere
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for ``mapInArrow``, with memory given back at the end of each task: workers serve many tasks and stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+class Known:
+    """What a worker remembers of things met before: values by key, in at most ``limit`` bytes.
+
+    Two generations: new keys go into the young one; when it is half the limit the old one is dropped and the
+    young one takes its place. Keys that come back move to the young one, so frequent ones stay.
+    ``size``: bytes that a key and its value take.
+    """
+
+    def __init__(self, limit: int, size: Callable) -> None:
+        self.limit, self.size = limit, size
+        self.young, self.old, self.held = {}, {}, 0
+
+    def put(self, key, value) -> None:
+        if self.held > self.limit // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+        self.held += self.size(key, value)
+
+    def among(self, keys) -> dict:
+        """Those of keys that are known, with their values."""
+        young, old = self.young, self.old
+        found = {k: young[k] for k in keys if k in young}
+        again = [k for k in keys if k in old and k not in found]
+        for k in again:
+            found[k] = old[k]
+        for k in again:
+            self.put(k, found[k])
+        return found
+
+
 #: Buckets of the filter that spares rows a shuffle.
 FILTER_BUCKETS = 1 << 20
 

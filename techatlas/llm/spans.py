@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from techatlas.llm.shared import split_by, utf8
+from techatlas.llm.shared import split_by, tidy, utf8
 from techatlas.session import materialize
 
 RUN = 3
@@ -138,7 +138,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     Only hashes that occur more than once are joined back; a frequent one is counted before the
     shuffle, and its many occurrences are split by the adaptive skew join.
     """
-    spans = _keyed(docs).mapInArrow(_span_rows, "doc_id long, text_hash long, sentence int, span binary")
+    spans = _keyed(docs).mapInArrow(tidy(_span_rows), "doc_id long, text_hash long, sentence int, span binary")
     spans = materialize(spans, "spans")
     place = F.struct("doc_id", "text_hash", "sentence")
     first = spans.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from techatlas.llm.shared import doc_remainder, utf8
+from techatlas.llm.shared import doc_remainder, tidy, utf8
 
 SLOTS = 1 << 18
 FACTORS = 8
@@ -189,10 +189,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)) < int(_BUCKETS * share))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.lower(F.coalesce("text", F.lit("")))).alias("text"))
     found = texts.join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    found = found.mapInArrow(_term_rows, "toxic double, terms array<long>")
+    found = found.mapInArrow(tidy(_term_rows), "toxic double, terms array<long>")
     # a bounded sample: one task may hold it; sorted, so that the model is the same each time
     sample = found.repartition(1).sortWithinPartitions(F.xxhash64("terms", "toxic"), "toxic")
-    rows_ = sample.mapInArrow(_fit_rows, "slot long, weight double, vector array<double>").toArrow()
+    rows_ = sample.mapInArrow(tidy(_fit_rows), "slot long, weight double, vector array<double>").toArrow()
     slot = np.array(rows_["slot"].to_pylist(), np.int64)
     weight = np.array(rows_["weight"].to_pylist())
     vector = np.array(rows_["vector"].to_pylist()).reshape(len(slot), FACTORS)
@@ -222,7 +222,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
         F.xxhash64("text").alias("text_hash"),
         utf8(F.lower(F.coalesce("text", F.lit("")))).alias("text"),
     )
-    scored = base.mapInArrow(_score(machine), "doc_id long, text_hash long, score double")
+    scored = base.mapInArrow(tidy(_score(machine)), "doc_id long, text_hash long, score double")
     return scored.select(
         "doc_id",
         "text_hash",

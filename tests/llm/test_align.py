@@ -123,7 +123,8 @@ def test_memory_of_a_worker_is_bounded(monkeypatch):
     pair = align.Pair(A, B)
     for k in range(20):
         pair.of([["w%d" % (100 * k + j) for j in range(100)]])
-        assert pair.held <= 100_000 + 100 * 400 and len(pair.known) < 500
+        assert pair.known.held <= 50_500 and len(pair.known.young) + len(pair.known.old) < 400
+    assert pair.known.among(["w1999", "w0"]).keys() == {"w1999"}
 
 
 def test_query_and_empty_table(spark, frame):

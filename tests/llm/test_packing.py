@@ -31,6 +31,16 @@ def test_ids_equal_the_tokenizers_for_whole_texts():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected(texts)
 
 
+def test_memory_of_a_worker_is_bounded_and_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 20_000)
+    ids, texts = packing.Ids(tokenizer_path()), odd_texts()
+    for k in range(0, len(texts), 20):
+        some = texts[k : k + 20]
+        got = ids.documents([(t or "").encode() for t in some])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected(some)
+        assert ids.known.held <= 10_500
+
+
 def test_pieces_are_an_exact_round_trip(spark):
     texts = [*odd_texts(), "twice", "twice"]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "nameless", "en", "s", 1)]
