@@ -84,7 +84,7 @@ def resumed_import_records(c):
     again = docs.withColumn("record_id", F.col("record_id") + ar.OUTER * 1_000_000)
     ar.write_nested_archives(again, folder).write.format("noop").mode("overwrite").save()
     st.resume_ingest(c.spark, folder, out).awaitTermination()
-    return c.spark.read.parquet(f"{out}/records").select("publication_number", "title", "pub_date", "doc_number", "kind")
+    return st.imported(c.spark, out, "records").select("publication_number", "title", "pub_date", "doc_number", "kind")
 
 
 oracle(
@@ -93,6 +93,31 @@ oracle(
 )
 
 
+@query
+def resumed_import_reversed(c):
+    """Late archives arrive first, with other titles: earlier ones replace them, as if all had been imported at once."""
+    folder, out = shared_dir(c.spark, "reversed"), shared_dir(c.spark, "import")
+    docs = ar.record_documents(c.star.records())
+    late = docs.where("record_id % 3 > 0").select(
+        (F.col("record_id") + ar.OUTER * 1_000_000).alias("record_id"), F.replace("doc", F.lit('lang="en"> '), F.lit('lang="en">late ')).alias("doc")
+    )
+    for part in (late, docs):
+        ar.write_nested_archives(part, folder).write.format("noop").mode("overwrite").save()
+        st.resume_ingest(c.spark, folder, out).awaitTermination()
+    records = st.imported(c.spark, out, "records")
+    links = st.imported(c.spark, out, "code_links").groupBy("record_id").agg(F.count("*").alias("n_codes"))
+    return records.join(links, "record_id", "left").select(
+        "publication_number", "title", "pub_date", F.coalesce("n_codes", F.lit(0)).alias("n_codes")
+    )
+
+
+oracle(
+    "resumed_import_reversed",
+    """select concat(country, record_id, 'A1') publication_number, coalesce(title, 'Titel') title, pub_date, coalesce(n, 0) n_codes
+  from records left join (select record_id, count(*) n from record_code group by 1) using (record_id)""",
+)
+
+
 @query
 def file_selection(c):
     chosen = ig.select_files(c.spark, _archive_folder(c), "docdb_*.zip", contains="0", recursive=True)
@@ -106,13 +131,15 @@ oracle(
 )
 
 
-def _projects_json(c) -> str:
-    folder = shared_dir(c.spark, "projects")
-    p = c.star.projects().select(
+def _projects_json(c, folder: str | None = None, keep: str = "true", name=None, **other) -> str:
+    """Archives of the projects for which ``keep`` holds, with ``other`` columns in place of theirs."""
+    folder = folder or shared_dir(c.spark, "projects")
+    p = c.star.projects().where(keep).withColumns(other).select(
         F.col("project_id").alias("id"),
         "acronym",
         "title",
         "objective",
+        "keywords",
         F.col("start_date").alias("startDate"),
         "status",
         F.col("total_cost").cast("string").alias("totalCost"),
@@ -122,7 +149,7 @@ def _projects_json(c) -> str:
         F.col("funding_scheme").alias("fundingScheme"),
         F.coalesce("framework", F.lit("other")).alias("_framework"),
     )
-    name = F.concat(F.lit("cordis-"), F.col("_framework"))
+    name = F.concat(F.lit("cordis-"), F.col("_framework")) if name is None else name
     ar.write_json_archives(p, folder, "project.json", name).write.format("noop").mode("overwrite").save()
     return folder
 
@@ -131,18 +158,50 @@ def _projects_json(c) -> str:
 def ingest_json_projects(c):
     files = ig.select_files(c.spark, _projects_json(c))
     return ig.ingest_projects(files).select(
-        "project_id", "framework", "acronym", "title", "objective", "start_date", "start_year", "total_cost",
+        "project_id", "framework", "acronym", "title", "objective", "keywords", "start_date", "start_year", "total_cost",
         "ec_max_contribution", "funding_scheme",
     )
 
 
 oracle(
     "ingest_json_projects",
-    """select project_id, coalesce(framework, 'UNKNOWN') framework, acronym, coalesce(title, '') title, objective, start_date, start_year,
+    """select project_id, coalesce(framework, 'UNKNOWN') framework, acronym, coalesce(title, '') title, objective, keywords, start_date, start_year,
   total_cost, ec_max_contribution, funding_scheme from projects""",
 )
 
 
+@query
+def projects_over_runs(c):
+    """Archives that overlap, in four runs: a new version, one that failed and is repeated, and an old version that comes late."""
+    folder, out = shared_dir(c.spark, "projects"), shared_dir(c.spark, "import")
+
+    def broken():
+        raise RuntimeError("the run ends here")
+
+    def add(name: str, keep: str, **other):
+        _projects_json(c, folder, keep, F.lit(name), **other)
+
+    add("cordis-2-h2020", "project_id % 3 > 0", title=F.lit("second"), start_date=F.lit("1990-01-01"))
+    st.import_projects(c.spark, folder, out)
+    add("cordis-3-h2020", "true")
+    try:
+        st.import_projects(c.spark, folder, out, before_commit=broken)
+    except RuntimeError:
+        pass
+    st.import_projects(c.spark, folder, out)
+    add("cordis-1-h2020", "project_id % 2 = 0", title=F.lit("first"))
+    add("cordis-4-h2020", "project_id % 7 = 0", title=F.concat(F.lit("fourth "), F.col("acronym")))
+    st.import_projects(c.spark, folder, out)
+    return st.imported_projects(c.spark, out).select("project_id", "framework", "title", "keywords", "start_date", "start_year")
+
+
+oracle(
+    "projects_over_runs",
+    """select project_id, 'H2020' framework, case when project_id % 7 = 0 then 'fourth ' || acronym else coalesce(title, '') end title, keywords, start_date, start_year
+  from projects""",
+)
+
+
 @query
 def ingest_json_organizations(c):
     folder = shared_dir(c.spark, "organizations")
@@ -202,6 +261,22 @@ def records_by_year_stream(c):
 oracle("records_by_year_stream", "select * from rby")
 
 
+@query
+def records_by_year_redelivered(c):
+    """Every record arrives twice, over three starts of the stream; each counts once."""
+    folder, out = shared_dir(c.spark, "arriving"), shared_dir(c.spark, "counts")
+    arriving = c.star.records().select("record_id", "title", "codes", "pub_year")
+    arriving = materialize(arriving, "records")
+    schema = "record_id long, title string, codes string, pub_year int"
+    for part in ("record_id % 2 = 0", "record_id % 3 > 0", "record_id % 2 = 1 or record_id % 3 = 0"):
+        arriving.where(part).repartition(4, "record_id").write.mode("append").parquet(folder)
+        st.count_new_records(c.spark, folder, c.an.terms, out, schema).awaitTermination()
+    return st.latest_counts(c.spark, out)
+
+
+oracle("records_by_year_redelivered", "select * from rby")
+
+
 @query
 def export_csv(c):
     """A panel table written as CSV and read back."""

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from techatlas.catalog.queries import ALL_TERMS, PREFIXES, TYPED
+from techatlas.catalog.queries import ALL_TERMS, KEYWORDS, PREFIXES, TYPED
 from techatlas.functions.labels import STOPWORDS
 from techatlas.functions.names import LEGAL_FORMS
-from techatlas.functions.text import ACCENTED, FOLDED, WORD_PATTERN
+from techatlas.functions.text import WORD_PATTERN
 from techatlas.operators import growth as gr
 from techatlas.sources.tables import TERMS
 
 
 def norm(x: str) -> str:
-    return f"trim(regexp_replace(translate(lower({x}), '{ACCENTED}', '{FOLDED}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    # folding by the database's own rule, not by the library's table
+    return f"trim(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def values(rows) -> str:
@@ -68,7 +69,7 @@ record_code as (select record_id, unnest(cs) code, pub_year from code_lists wher
 projects as (
   select o_orderkey project_id,
     case substr(o_orderpriority,1,1) when '1' then 'FP7' when '2' then 'H2020' when '5' then 'H2020' when '3' then 'HORIZON' end framework,
-    concat('PRJ', o_orderkey) acronym, title, keywords objective, strftime(o_orderdate, '%Y-%m-%d') start_date,
+    concat('PRJ', o_orderkey) acronym, title, concat('Work for the ', lower(c_mktsegment), ' sector') objective, keywords, strftime(o_orderdate, '%Y-%m-%d') start_date,
     year(o_orderdate)::int start_year, o_orderstatus status, o_totalprice total_cost,
     case when o_orderstatus <> 'P' then o_totalprice end ec_max_contribution, c_mktsegment funding_scheme
   from orders join customer on o_custkey = c_custkey left join order_text on o_orderkey = l_orderkey),
@@ -88,7 +89,7 @@ papers as (
 publications as (select doc_id publication_id, text title, (1995 + doc_id % 7)::int as year from documents),
 rm as (select t.tech, r.* from records r join terms t on ({has_phrase('r.title')} or {has_phrase('r.codes')})
   where {WINDOW.format(y='r.pub_year')}),
-pm as (select t.tech, p.* from projects p join terms t on ({has_phrase('p.title')} or {has_phrase('p.objective')})
+pm as (select t.tech, p.* from projects p join terms t on ({has_phrase('p.title')} or {has_phrase('p.objective')} or {has_phrase('p.keywords')})
   where {WINDOW.format(y='p.start_year')}),
 ra as (select rm.tech, rm.record_id, rm.pub_year, a.actor_id, a.raw_name, {actor_name('a.raw_name')} actor
   from rm join record_actor a using (record_id)),
@@ -226,7 +227,8 @@ oracle("match_prefix", f"""select t.tech, r.record_id, r.title from records r jo
 oracle("match_all_terms", "select tech, record_id from am", ctes(ALL_MATCH))
 oracle("search_records", f"""select tech, record_id, publication_number, country, title, pub_date, applicant_names, applicant_countries, codes, family_id
   from rm""")
-oracle("search_projects", """select tech, project_id, framework, acronym, title, objective, start_date, status, total_cost, ec_max_contribution, funding_scheme
+oracle("search_project_keywords", "select tech, project_id, keywords from pm", BASE.replace(values(TERMS), values(KEYWORDS)))
+oracle("search_projects", """select tech, project_id, framework, acronym, title, objective, keywords, start_date, status, total_cost, ec_max_contribution, funding_scheme
   from pm""")
 oracle("records_codes", "select tech, record_id, codes from rm where trim(codes) <> ''")
 oracle("records_codes_years", "select tech, record_id, codes, pub_year as year from rm where trim(codes) <> '' and pub_year is not null")
@@ -454,6 +456,11 @@ oracle("code_jaccard_window", """select p.tech, p.a code_a, p.b code_b, p.n, ca.
     """wl as (select * from cl where pub_year between 1997 and 1999),
 wt as (select tech, code, count(distinct record_id) n from wl group by 1, 2 qualify row_number() over (partition by tech order by n desc, code) <= 10),
 wp as (select x.tech, x.code a, y.code b, count(distinct x.record_id) n from wl x join wl y on x.tech = y.tech and x.record_id = y.record_id and x.code < y.code group by 1, 2, 3)"""))
+ORACLE["code_cube_pairs"] = ORACLE["pairs_codes_year"]
+ORACLE["code_cube_window"] = ORACLE["code_jaccard_window"]
+oracle("code_cube_maps", """select x.tech, x.pub_year as year, concat(x.code, '|', y.code) pair, count(distinct x.record_id) n
+  from (select * from cl semi join tc using (tech, code)) x join (select * from cl semi join tc using (tech, code)) y
+    on x.tech = y.tech and x.record_id = y.record_id and x.code < y.code group by all""")
 oracle("code_jaccard_matrix", """select a.tech, a.code code_a, b.code code_b, coalesce(max(j), 0.0) jaccard from
   (select tech, code_a code from mj union select tech, code_b from mj) a join (select tech, code_a code from mj union select tech, code_b from mj) b using (tech)
   left join mj on mj.tech = a.tech and mj.code_a = least(a.code, b.code) and mj.code_b = greatest(a.code, b.code) group by 1, 2, 3""", ctes(

@@ -107,9 +107,6 @@ def radar_all(c):
     )
 
 
-QUERIES["all_panels"] = QUERIES["radar_all"]
-
-
 @query
 def run_metadata(c):
     meta = pa.run_metadata(_panels(c))
@@ -233,6 +230,10 @@ ORACLE["panel_code_flow"] = CLAMPED + panel_sql(
     ("@s pairs", rows(f"(select j.*, a.description da, b.description db from jac j join {DESC} a on a.code = code_a join {DESC} b on b.code = code_b)",
                       "jaccard desc, code_a, code_b", "code_a", "da", "code_b", "db", dec("jaccard"))),
     ("@s code_years", rows("(select cy.* from cy where (tech, code) in (select tech, code from tc))", "code, pub_year", "code", "pub_year", "n")),
+    ("@s pair_years", rows("""(select x.tech, x.pub_year, x.code a, y.code b, count(distinct x.record_id) n
+      from (select * from cl semi join tc using (tech, code)) x join (select * from cl semi join tc using (tech, code)) y
+        on x.tech = y.tech and x.record_id = y.record_id and x.code < y.code group by all)""",
+      "pub_year, a, b", "pub_year", "a", "b", "n")),
 )
 
 AC = f"({ORACLE['records_by_actor_country'].removeprefix(BASE)})"

@@ -21,14 +21,16 @@ from techatlas.operators import ranking as rk
 from techatlas.operators import sampling as sa
 from techatlas.operators import series as se
 from techatlas.operators import terms as te
+from techatlas.plans import cube
 from techatlas.plans.analysis import Analysis
-from techatlas.session import materialize
+from techatlas.session import materialize, shared_dir
 from techatlas.sources.tables import StarSchema, terms_table
 
 QUERIES: dict = {}
 
 PREFIXES = [("hot a", "hot a", 1995, 2001), ("larg", "larg", 1995, 2001), ("cold bolt", "cold bolt", 1996, None)]
 ALL_TERMS = [("anvil hot", "anvil hot", None, None), ("ring blue", "ring blue", None, None)]
+KEYWORDS = [("brand 12", "Bránd 12", 1995, 2001), ("brand 3", "Brand 3", None, None), ("brand 55", "bra\u0301nd#55", 1996, None)]
 TYPED = [("hot", "hot", None, None), ("blue r", "blue r", None, None), ("ol", "old", None, None)]
 
 
@@ -225,11 +227,18 @@ def search_records(c):
 @query
 def search_projects(c):
     return c.an.projects.select(
-        "tech", "project_id", "framework", "acronym", "title", "objective", "start_date", "status", "total_cost",
+        "tech", "project_id", "framework", "acronym", "title", "objective", "keywords", "start_date", "status", "total_cost",
         "ec_max_contribution", "funding_scheme",
     )
 
 
+@query
+def search_project_keywords(c):
+    """Projects that hold a phrase among their keywords only."""
+    found = Analysis(c.tables, c.terms(KEYWORDS))
+    return found.projects.select("tech", "project_id", "keywords")
+
+
 @query
 def records_codes(c):
     return co.records_codes(c.an.records)
@@ -792,6 +801,33 @@ def code_jaccard_window(c):
     return co.code_jaccard_window(pairs, years, 1997, 1999, 10)
 
 
+def _cube(c) -> str:
+    """The year cube of the hits, written as a table."""
+    out = shared_dir(c.spark, "cube")
+    cube.write(c.hits, out)
+    return out
+
+
+@query
+def code_cube_pairs(c):
+    """Yearly pair counts of all codes, as the stored cube holds them."""
+    return cube.pairs(c.spark, _cube(c))
+
+
+@query
+def code_cube_window(c):
+    """A span of years answered from the stored cube."""
+    return cube.window(c.spark, _cube(c), 1997, 1999, 10)
+
+
+@query
+def code_cube_maps(c):
+    """The yearly counts of the top codes as a client gets them: nested maps, here as rows."""
+    maps = cube.year_maps(c.spark, _cube(c), co.top_codes(c.hits.code_links))
+    years = maps.select("tech", F.explode("pair_counts").alias("year", "counts"))
+    return years.select("tech", "year", F.explode("counts").alias("pair", "n"))
+
+
 @query
 def code_jaccard_matrix(c):
     """Sections as labels: the matrix of first characters."""

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they fold to, position by position.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçý"
-FOLDED = "aaaaaaeeeeiiiiooooouuuuncy"
+
+def _folds() -> tuple[str, str]:
+    """Lower-case Latin letters that are decomposed into a letter and marks, and that letter, position by position.
+
+    The combining marks stand last and have no counterpart: ``translate`` drops them, so that composed and decomposed
+    spellings are the same. Letters without a decomposition (ø, ł, ß, ı) stay.
+    """
+    marked, plain = [], []
+    for letter in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and letter == letter.lower():
+            marked.append(letter)
+            plain.append(base)
+    return "".join(marked + [chr(c) for c in range(0x300, 0x370)]), "".join(plain)
+
+
+ACCENTED, FOLDED = _folds()
 
 #: Words of a title as the term extraction sees them: letters and digits of any script, and hyphens.
 WORD_PATTERN = r"[\p{L}\p{N}-]+"

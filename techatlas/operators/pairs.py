@@ -218,18 +218,21 @@ def pairs_codes(links: DataFrame, top: DataFrame) -> DataFrame:
     return bounded_pair_counts(kept, "record_id", "code", ["tech"])
 
 
-def pairs_codes_of(matches: DataFrame, top: DataFrame, level: int = 4, min_codes: int = 2) -> DataFrame:
+def pairs_codes_of(
+    matches: DataFrame, top: DataFrame, level: int = 4, min_codes: int = 2, yearly: bool = False
+) -> DataFrame:
     """``pairs_codes`` for matches that carry their code text: every row cuts its codes down to
-    the top codes by itself, so neither records nor links are shuffled."""
+    the top codes by itself, so neither records nor links are shuffled. ``yearly``: per pub_year."""
+    keys = ["tech", "pub_year"] if yearly else ["tech"]
     labels = top.groupBy("tech").agg(F.collect_list("code").alias("_labels"))
     sets = (
         matches.where("pub_year is not null")
-        .select("tech", code_set("codes", level).alias("_all"))
+        .select(*keys, code_set("codes", level).alias("_all"))
         .where(F.size("_all") >= min_codes)
         .join(labels, "tech")
-        .select("tech", F.array_intersect("_all", "_labels").alias("_kept"))
+        .select(*keys, F.array_intersect("_all", "_labels").alias("_kept"))
     )
-    return set_pair_counts(sets, "_kept", ["tech"])
+    return set_pair_counts(sets, "_kept", keys)
 
 
 def pairs_codes_year(links: DataFrame) -> DataFrame:

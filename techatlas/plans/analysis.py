@@ -14,7 +14,7 @@ from techatlas.session import materialize
 from techatlas.sources.tables import Tables
 
 RECORD_FIELDS = ["title", "codes"]
-PROJECT_FIELDS = ["title", "objective"]
+PROJECT_FIELDS = ["title", "objective", "keywords"]
 
 #: What is written of a hit; a lazy match table carries all columns, as they can be pruned.
 RECORD_COLUMNS = ["record_id", "country", "pub_year", "family_id", "applicant_countries", "codes"]

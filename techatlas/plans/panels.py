@@ -145,10 +145,17 @@ def funding(an: Analysis) -> DataFrame:
 
 
 def code_flow(an: Analysis, dimension: DataFrame, top_n: int = 15) -> DataFrame:
-    """Which classification codes occur together; technologies with under two codes have none."""
+    """Which classification codes occur together; technologies with under two codes have none.
+
+    ``pair_years`` and ``code_years`` hold the yearly counts of the codes listed, so that any span of years can be
+    looked at; those of all codes are a table (``plans.cube``).
+    """
     links = an.code_links
     top = an.keep(co.top_codes(links, top_n), "top-codes")
-    pairs = an.keep(co.jaccard(pr.pairs_codes_of(an.records, top), top), "code-pairs")
+    # a record has one year, so the pairs of all years are sums of the yearly ones
+    yearly = an.keep(pr.pairs_codes_of(an.records, top, yearly=True), "code-pair-years")
+    total = yearly.groupBy("tech", "a", "b").agg(F.sum("n").alias("n"))
+    pairs = an.keep(co.jaccard(total, top), "code-pairs")
     described = co.describe_code(top.select("code").distinct(), dimension)
     a = described.select(F.col("code").alias("code_a"), F.col("description").alias("description_a"))
     b = described.select(F.col("code").alias("code_b"), F.col("description").alias("description_b"))
@@ -162,6 +169,7 @@ def code_flow(an: Analysis, dimension: DataFrame, top_n: int = 15) -> DataFrame:
         nested(named, "pairs", ["code_a", "description_a", "code_b", "description_b", "jaccard"], ["code_a", "code_b"], "jaccard"),
         nested(co.codes_by_year(links).join(top.select("tech", "code"), ["tech", "code"], "left_semi"),
                "code_years", ["code", "pub_year", "n"], ["code", "pub_year"]),
+        nested(yearly, "pair_years", ["pub_year", "a", "b", "n"], ["pub_year", "a", "b"]),
     )
 
 

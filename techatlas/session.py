@@ -60,6 +60,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    target, files = _hadoop(spark, path)
+    return files.exists(target)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate results; to be called when no DataFrame built on them is needed any more."""
     while _written:

@@ -129,19 +129,19 @@ def _xml_documents(stream, chunk: int = _CHUNK) -> Iterator[tuple[bytes | None,
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """(file_name, member, position, doc, error): one row per XML document.
+    """(file_name, member, position, doc, error, path): one row per XML document.
 
     Members are the zips below ``Root/DOC/``; every XML file in them is read, and documents are numbered through
     them. What cannot be read gives one row with the error instead.
     """
-    columns = ["file_name", "member", "position", "doc", "error"]
+    columns = ["file_name", "member", "position", "doc", "error", "path"]
 
     def documents(frames):
         def rows():
             for frame in frames:
                 for path, name, member, error in frame.itertuples(index=False):
                     if error is not None:
-                        yield name, member, 0, None, error
+                        yield name, member, 0, None, error, path
                         continue
                     position = 0
                     try:
@@ -150,16 +150,16 @@ def read_documents(files: DataFrame) -> DataFrame:
                         for xml in sorted(m for m in inner.namelist() if m.endswith(".xml")):
                             with inner.open(xml) as stream:
                                 for doc, problem in _xml_documents(stream):
-                                    yield name, member, position, doc and doc.decode("utf-8", "replace"), problem
+                                    yield name, member, position, doc and doc.decode("utf-8", "replace"), problem, path
                                     position += 1
                     except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError) as e:
-                        yield name, member, position, None, str(e)
+                        yield name, member, position, None, str(e), path
 
         yield from _batches(rows(), columns)
 
     members = _spread(list_members(files, "Root/DOC/", ".zip"))
     return members.mapInPandas(
-        documents, "file_name string, member string, position long, doc string, error string"
+        documents, "file_name string, member string, position long, doc string, error string, path string"
     )
 
 
@@ -246,11 +246,15 @@ def rejects(documents: DataFrame) -> DataFrame:
     return unread.unionByName(unusable.select(*where, F.col("reason").alias("error")))
 
 
+#: Rows are imported in this order: files of one name in two folders differ in their path.
+IMPORT_ORDER = ["path", "member", "position"]
+
+
 def ingest_nested_archives(files: DataFrame) -> DataFrame:
     """Records of all archives, first one wins per publication number."""
     docs = read_documents(files).where("error is null").drop("error")
     return dedupe_first_wins(
-        extract_record_fields(docs), ["publication_number"], ["file_name", "member", "position"]
+        extract_record_fields(docs), ["publication_number"], IMPORT_ORDER
     )
 
 
@@ -316,32 +320,34 @@ def _elements(stream, chunk: int = _CHUNK) -> Iterator[tuple[str | None, str | N
 
 
 def read_json_members(files: DataFrame, member: str = "", suffix: str = ".json") -> DataFrame:
-    """(file_name, member, position, element, error) of the JSON arrays named ``member`` in the archives.
+    """(file_name, member, position, element, error, path) of the JSON arrays named ``member`` in the archives.
 
     What cannot be read, or is no JSON, gives a row with the error instead of the element.
     """
-    columns = ["file_name", "member", "position", "element", "error"]
+    columns = ["file_name", "member", "position", "element", "error", "path"]
 
     def elements(frames):
         def rows():
             for frame in frames:
                 for path, name, inside, error in frame.itertuples(index=False):
                     if error is not None:
-                        yield name, inside, 0, None, error
+                        yield name, inside, 0, None, error, path
                         continue
                     position = 0
                     try:
                         with _open(path) as handle, zipfile.ZipFile(handle) as archive, archive.open(inside) as stream:
                             for element, problem in _elements(stream):
-                                yield name, inside, position, element, problem
+                                yield name, inside, position, element, problem, path
                                 position += 1
                     except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError) as e:
-                        yield name, inside, position, None, str(e)
+                        yield name, inside, position, None, str(e), path
 
         yield from _batches(rows(), columns)
 
     members = _spread(list_members(files, member, suffix))
-    return members.mapInPandas(elements, "file_name string, member string, position long, element string, error string")
+    return members.mapInPandas(
+        elements, "file_name string, member string, position long, element string, error string, path string"
+    )
 
 
 def json_rejects(files: DataFrame, member: str = "", key: str = "id") -> DataFrame:
@@ -363,13 +369,20 @@ PUBLICATION_SCHEMA = """projectID string, title string, authors string, journalT
 publicationDate string, doi string, openAccess string"""
 
 
-def ingest_projects(files: DataFrame) -> DataFrame:
-    """Projects of all archives; the later archive wins per project id."""
-    e = read_json_members(files, "project.json").withColumn("e", F.from_json("element", PROJECT_SCHEMA))
-    rows = e.where(F.col("e.id").try_cast("long").isNotNull()).select(
+def _of_member(elements: DataFrame, member: str, schema: str) -> DataFrame:
+    """Elements of members with this name (all, if empty), parsed as ``e``."""
+    return elements.where(F.startswith("member", F.lit(member))).withColumn("e", F.from_json("element", schema))
+
+
+def projects_of(elements: DataFrame) -> DataFrame:
+    """Project rows of ``read_json_members``, with their place in the import; ids may repeat."""
+    e = _of_member(elements, "project.json", PROJECT_SCHEMA)
+    return e.where(F.col("e.id").try_cast("long").isNotNull()).select(
         F.col("e.id").try_cast("long").alias("project_id"),
-        "file_name",
+        "path",
+        "member",
         "position",
+        "file_name",
         F.col("e.rcn").try_cast("long").alias("rcn"),
         framework_from_filename("file_name").alias("framework"),
         F.col("e.acronym").alias("acronym"),
@@ -385,15 +398,19 @@ def ingest_projects(files: DataFrame) -> DataFrame:
         F.col("e.topics").alias("topics"),
         F.col("e.legalBasis").alias("legal_basis"),
         F.col("e.contentUpdateDate").alias("cordis_update_date"),
-    )
-    return upsert_last_wins(rows, ["project_id"], ["file_name", "position"]).withColumn(
-        "start_year", year_of("start_date")
+        year_of(F.col("e.startDate")).alias("start_year"),
     )
 
 
-def ingest_organizations(files: DataFrame) -> DataFrame:
-    """Project participants; archives without them add nothing."""
-    e = read_json_members(files, "organization.json").withColumn("e", F.from_json("element", ORGANIZATION_SCHEMA))
+def ingest_projects(files: DataFrame) -> DataFrame:
+    """Projects of all archives; the later archive wins per project id."""
+    rows = projects_of(read_json_members(files, "project.json"))
+    return upsert_last_wins(rows, ["project_id"], IMPORT_ORDER)
+
+
+def organizations_of(elements: DataFrame) -> DataFrame:
+    """Participants of ``read_json_members``."""
+    e = _of_member(elements, "organization.json", ORGANIZATION_SCHEMA)
     return e.where(F.col("e.projectID").try_cast("long").isNotNull()).select(
         F.col("e.organisationID").try_cast("long").alias("organisation_id"),
         F.col("e.projectID").try_cast("long").alias("project_id"),
@@ -409,9 +426,14 @@ def ingest_organizations(files: DataFrame) -> DataFrame:
     )
 
 
-def ingest_publications(files: DataFrame) -> DataFrame:
-    """Project publications."""
-    e = read_json_members(files).withColumn("e", F.from_json("element", PUBLICATION_SCHEMA))
+def ingest_organizations(files: DataFrame) -> DataFrame:
+    """Project participants; archives without them add nothing."""
+    return organizations_of(read_json_members(files, "organization.json"))
+
+
+def publications_of(elements: DataFrame) -> DataFrame:
+    """Project publications of ``read_json_members``: elements of any member that name a project."""
+    e = _of_member(elements, "", PUBLICATION_SCHEMA)
     return e.where(F.col("e.projectID").try_cast("long").isNotNull()).select(
         F.col("e.projectID").try_cast("long").alias("project_id"),
         F.col("e.title").alias("title"),
@@ -423,6 +445,11 @@ def ingest_publications(files: DataFrame) -> DataFrame:
     )
 
 
+def ingest_publications(files: DataFrame) -> DataFrame:
+    """Project publications."""
+    return publications_of(read_json_members(files))
+
+
 # --- export --------------------------------------------------------------------------
 
 #: Columns of the panel exports (panel column holding the rows, then its fields).

@@ -188,7 +188,8 @@ class StarSchema:
                 .alias("framework"),
                 F.concat(F.lit("PRJ"), "o_orderkey").alias("acronym"),
                 "title",
-                F.col("keywords").alias("objective"),
+                F.concat(F.lit("Work for the "), F.lower("c_mktsegment"), F.lit(" sector")).alias("objective"),
+                "keywords",
                 F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"),
                 F.year("o_orderdate").alias("start_year"),
                 F.col("o_orderstatus").alias("status"),

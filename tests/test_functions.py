@@ -69,3 +69,22 @@ def test_failure_scan(spark):
 def test_dedupe_ordered(spark):
     df = spark.createDataFrame([("q", "b", 1), ("q", "a", 2), ("q", "b", 3)], "tech string, v string, i int")
     assert sorted(tuple(r) for r in te.dedupe_ordered(df, "v", "i").collect()) == [("q", "a", 2), ("q", "b", 1)]
+
+
+def test_accents_fold_in_every_spelling(spark):
+    """Czech, Polish, Turkish, Hungarian, Romanian, Vietnamese; composed and decomposed."""
+    import unicodedata
+
+    from techatlas.functions.text import normalize_text
+
+    texts = ["Škoda Ősz", "Łódź", "İstanbul Iğdır", "naïve façade", "țară ŞİŞLİ", "Nguyễn Đức", "Ǿre ǣ", "Ærø straße", "ÀÁÂÃÄÅ Ěŕĺ žluťoučký kůň"]
+    texts += [unicodedata.normalize("NFD", t) for t in texts]
+
+    def plain(text):
+        # letters of the Latin blocks lose their marks; a lone mark is dropped anywhere
+        low = unicodedata.normalize("NFD", text.lower())
+        kept = "".join(c for c in low if not unicodedata.combining(c))
+        return " ".join("".join(c if c.isalnum() else " " for c in kept).split())
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(normalize_text("t")).collect()] == [plain(t) for t in texts]

@@ -123,7 +123,7 @@ def test_project_ledger(spark, tmp_path):
         st.import_projects(spark, str(folder), out)
     ledger = st.import_projects(spark, str(folder), out)
     assert rows_of(ledger.select("file_name", "elements", "rejects")) == [("cordis-fp7.zip", 3, 0), ("cordis-h2020.zip", 3, 0)]
-    assert spark.read.parquet(f"{out}/projects").count() == 6
+    assert st.imported_projects(spark, out).count() == 6
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 7, 64, 1 << 20])
@@ -209,3 +209,65 @@ def test_csv_quotes(spark, tmp_path):
     ig.export_csv(df.coalesce(1), str(tmp_path / "csv"))
     lines = [x for f in (tmp_path / "csv").glob("part-*") for x in f.read_text().splitlines()]
     assert lines == ["p,q,n", '"a,b","say ""x""",1']
+
+
+def _project_archive(path, rows, orgs=()):
+    path.parent.mkdir(exist_ok=True)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("project.json", json.dumps(rows))
+        z.writestr("organization.json", json.dumps(list(orgs)))
+
+
+def test_runs_of_projects_converge(spark, tmp_path):
+    """Any order of arrival, a failed run and equal file names end where one run over everything ends."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    versions = {
+        "a/cordis-h2020.zip": [{"id": k, "title": "a"} for k in range(1, 40)],
+        "b/cordis-h2020.zip": [{"id": k, "title": "b"} for k in range(10, 20)] + [{"id": 10, "title": "b again"}],
+        "c/cordis-fp7.zip": [{"id": k, "title": "c"} for k in range(15, 18)],
+    }
+    folder.mkdir()
+    for name in ("c/cordis-fp7.zip", "a/cordis-h2020.zip", "b/cordis-h2020.zip"):
+        _project_archive(folder / name, versions[name], [{"projectID": 1, "name": name}])
+        if name[0] == "a":
+            with pytest.raises(ZeroDivisionError):
+                st.import_projects(spark, str(folder), out, recursive=True, before_commit=lambda: 1 / 0)
+            assert st.imported_projects(spark, out).count() == 3  # nothing of the failed run
+        st.import_projects(spark, str(folder), out, recursive=True)
+    ledger = st.import_projects(spark, str(folder), out, recursive=True)
+    assert ledger.count() == 3
+    bulk = ig.ingest_projects(ig.select_files(spark, str(folder), recursive=True))
+    got = st.imported_projects(spark, out)
+    assert rows_of(got.select("project_id", "title", "framework")) == rows_of(bulk.select("project_id", "title", "framework"))
+    titles = {r["project_id"]: r["title"] for r in got.collect()}
+    assert (titles[9], titles[10], titles[16], titles[19]) == ("a", "b again", "c", "b")
+    orgs = st.imported_projects(spark, out, "organizations")
+    assert rows_of(orgs.select("name")) == [(n,) for n in sorted(versions)]
+
+
+def test_a_run_rewrites_only_buckets_it_touches(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    _project_archive(folder / "cordis-h2020-1.zip", [{"id": k} for k in range(500)])
+    st.import_projects(spark, str(folder), out)
+    before = {(r["bucket"], r["run"]) for r in st._manifest(spark, out)[1] if r["entry"] == "projects"}
+    _project_archive(folder / "cordis-h2020-2.zip", [{"id": 7, "title": "new"}])
+    st.import_projects(spark, str(folder), out)
+    after = {(r["bucket"], r["run"]) for r in st._manifest(spark, out)[1] if r["entry"] == "projects"}
+    assert len(before) == len(after) == st.BUCKETS and len(before - after) == 1
+    assert st.imported_projects(spark, out).where("title = 'new'").count() == 1 and st.imported_projects(spark, out).count() == 500
+
+
+def test_earlier_archives_that_arrive_late_win(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    other = BIBLIO.replace("G06N 10/00", "A01B 1/00")
+    for name, body in (("c.zip", BIBLIO), ("a.zip", other), ("b.zip", BIBLIO)):
+        nested_zip(folder / name, {"Root/DOC/1.zip": doc(number="1", body=body) + doc(number=name[0], body=BIBLIO)})
+        st.resume_ingest(spark, str(folder), out).awaitTermination()
+    bulk = ig.ingest_nested_archives(ig.select_files(spark, str(folder)))
+    columns = ["publication_number", "file_name", "codes"]
+    got = st.imported(spark, out, "records")
+    assert rows_of(got.select(columns)) == rows_of(bulk.select(columns))
+    assert got.where("doc_number = '1'").first()["file_name"] == "a.zip"
+    links = st.imported(spark, out, "code_links").join(got.where("doc_number = '1'").select("record_id"), "record_id")
+    assert [r["code"] for r in links.select("code").distinct().orderBy("code").collect()] == ["A01B", "H01L"]
