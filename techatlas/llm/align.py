@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import Known, tidy, utf8
+from techatlas.llm.shared import Known, kept, tidy, utf8
 from techatlas.session import materialize
 
 #: The word rule of A's file type: fixed values of the public format.
@@ -132,17 +132,6 @@ class Pair:
         return out | new
 
 
-_loaded: dict[tuple[str, str], Pair] = {}
-
-
-def pair_of(a: str, b: str) -> Pair:
-    """The tokenizers of this Python worker."""
-    if (a, b) not in _loaded:
-        _loaded.clear()
-        _loaded[a, b] = Pair(a, b)
-    return _loaded[a, b]
-
-
 def merge(
     end_a: np.ndarray, end_b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +276,7 @@ def _aligned(pair: Pair, digits, ids: pa.Array, texts: list[bytes | None]) -> pa
 
 def _aligned_rows(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(path_a, path_b)
+        pair = kept(("align", path_a, path_b), lambda: Pair(path_a, path_b))
         digits = _decimals(max(len(pair.bytes_a), len(pair.bytes_b)))
         for batch in batches:
             sizes = batch["text"].fill_null(b"").to_pandas().str.len().to_numpy()

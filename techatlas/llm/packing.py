@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import Known, tidy, utf8
+from techatlas.llm.shared import Known, kept, tidy, utf8
 
 LENGTH = 4096
 END = 2
@@ -70,16 +70,6 @@ class Ids:
         return [b"".join(map(ids.__getitem__, s)) + end for s in split]
 
 
-_loaded: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    """The tokenizer of this Python worker; its tasks share it and the parts it knows."""
-    if path not in _loaded:
-        _loaded[path] = Ids(path)
-    return _loaded[path]
-
-
 def lengths(n: int, longest: int) -> list[int]:
     """Powers of two that add up to n, none over ``longest`` (a power of two), descending."""
     rest = n % longest
@@ -100,7 +90,7 @@ def _grouped(texts: list[bytes | None]) -> Iterator[list[bytes]]:
 
 def _pieces(path: str, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = kept(("packing", path), lambda: Ids(path))
         sequence = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0

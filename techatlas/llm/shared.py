@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +45,33 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict = {}
+_stage: list = [None]
+
+
+def forget_other_stages() -> None:
+    """Drop what this worker has kept for another stage."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if _stage[0] != stage:
+        _stage[0] = stage
+        _kept.clear()
+        give_back()
+
+
+def kept(key, make: Callable):
+    """An object that this worker makes once a stage; its tasks share it."""
+    forget_other_stages()
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for ``mapInArrow``, with memory given back at the end of each task: workers serve many tasks and stages."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        forget_other_stages()
         try:
             yield from run(batches)
         finally:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from techatlas.llm.shared import doc_remainder, tidy, utf8
+from techatlas.llm.shared import doc_remainder, forget_other_stages, give_back, tidy, utf8
 
 SLOTS = 1 << 18
 FACTORS = 8
@@ -48,7 +48,7 @@ SHRINK = 1e-4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
 OFTEN = (2, 4)
-WORD_CACHE = 100_000
+WORD_CACHE = 50_000
 ROWS_AT_ONCE = 500
 _BUCKETS = 1 << 30
 _CUT = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
@@ -238,9 +238,13 @@ def clean_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
 
     @F.pandas_udf(DoubleType())
     def toxicity(texts):
+        forget_other_stages()
         slots = Slots()
         parts = [texts[k : k + ROWS_AT_ONCE] for k in range(0, len(texts), ROWS_AT_ONCE)]
-        return _series(np.concatenate([np.empty(0), *(machine.value.scores([terms(t, slots) for t in p]) for p in parts)]))
+        scores = [machine.value.scores([terms(t, slots) for t in p]) for p in parts]
+        del slots, parts
+        give_back()
+        return _series(np.concatenate([np.empty(0), *scores]))
 
     text = utf8(F.lower(F.coalesce(F.col("text"), F.lit(""))))
     return docs.where(toxicity(text) < THRESHOLD)
