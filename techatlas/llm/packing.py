@@ -28,8 +28,8 @@ from techatlas.llm.shared import Known, kept, tidy, utf8
 
 LENGTH = 4096
 END = 2
-#: Bytes of known parts that a worker keeps; 130 for Python's own needs of each.
-MEMORY = 48 << 20
+#: Bytes of known parts that a worker keeps during a stage; 130 for Python's own needs of each.
+MEMORY = 96 << 20
 CACHED_BYTES = 64
 TEXT_AT_ONCE = 2 << 20
 WORDS_AT_ONCE = 1000
