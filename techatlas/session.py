@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +74,27 @@ def release(spark: SparkSession) -> None:
         remove(spark, _written.pop())
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of one intermediate result, given as ``materialize`` returned it, before the others."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    for path in [p for p in _written if any(f.startswith(f"{qualified(spark, p)}/") for f in files)]:
+        remove(spark, path)
+        _written.remove(path)
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Inside, a job's shuffle files go when it ends; for chains of jobs that each write their result."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, purpose: str, by: str | None = None, **options: str) -> DataFrame:
     """Write an intermediate result below the shared folder and go on from the files.
 
