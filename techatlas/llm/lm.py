@@ -1,411 +1,511 @@
 """N-gram language model as a weighted backoff automaton.
 
-Tokens of a text: its whitespace words (A-Z in lower case), then one end token. Words and n-grams are
-counted over all training rows; states and arcs are all n-grams that occur twice, whatever the size of
-the corpus. They stay in distributed tables, which the words of the texts meet by equi-joins, longest
-n-gram first. Only numbers for the words that make up at least ``FLOOR`` of all tokens (at most 1 / FLOOR)
-are broadcast; other words are numbered by 63 bits of a hash.
+Tokens of a text: its whitespace words (A-Z in lower case), then one end token. States and arcs are all n-grams
+that occur twice in the training rows, whatever the size of the corpus. A state's failure arc leads to the state of
+its words but the first, at the price of the backoff weight. A text is read once from left to right: from the current
+state follow the arc of the next word, or failure arcs until there is one; log-probabilities add up on the way.
 
 Probabilities: words as in the base score, (c + ADD) / (N + ADD * (V + 1)); longer n-grams by
 absolute discounting, the rest of the mass going to the shorter context, so that every state's
-probabilities sum to 1. A state without an arc for the next word passes it to its failure state
-at the price of the backoff weight.
+probabilities sum to 1.
+
+The model is never gathered. Texts are dealt into blocks of about ``BLOCK_TOKENS`` tokens; longer texts go on in the next
+block, after the words that their state depends on. For every order a block names its distinct n-grams once, with their
+counts in its training texts. One shuffle by n-gram sums these counts, one shuffle by block brings back those of
+n-grams that occur twice. An n-gram is named only where both shorter n-grams in it occur twice, which loses
+none. Weights travel the same way: of all blocks that hold an n-gram the first adds its probability to its
+context. Then each block holds the part of the automaton that its texts can meet, and is walked alone. N-grams are
+keyed by 64-bit hashes. A key has at most one row per block, so no key is hot.
 
 Null texts count as empty: one end token. Rows without doc_id are held out. Repeated rows are
-scored, and trained on, once each.
+scored, and trained on, once each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import doc_remainder, utf8, words_of
-from techatlas.session import materialize
+from techatlas.llm.shared import doc_remainder, tidy, utf8, words_of
+from techatlas.session import discard, materialize, shuffles_released
 
-FLOOR = 2e-6
 ADD = 0.1
 DISCOUNT = 0.5
-END, START, OTHER = 0, 1, -1
-FIRST_WORD = 2
-COUNTER_WORDS = 300_000
-TOKENS_AT_ONCE = 2_000_000
-TEXTS_AT_ONCE = 1000
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial word counts; the null word stands for the end token."""
-    counts: Counter = Counter()
-    texts = 0
-
-    def out() -> pa.RecordBatch:
-        words = pa.array([*counts.keys(), None], pa.binary())
-        return pa.record_batch([words, pa.array([*counts.values(), texts], pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for text in batch["text"]:
-            counts.update(words_of(text.as_py()))
-            texts += 1
-            if len(counts) >= COUNTER_WORDS:
-                yield out()
-                counts.clear()
-                texts = 0
-    if texts:
-        yield out()
-
-
-def _ids(text: bytes | None, vocabulary: dict[bytes, int]) -> list[int]:
-    get = vocabulary.get
-    return [get(w, OTHER) for w in words_of(text)]
-
-
-def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Word numbers of many texts in a row, each between START and END."""
-    held: list[int] = []
-    for batch in batches:
-        for text in batch["text"]:
-            held.append(START)
-            held += _ids(text.as_py(), vocabulary)
-            held.append(END)
-            if len(held) >= TOKENS_AT_ONCE:
-                yield np.array(held, np.int64)
-                held = []
-    if held:
-        yield np.array(held, np.int64)
-
-
-def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Position of each key in the sorted array, -1 where it isn't there."""
-    if not len(known):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, at, -1)
+END, START = 0, 1
+#: Stand for the two marks among words; no word holds a space.
+MARKS = (b" end", b" start")
+BLOCK_TOKENS = 3_000_000
+#: Bytes of a text that are split into words at once.
+TEXT_BYTES = 1 << 20
+#: Tokens that one lane of the traversal reads.
+STRETCH = 1024
+#: Blocks are wide rows: each has a row group of its own.
+WRITER = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
+BLOCK = (
+    "block long, words binary, ids binary, rows array<long>, doc_ids array<long>, held_out array<boolean>, "
+    "sizes array<int>, warm array<int>, train long, types long, ends long, counts array<binary>, own array<binary>, "
+    "weights array<binary>"
+)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_lists(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text, about TEXT_BYTES at a time."""
+    if text is None:
+        return
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + TEXT_BYTES)
+        end = space.end() if space else len(text)
+        yield words_of(text[at:end])
+        at = end
+
+
+def _mixed(keys: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Keys of n-grams from those of their first n - 1 words and the hashes of their last words."""
+    x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + last * np.uint64(0xD6E8FEB86659FD93)
+    x += np.uint64(n)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Dealt:
+    """A block while texts are dealt to it."""
+
+    def __init__(self, number: int) -> None:
+        self.number = number
+        self.words: defaultdict[bytes, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        for mark in MARKS:
+            self.words[mark]
+        self.ids: list[np.ndarray] = []
+        self.pieces: list[tuple] = []
+        self.tokens = 0
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        get = self.words.__getitem__
+        return np.fromiter(map(get, words), np.int32, len(words))
+
+    def add(self, row: int, doc_id, held_out: bool, parts: list[np.ndarray], warm: int) -> None:
+        ids = np.concatenate(parts)
+        self.ids.append(ids)
+        self.pieces.append((row, doc_id, held_out, len(ids), warm))
+        self.tokens += len(ids)
+
+    def batch(self) -> pa.RecordBatch:
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        row, doc_id, held_out, size, warm = zip(*self.pieces, strict=True)
+        values = {
+            "block": self.number,
+            "words": hashes.tobytes(),
+            "ids": np.concatenate(self.ids).astype("<i4").tobytes(),
+            "rows": row,
+            "doc_ids": doc_id,
+            "held_out": held_out,
+            "sizes": size,
+            "warm": warm,
+        }
+        return _row(values | {"train": 0, "types": 0, "ends": 0, "counts": [], "own": [], "weights": []})
+
+
+_LISTS = {"rows": pa.int64(), "doc_ids": pa.int64(), "held_out": pa.bool_(), "sizes": pa.int32(), "warm": pa.int32()}
+_TYPES = {"words": pa.binary(), "ids": pa.binary()} | {k: pa.list_(t) for k, t in _LISTS.items()}
+_TYPES |= {k: pa.list_(pa.binary()) for k in ("counts", "own", "weights")}
+
+
+def _row(values: dict) -> pa.RecordBatch:
+    """One row of the table of blocks."""
+    names = [part.split()[0] for part in BLOCK.split(", ")]
+    return pa.record_batch([pa.array([values[k]], _TYPES.get(k, pa.int64())) for k in names], names=names)
+
+
+def _deal(order: int):
+    """Texts to blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = number = TaskContext.get().partitionId() << 33
+        block = _Dealt(number)
+        for batch in batches:
+            for doc_id, held_out, text in zip(*(batch[k] for k in ("doc_id", "held_out", "text")), strict=True):
+                own = row, doc_id.as_py(), held_out.as_py()
+                parts, warm, n = [block.numbers([MARKS[START]])], 1, 1
+                before = [MARKS[START]]
+                for words in _word_lists(text.as_py()):
+                    parts.append(block.numbers(words))
+                    n += len(words)
+                    before = [*before, *words[-order:]][-(order - 1) :] if order > 1 else []
+                    if block.tokens + n >= BLOCK_TOKENS:
+                        block.add(*own, parts, warm)
+                        yield block.batch()
+                        number += 1
+                        block = _Dealt(number)
+                        # a state depends on the last order - 1 words
+                        parts, warm, n = [block.numbers(before)], len(before), len(before)
+                block.add(*own, [*parts, np.array([END], np.int32)], warm)
+                row += 1
+                if block.tokens >= BLOCK_TOKENS:
+                    yield block.batch()
+                    number += 1
+                    block = _Dealt(number)
+        if block.pieces:
+            yield block.batch()
+
+    return tidy(run)
 
-def _count_longer(order: int, vocabulary, known: list[np.ndarray], base: int):
-    """Partial counts of n-grams; an n-gram's key: place of its first words * base + last word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq in _sequences(batches, vocabulary.value):
-            prefix = seq
-            for n in range(2, order + 1):
-                # prefix[k]: place of the (n - 1)-gram that begins at k; it must not run past an end
-                last, head = seq[n - 1 :], prefix[: len(seq) - n + 1]
-                ok = (head >= 0) & (last >= 0) & (seq[n - 2 : len(seq) - 1] != END)
-                keys = np.where(ok, head * base + last, -1)
-                if n < order:
-                    prefix = np.full(len(seq), -1, np.int64)
-                    prefix[: len(keys)] = _places(keys, known[n - 2])
-                else:
-                    keys, n_keys = np.unique(keys[ok], return_counts=True)
-                    yield pa.record_batch([pa.array(keys), pa.array(n_keys.astype(np.int64))], names=["key", "n"])
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a block, sorted by key (single words: by number)."""
 
-    return run
+    keys: np.ndarray
+    place: np.ndarray  # of every token: the n-gram that ends there, or -1
+    first: np.ndarray | None = None  # a token where each n-gram ends, from two words on
+    counts: np.ndarray | None = None
+    own: np.ndarray | None = None
 
 
 @dataclass
-class Automaton:
-    """Counts of the n-grams that became states or arcs, as sorted arrays."""
-
-    words: list[bytes]
-    word_counts: np.ndarray  # by word number; those of END and START first
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    tokens: int
-    types: int
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_built"}
-
-    @property
-    def norm(self) -> float:
-        return self.tokens + ADD * (self.types + 1)
-
-    def built(self) -> tuple:
-        """(vocabulary, arcs, failure states, their log weights, log weight down to the root, start, log P of words)."""
-        if not hasattr(self, "_built"):
-            self._built = self._build()
-        return self._built
-
-    def _build(self) -> tuple:
-        base = len(self.word_counts)
-        single = np.log10((self.word_counts + ADD) / self.norm)
-        single[START] = -np.inf
-        probability = 10.0**single
-        arcs: list[dict[int, tuple[int, float]]] = [{}]
-        fail, weight = [0], [0.0]
-        # contexts of each order that have arcs: place of the context -> state
-        state_of: list[dict[int, int]] = []
-        for keys in self.keys:
-            own = {}
-            for c in np.unique(keys // base).tolist():
-                own[c] = len(arcs)
-                arcs.append({})
-                fail.append(0)
-                weight.append(0.0)
-            state_of.append(own)
-        words_to = state_of[0] if state_of else {}
-        for w in range(base):
-            if w != START:
-                arcs[0][w] = (words_to.get(w, 0), float(single[w]))
-        below, context_counts, suffix = probability, self.word_counts, None
-        for n, (keys, counts) in enumerate(zip(self.keys, self.counts, strict=True)):
-            context, last = keys // base, keys % base
-            p = (counts - DISCOUNT) / context_counts[context]
-            if n == 0:
-                lower = below[last]
-                shorter = last
+class Block:
+    """Texts of a block and what is known of their n-grams."""
+
+    row: dict
+    order: int
+    least: float = 2.0
+    grams: list[Grams] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        row = self.row
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.ids = np.frombuffer(row["ids"], "<i4").astype(np.int64)
+        self.sizes, self.warm = (np.array(row[k], np.int64) for k in ("sizes", "warm"))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.at = np.arange(len(self.ids)) - np.repeat(self.begins, self.sizes)
+        self.scored = self.at >= np.repeat(self.warm, self.sizes)
+        self.grams.append(Grams(self.words, self.ids))
+        known = len(row["counts"])
+        self._known(0, known)
+        hashes = self.words[self.ids]
+        keys = hashes
+        for n in range(2, min(self.order, known + 1) + 1):
+            longer = np.empty_like(keys)
+            longer[:1] = 0
+            longer[1:] = _mixed(keys[:-1], hashes[1:], n)
+            keys = longer
+            kept = self.kept(n - 1)
+            ends = np.flatnonzero(kept[1:] & kept[:-1] & (self.at[1:] >= n - 1)) + 1
+            own, first, inverse = np.unique(keys[ends], return_index=True, return_inverse=True)
+            place = np.full(len(self.ids), -1, np.int64)
+            place[ends] = inverse
+            self.grams.append(Grams(own, place, ends[first]))
+            self._known(n - 1, known)
+
+    def _known(self, k: int, known: int) -> None:
+        if k < known:
+            self.grams[k].counts = np.frombuffer(self.row["counts"][k], "<i8")
+            self.grams[k].own = np.frombuffer(self.row["own"][k], bool)
+
+    def kept(self, n: int) -> np.ndarray:
+        """Of every token: whether the n words that end there are a state or an arc; a text's start always is."""
+        g = self.grams[n - 1]
+        kept = np.append(g.counts >= self.least, False)
+        if n == 1:
+            kept[START] = True
+        return kept[g.place]
+
+    def count(self, n: int, tokens: np.ndarray) -> np.ndarray:
+        """Counts of the n words that end at some tokens."""
+        g = self.grams[n - 1]
+        return g.counts[g.place[tokens]]
+
+    def named(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n-grams without counts yet, and their counts in the block's training texts."""
+        g = self.grams[-1]
+        train = self.scored & ~np.repeat(np.array(self.row["held_out"], bool), self.sizes) & (g.place >= 0)
+        counts = np.bincount(g.place[train], minlength=len(g.keys))
+        # a text's start is no word
+        keep = slice(None) if len(self.grams) > 1 else np.arange(len(g.keys)) != START
+        return g.keys[keep], counts[keep]
+
+    def filled(self, keys: np.ndarray, counts: np.ndarray, own: np.ndarray, ends: int) -> dict:
+        """The row, with the counts of one more order."""
+        g = self.grams[-1]
+        at, there = _places(g.keys, keys)
+        got, mine = np.zeros(len(g.keys), np.int64), np.zeros(len(g.keys), bool)
+        got[at[there]], mine[at[there]] = counts[there], own[there]
+        row = dict(self.row)
+        if len(self.grams) == 1:
+            train = self.scored & ~np.repeat(np.array(row["held_out"], bool), self.sizes)
+            row["train"], row["types"] = int(train.sum()), int(mine.sum())
+            row["ends"] = int((self.ids[train] == END).sum())
+        elif len(self.grams) == 2:
+            # as often as a text begins
+            started = np.frombuffer(row["counts"][0], "<i8").copy()
+            started[START] = ends
+            row["counts"] = [started.tobytes(), *row["counts"][1:]]
+        row["counts"] = [*row["counts"], got.tobytes()]
+        row["own"] = [*row["own"], mine.tobytes()]
+        return row
+
+    def masses(self, norm: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """Per order of contexts: keys, probability of own arcs, the same in the shorter context, whether a text falls back."""
+        for n in range(2, self.order + 1):
+            g, heads = self.grams[n - 1], self.grams[n - 2]
+            ends = g.first[(g.counts >= self.least) & g.own]
+            p = (self.count(n, ends) - DISCOUNT) / self.count(n - 1, ends - 1)
+            if n == 2:
+                lower = (self.count(1, ends) + ADD) / norm
             else:
-                # the n-gram without its first word is an n-gram of the order below
-                shorter = _places(suffix[context] * base + last, self.keys[n - 1])
-                lower = below[shorter]
-            mass = np.bincount(context, p, len(context_counts))
-            lower_mass = np.bincount(context, lower, len(context_counts))
-            back = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - lower_mass, 1e-12))
-            longer = state_of[n + 1] if n + 1 < len(state_of) else {}
-            for place, (c, w, s, x) in enumerate(zip(context.tolist(), last.tolist(), shorter.tolist(), p.tolist(), strict=True)):
-                to = longer.get(place)
-                if to is None:
-                    to = state_of[n].get(s, 0 if n == 0 else words_to.get(w, 0))
-                arcs[state_of[n][c]][w] = (to, float(np.log10(x)))
-            for c, state in state_of[n].items():
-                weight[state] = float(back[c])
-                fail[state] = 0 if n == 0 else state_of[n - 1].get(int(suffix[c]), 0)
-            below, context_counts, suffix = p, counts, shorter
-        down = [0.0] * len(arcs)
-        for state in range(1, len(arcs)):  # failure states come first
-            down[state] = weight[state] + down[fail[state]]
-        vocabulary = {w: FIRST_WORD + k for k, w in enumerate(self.words)}
-        return vocabulary, arcs, fail, weight, down, words_to.get(START, 0), single
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            yield batch.slice(k, TEXTS_AT_ONCE)
+                lower = (self.count(n - 1, ends) - DISCOUNT) / self.count(n - 2, ends - 1)
+            head = heads.place[ends - 1]
+            mass, low = (np.bincount(head, x, len(heads.keys)).astype(np.float64) for x in (p, lower))
+            kept = self.kept(n - 1)
+            falls = np.flatnonzero(kept[:-1] & (self.at[1:] >= n - 1) & ~self.kept(n)[1:])
+            needs = np.zeros(len(heads.keys), bool)
+            needs[heads.place[falls]] = True
+            some = needs | (mass > 0)
+            yield heads.keys[some], mass[some], low[some], needs[some]
+
+    def weighted(self, keys: np.ndarray, weights: np.ndarray) -> dict:
+        """The row, with the backoff weights of all contexts that have any."""
+        out = []
+        for g in self.grams[: self.order - 1]:
+            own = np.zeros(len(g.keys))
+            at, there = _places(g.keys, keys)
+            own[at[there]] = weights[there]
+            out.append(own.tobytes())
+        return {**self.row, "weights": out}
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in an array, and whether it is there."""
+    by = np.argsort(known, kind="stable")
+    at = by[np.minimum(np.searchsorted(known, keys, sorter=by), max(len(known) - 1, 0))] if len(known) else np.zeros(len(keys), np.int64)
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
 
-def _numbers(text: bytes | None, vocabulary: dict[bytes, int]) -> list[int]:
-    """Numbers of a text's words: those of the vocabulary, or the (negative) hash of a word outside it."""
-    get = vocabulary.get
-    return [get(w) or -1 - (xxhash.xxh3_64_intdigest(w) >> 1) for w in words_of(text)]
+class Automaton:
+    """The states and arcs that the texts of a block can meet. State 0 has no words."""
+
+    def __init__(self, block: Block, norm: float) -> None:
+        self.block = block
+        self.width = len(block.words)
+        order, grams, ids, least = block.order, block.grams, block.ids, block.least
+        single = np.log10((grams[0].counts + ADD) / norm)
+        single[START] = 0.0  # read, not scored
+        # states: the words and n-grams shorter than the order
+        base, states = [], 1
+        for g in grams[: order - 1]:
+            base.append(states)
+            states += len(g.keys)
+
+        def state(n: int, tokens: np.ndarray) -> np.ndarray:
+            return base[n - 1] + grams[n - 1].place[tokens]
+
+        self.fail = np.zeros(states, np.int64)
+        self.weight = np.zeros(states)
+        self.root = single
+        self.root_to = np.zeros(self.width, np.int64)
+        if order > 1:
+            kept = (grams[0].counts >= least) | (np.arange(self.width) == START)
+            self.root_to[kept] = base[0] + np.flatnonzero(kept)
+        froms, tos, logs = [], [], []
+        for n in range(2, order + 1):
+            g = grams[n - 1]
+            ends = g.first[g.counts >= least]
+            froms.append(state(n - 1, ends - 1) * self.width + ids[ends])
+            tos.append(state(n if n < order else n - 1, ends))
+            logs.append(np.log10((block.count(n, ends) - DISCOUNT) / block.count(n - 1, ends - 1)))
+            self.weight[base[n - 2] : base[n - 2] + len(grams[n - 2].keys)] = np.frombuffer(block.row["weights"][n - 2])
+            if n < order:
+                self.fail[state(n, ends)] = state(n - 1, ends)
+        arcs = np.concatenate([np.zeros(0, np.int64), *froms])
+        by = np.argsort(arcs)
+        self.arcs = arcs[by]
+        self.to = np.concatenate([np.zeros(0, np.int64), *tos])[by]
+        self.log = np.concatenate([np.zeros(0), *logs])[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and log-probability of a word, for many texts at once."""
+        to, log = np.empty_like(state), np.zeros(len(state))
+        left, at, w = np.arange(len(state)), state, word
+        while len(left):
+            key = at * self.width + w
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            found = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(key), bool)
+            root = at == 0
+            met, hit = left[found], arc[found]
+            to[met] = self.to[hit]
+            log[met] += self.log[hit]
+            met, own = left[root], w[root]
+            to[met] = self.root_to[own]
+            log[met] += self.root[own]
+            on = ~(found | root)
+            left, at, w = left[on], at[on], w[on]
+            log[left] += self.weight[at]
+            at = self.fail[at]
+        return to, log
+
+    def scores(self) -> np.ndarray:
+        """Log-probabilities of the block's pieces, by one traversal in lanes of at most STRETCH scored tokens.
+
+        A lane begins at state 0 with the order - 1 tokens before its own, which lead to the state it goes on from.
+        """
+        block = self.block
+        n = np.maximum(-(-(block.sizes - block.warm) // STRETCH), 0)
+        piece = np.repeat(np.arange(len(n)), n)
+        number = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        begin = block.begins[piece] + block.warm[piece] + number * STRETCH
+        stop = np.minimum(begin + STRETCH, (block.begins + block.sizes)[piece])
+        at = np.maximum(begin - max(block.order - 1, 0), block.begins[piece])
+        state, total = np.zeros(len(piece), np.int64), np.zeros(len(piece))
+        lane = np.arange(len(piece))
+        while len(lane):
+            state, log = self.step(state, block.ids[at])
+            total[lane] += np.where(at >= begin, log, 0.0)
+            at = at + 1
+            on = at < stop
+            if not on.all():
+                lane, state, at, begin, stop = (x[on] for x in (lane, state, at, begin, stop))
+        return np.bincount(piece, total, len(n)).astype(np.float64)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch[name][k].as_py() for name in batch.schema.names}
 
 
-def _numbered_words(vocabulary):
+def _name(order: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [END if w is None else _numbers(w, vocabulary.value)[0] for w in batch["word"].to_pylist()]
-            yield pa.record_batch([pa.array(ids, pa.int64()), batch["n"]], names=["id", "n"])
-
-    return run
+        for row in _rows_of(batches):
+            keys, counts = Block(row, order, least).named()
+            block = np.full(len(keys), row["block"])
+            yield pa.record_batch([keys.view(np.int64), block, counts], names=["key", "block", "n"])
 
+    return tidy(run)
 
-def _numbered_texts(vocabulary):
-    """Every text as the numbers of its words, between START and END."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in _slices(batches):
-            ids = [[START, *_numbers(t.as_py(), vocabulary.value), END] for t in batch["text"]]
-            at = pa.array(np.arange(row, row + len(ids)))
-            out = [at, batch["doc_id"], batch["held_out"], pa.array(ids, pa.list_(pa.int64()))]
-            yield pa.record_batch(out, names=["row", "doc_id", "held_out", "ids"])
-            row += len(ids)
+def _fill(order: int, least: float, ends: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        keys, counts, own = (right[k].to_numpy() for k in ("key", "c", "own"))
+        filled = Block(row, order, least).filled(keys.view(np.uint64), counts, own.astype(bool), ends)
+        return pa.Table.from_batches([_row(filled)])
 
     return run
 
 
-def _windows(ids: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all places of some texts: text, place in it, and the ``order`` words that end there as columns."""
-    ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
-    sizes = np.diff(ends, prepend=0)
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.repeat(np.arange(len(ids)), sizes)
-    place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
-    before = [np.concatenate([np.zeros(min(k, len(flat)), np.int64), flat[: max(0, len(flat) - k)]]) for k in range(order - 1, -1, -1)]
-    return text, place, np.array(before)
-
-
-def _gram_rows(columns: np.ndarray, place: np.ndarray, n: int) -> list[pa.Array]:
-    """The last n words at every place; columns further left, and those before the text, are null."""
-    order = len(columns)
-    back = range(order - 1, -1, -1)
-    return [pa.array(c, mask=(k >= n) | (place < k)) for c, k in zip(columns, back, strict=True)]
-
-
-def _count_grams(order: int):
-    """Partial counts of the n-grams of 2 to ``order`` words; shorter ones have nulls on the left."""
-
+def _masses(order: int, least: float, norm: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            _, place, columns = _windows(batch["ids"], order)
-            for n in range(2, order + 1):
-                at = place >= n - 1
-                own = columns[order - n :, at]
-                by = np.lexsort(own)
-                own = own[:, by]
-                new = np.ones(own.shape[1], bool)
-                new[1:] = (own[:, 1:] != own[:, :-1]).any(axis=0)
-                first = np.flatnonzero(new)
-                times = np.diff(first, append=own.shape[1])
-                none = [pa.nulls(len(first), pa.int64())] * (order - n)
-                out = [*none, *(pa.array(c[first]) for c in own), pa.array(times.astype(np.int64))]
-                yield pa.record_batch(out, names=[*_names(order), "n"])
+        for row in _rows_of(batches):
+            for keys, mass, low, needs in Block(row, order, least).masses(norm):
+                block = np.full(len(keys), row["block"])
+                columns = [keys.view(np.int64), block, mass, low, needs]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "block", "mass", "low", "needs"])
 
-    return run
+    return tidy(run)
 
 
-def _places_of(order: int):
-    """A row for every word and end of a text, with the words before it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            text, place, columns = _windows(batch["ids"], order)
-            at = place > 0
-            rows = batch["row"].to_numpy()[text[at]]
-            yield pa.record_batch([pa.array(rows), *_gram_rows(columns[:, at], place[at], order)], names=["row", *_names(order)])
+def _weigh(order: int, least: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        keys, weights = (right[k].to_numpy() for k in ("key", "weight"))
+        return pa.Table.from_batches([_row(Block(row, order, least).weighted(keys.view(np.uint64), weights))])
 
     return run
 
 
-def _names(order: int) -> list[str]:
-    return [f"w{k}" for k in range(1, order + 1)]
-
-
-def _with(df: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """df with the columns of table for the word number in ``name`` (never null); words of the vocabulary meet it by a broadcast."""
-    same = F.col(name) == F.col("id")
-    inside = df.where(F.col(name) >= 0).join(F.broadcast(table.where("id >= 0")), same, "left")
-    outside = df.where(F.col(name) < 0).join(table.where("id < 0"), same, "left")
-    return inside.unionByName(outside).drop("id")
-
-
-def _model(grams: DataFrame, words: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Per order from 2: table of n-grams with count and probability p, table of contexts with their weight."""
-    names = _names(order)
-    tables, weights = [], []
-    for n in range(2, order + 1):
-        own = names[order - n :]
-        rows = grams.where(F.col(own[0]).isNotNull())
-        rows = (rows.where(F.col(names[order - n - 1]).isNull()) if n < order else rows).select(*own, "n")
-        if n == 2:
-            rows = _with(rows, words.select("id", F.col("n").alias("of")), own[0])
-            rows = _with(rows, words.select("id", F.col("p").alias("lower")), own[1])
-        else:
-            shorter = tables[-1]
-            heads = shorter.select(*(F.col(a).alias(b) for a, b in zip(own[1:], own[:-1], strict=True)), F.col("n").alias("of"))
-            rows = rows.join(heads, own[:-1]).join(shorter.select(*own[1:], F.col("p").alias("lower")), own[1:])
-        rows = materialize(rows.select(*own, "n", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p"), "lower"), "grams")
-        rest = [F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "lower")]
-        # contexts are named as the words before the last one
-        weights.append(materialize(rows.groupBy(*own[:-1]).agg(F.log10(rest[0] / rest[1]).alias("weight")), "weights"))
-        tables.append(rows.drop("lower"))
-    return tables, weights
-
-
-def _word_counts(texts: DataFrame) -> tuple[DataFrame, int, int]:
-    """Table of all word counts (null: end token) of texts (text as bytes), number of tokens, of types."""
-    counts = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "word_counts")
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
-    return counts, total["n"] or 0, total["types"]
-
-
-def fit(texts: DataFrame, order: int = 3, floor: float = FLOOR) -> tuple[Automaton, DataFrame]:
-    """The model in memory, for small corpora, and the table of all word counts of texts."""
-    spark = texts.sparkSession
-    counts, tokens, types = _word_counts(texts)
-    least = max(2.0, floor * tokens)
-    ends = counts.where("word is null").first()
-    ends = ends["n"] if ends else 0
-    kept = counts.where("word is not null").where(F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()
-    words = kept["word"].to_pylist()
-    word_counts = np.array([ends, ends, *kept["n"].to_pylist()], np.int64)
-    base = len(word_counts)
-    vocabulary = spark.sparkContext.broadcast({w: FIRST_WORD + k for k, w in enumerate(words)})
-    keys: list[np.ndarray] = []
-    times: list[np.ndarray] = []
-    for n in range(2, order + 1):
-        longer = texts.mapInArrow(_count_longer(n, vocabulary, list(keys), base), "key long, n long")
-        longer = longer.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        got = np.array(longer["key"].to_pylist(), np.int64)
-        by = np.argsort(got)
-        keys.append(got[by])
-        times.append(np.array(longer["n"].to_pylist(), np.int64)[by])
-    return Automaton(words, word_counts, keys, times, tokens, types), counts
+_SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, order: int = 3, floor: float = 0.0) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def _walk(order: int, least: float, norm: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            block = Block(row, order, least)
+            automaton = Automaton(block, norm)
+            piece = np.repeat(np.arange(len(block.sizes)), block.sizes)[block.scored]
+            word = block.ids[block.scored]
+            known = np.bincount(piece, block.grams[0].counts[word] > 0, len(block.sizes))
+            base = np.bincount(piece, automaton.root[word], len(block.sizes)).astype(np.float64)
+            columns = [
+                pa.array(row["rows"], pa.int64()),
+                pa.array(row["doc_ids"], pa.int64()),
+                pa.array(row["held_out"], pa.bool_()),
+                pa.array(block.sizes - block.warm),
+                pa.array(known.astype(np.int64)),
+                pa.array(base),
+                pa.array(automaton.scores()),
+            ]
+            yield pa.record_batch(columns, names=[part.split()[0] for part in _SCORES.split(", ")])
+
+    return tidy(run)
+
+
+def _brought(blocks: DataFrame, answers: DataFrame, fill) -> DataFrame:
+    """Blocks with what is known of their keys, written anew; the earlier ones are deleted."""
+    new = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, BLOCK)
+    new = materialize(new, "blocks", **WRITER)
+    discard(blocks)
+    return new
+
+
+def _counted(blocks: DataFrame, order: int, least: float, once: float, ends: int) -> DataFrame:
+    """Blocks with the counts of one more order; n-grams that occur less than ``once`` times count as 0."""
+    named = blocks.mapInArrow(_name(order, least), "key long, block long, n long")
+    same = Window.partitionBy("key")
+    answers = named.select(
+        "key", "block", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("own")
+    ).where(F.col("c") >= once)
+    return _brought(blocks, answers, _fill(order, least, ends))
+
+
+def automata(docs: DataFrame, order: int = 3, floor: float = 0.0) -> tuple[DataFrame, int, float, float]:
+    """Blocks of texts with their parts of the model; training tokens, least count of an n-gram, norm of the words."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (doc_remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
         utf8(F.col("text")).alias("text"),
     )
-    counts, tokens, types = _word_counts(rows.where(~F.col("held_out")).select("text"))
-    norm = tokens + ADD * (types + 1)
+    blocks = materialize(rows.mapInArrow(_deal(order), BLOCK), "blocks", **WRITER)
+    blocks = _counted(blocks, order, 1.0, 1.0, 0)
+    total = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train", "types", "ends"))).first()
+    tokens, ends = total["train"], total["ends"]
+    norm = tokens + ADD * (total["types"] + 1)
     least = max(2.0, floor * tokens)
-    short = counts.where("word is not null").where(F.col("n") >= max(2.0, FLOOR * tokens)).orderBy(F.desc("n"), "word")
-    listed = short.select("word").toArrow()["word"].to_pylist()
-    vocabulary = spark.sparkContext.broadcast({w: FIRST_WORD + k for k, w in enumerate(listed)})
-    words = counts.mapInArrow(_numbered_words(vocabulary), "id long, n long")
-    words = words.unionByName(words.where(F.col("id") == END).select(F.lit(START).cast("long").alias("id"), "n"))
-    words = materialize(words.withColumn("p", (F.col("n") + ADD) / F.lit(norm)), "words")
-    texts = materialize(
-        rows.mapInArrow(_numbered_texts(vocabulary), "row long, doc_id long, held_out boolean, ids array<long>"), "texts"
-    )
-    names = _names(order)
-    schema = ", ".join(f"{w} long" for w in names)
-    grams = texts.where(~F.col("held_out")).select("ids").mapInArrow(_count_grams(order), f"{schema}, n long")
-    grams = materialize(grams.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
-    tables, weights = _model(grams, words, order)
-
-    unseen = F.log10(F.lit(ADD) / F.lit(norm))
-    places = texts.select("row", "ids").mapInArrow(_places_of(order), f"row long, {schema}")
-    left = places.withColumn("s", F.lit(0.0))
-    done = []
-    for n in range(order, 1, -1):
-        own = names[order - n :]
-        table = tables[n - 2].select(*own, F.log10("p").alias("arc"))
-        met = left.join(table, own, "left")
-        met = materialize(met.select("row", *own, "s", "arc"), "met")
-        done.append(met.where("arc is not null").select("row", (F.col("s") + F.col("arc")).alias("s")))
-        fell = met.where("arc is null").drop("arc")
-        weight = weights[n - 2]
-        if n == 2:
-            fell = _with(fell, weight.withColumnRenamed(own[0], "id"), own[0])
-        else:
-            fell = fell.join(weight, own[:-1], "left")
-        left = fell.select("row", *own[1:], (F.col("s") + F.coalesce("weight", F.lit(0.0))).alias("s"))
-    left = materialize(left, "left")
-    single = words.select("id", F.log10("p").alias("arc"))
-    found = _with(left, single, names[-1])
-    done.append(found.select("row", (F.col("s") + F.coalesce("arc", unseen)).alias("s")))
-    summed = reduce(DataFrame.unionByName, done).groupBy("row").agg(F.sum("s").alias("score"))
-
-    each = texts.select("row", F.explode(F.slice("ids", 2, F.size("ids"))).alias("w"))
-    known = _with(each, words.select("id", "n", F.log10("p").alias("arc")), "w").groupBy("row").agg(
-        F.count(F.when(F.col("n") > 0, 1)).alias("n_known"), F.sum(F.coalesce("arc", unseen)).alias("base_score")
-    )
-    return texts.select("row", "doc_id", "held_out", (F.size("ids") - 1).cast("long").alias("n_tokens")).join(
-        known, "row", "left"
-    ).join(summed, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
+    for _ in range(2, order + 1):
+        blocks = _counted(blocks, order, least, least, ends)
+    if order > 1:
+        masses = blocks.mapInArrow(_masses(order, least, norm), "key long, block long, mass double, low double, needs boolean")
+        same = Window.partitionBy("key")
+        rest = [F.greatest(1 - F.sum(c).over(same), F.lit(1e-12)) for c in ("mass", "low")]
+        weights = masses.select("key", "block", "needs", F.log10(rest[0] / rest[1]).alias("weight"), F.sum("mass").over(same).alias("all"))
+        weights = weights.where("needs and all > 0").select("key", "block", "weight")
+        blocks = _brought(blocks, weights, _weigh(order, least))
+    return blocks, tokens, least, norm
+
+
+def score(docs: DataFrame, order: int = 3, floor: float = 0.0) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``floor``: n-grams are kept from this share of all tokens, and from two occurrences.
+    """
+    with shuffles_released(docs.sparkSession):
+        blocks, tokens, least, norm = automata(docs, order, floor)
+        pieces = materialize(blocks.mapInArrow(_walk(order, least, norm), _SCORES), "scores")
+        discard(blocks)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    found = pieces.groupBy("row", "doc_id", "held_out").agg(*sums)
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from techatlas.llm import lm
@@ -77,28 +78,64 @@ def test_scores_equal_plain_dictionaries(spark, order, floor):
 
 
 def test_every_state_sums_to_one(spark):
-    rows = [(i, (t or "").encode()) for i, t in corpus(8)]
-    texts = spark.createDataFrame(rows, "i long, text binary").select("text")
-    m, counts = lm.fit(texts, 3, 1e-6)
-    vocabulary, arcs, fail, weight, _, _, single = m.built()
-    table = {r["word"]: r["n"] for r in counts.collect()}
-    words = [w for w in table if w is not None] + [None]
-    root = {w: math.log10(((table[w]) + 0.1) / m.norm) for w in words}
-    assert len(arcs) > 20
-    for state in range(len(arcs)):
-        mass = 0.1 / m.norm if state == 0 else 0.0
-        if state:
-            walk, down = state, 0.0
-            while walk:
-                down, walk = down + weight[walk], fail[walk]
-            mass = 10 ** (down + math.log10(0.1 / m.norm))
-        for w in words:
-            k = lm.END if w is None else vocabulary.get(w, lm.OTHER)
-            walk, x = state, 0.0
-            while walk and k not in arcs[walk]:
-                x, walk = x + weight[walk], fail[walk]
-            mass += 10 ** (x + (arcs[walk][k][1] if k in arcs[walk] else root[w]))
-        assert mass == pytest.approx(1.0, abs=1e-9)
+    rows = corpus(8)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], brute.DOCS)
+    blocks, tokens, least, norm = lm.automata(df.coalesce(1), 3)
+    (row,) = [r.asDict() for r in blocks.collect()]
+    block = lm.Block(row, 3, least)
+    a = lm.Automaton(block, norm)
+    counts = block.grams[0].counts
+    words = np.array([w for w in range(a.width) if w != lm.START and counts[w] > 0])
+    assert counts[words].sum() == tokens
+    unseen = math.log10(0.1 / norm)
+    with_arcs = set((a.arcs // a.width).tolist())
+    checked = 0
+    for state in range(len(a.fail)):
+        if state == 1 + lm.START or state in with_arcs and a.weight[state] == 0:
+            continue  # no text falls back from it: its weight was not asked for
+        walk, down = state, unseen
+        while walk:
+            down, walk = down + a.weight[walk], a.fail[walk]
+        _, log = a.step(np.full(len(words), state), words)
+        below, through = state, True
+        while below:
+            through, below = through and not (below in with_arcs and a.weight[below] == 0), a.fail[below]
+        if through:
+            checked += 1
+            assert (10**log).sum() + 10**down == pytest.approx(1.0, abs=1e-9)
+    assert checked > 20
+
+
+@pytest.mark.parametrize("order,tokens,stretch", [(1, 40, 3), (2, 40, 3), (3, 500, 1), (4, 7, 5)])
+def test_blocks_and_lanes_of_any_size_give_the_same(spark, monkeypatch, order, tokens, stretch):
+    """Texts go on in the next block and the next lane with the state they would have had."""
+    rows = corpus(9, 60)[:-1] + [(904, "v1 r2 v2 v1 " * 50)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], brute.DOCS).coalesce(2)
+
+    def result():
+        return sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["score"], r["base_score"]) for r in lm.score(df, order).collect()))
+
+    whole = result()
+    small = {"BLOCK_TOKENS": tokens, "STRETCH": stretch, "TEXT_BYTES": 11}
+    deal, walk = lm._deal, lm._walk
+
+    def patched(make):
+        def made(*args):
+            def run(batches):
+                for name, value in small.items():
+                    setattr(lm, name, value)
+                yield from make(*args)(batches)
+
+            return run
+
+        return made
+
+    monkeypatch.setattr(lm, "_deal", patched(deal))
+    monkeypatch.setattr(lm, "_walk", patched(walk))
+    cut = result()
+    assert [r[:3] for r in cut] == [r[:3] for r in whole]
+    for got, want in zip(cut, whole, strict=True):
+        assert got[3:] == pytest.approx(want[3:], rel=1e-9)
 
 
 def test_no_rows_and_no_training_rows(spark):
