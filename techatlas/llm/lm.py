@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ DISCOUNT = 0.5
 END, START = 0, 1
 #: Stand for the two marks among words; no word holds a space.
 MARKS = (b" end", b" start")
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Bytes of a text that are split into words at once.
 TEXT_BYTES = 1 << 20
 #: Tokens that one lane of the traversal reads.
@@ -55,6 +55,7 @@ BLOCK = (
     "sizes array<int>, warm array<int>, train long, types long, ends long, counts array<binary>, own array<binary>, "
     "weights array<binary>"
 )
+_ZSTD = pa.Codec("zstd")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -70,6 +71,17 @@ def _word_lists(text: bytes | None) -> Iterator[list[bytes]]:
         at = end
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """An array's bytes, compressed, after their number."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(packed: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(_ZSTD.decompress(packed[8:], size, asbytes=True), dtype)
+
+
 def _mixed(keys: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     """Keys of n-grams from those of their first n - 1 words and the hashes of their last words."""
     x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + last * np.uint64(0xD6E8FEB86659FD93)
@@ -108,8 +120,8 @@ class _Dealt:
         row, doc_id, held_out, size, warm = zip(*self.pieces, strict=True)
         values = {
             "block": self.number,
-            "words": hashes.tobytes(),
-            "ids": np.concatenate(self.ids).astype("<i4").tobytes(),
+            "words": _packed(hashes),
+            "ids": _packed(np.concatenate(self.ids).astype("<i4")),
             "rows": row,
             "doc_ids": doc_id,
             "held_out": held_out,
@@ -164,56 +176,81 @@ def _deal(order: int):
     return tidy(run)
 
 
-@dataclass
 class Grams:
-    """The distinct n-grams of one order in a block, sorted by key (single words: by number)."""
+    """The distinct n-grams of one order in a block, sorted by key; what costs more than a sort is made when asked for."""
 
-    keys: np.ndarray
-    place: np.ndarray  # of every token: the n-gram that ends there, or -1
-    first: np.ndarray | None = None  # a token where each n-gram ends, from two words on
     counts: np.ndarray | None = None
     own: np.ndarray | None = None
 
+    def __init__(self, values: np.ndarray, ends: np.ndarray, tokens: int) -> None:
+        self.values, self.ends, self.tokens = values, ends, tokens
 
-@dataclass
-class Block:
-    """Texts of a block and what is known of their n-grams."""
+    @cached_property
+    def _all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.unique(self.values, return_index=True, return_inverse=True)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return self._all[0] if "_all" in self.__dict__ else np.unique(self.values)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """A token where each n-gram ends."""
+        return self.ends[self._all[1]]
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Of every token: the n-gram that ends there, or -1."""
+        place = np.full(self.tokens, -1, np.int32)
+        place[self.ends] = self._all[2]
+        return place
 
-    row: dict
-    order: int
-    least: float = 2.0
-    grams: list[Grams] = field(default_factory=list)
+    def times(self, tokens: np.ndarray) -> np.ndarray:
+        """How often each n-gram ends at a marked token."""
+        keys, n = np.unique(self.values[tokens[self.ends]], return_counts=True)
+        out = np.zeros(len(self.keys), np.int64)
+        out[np.searchsorted(self.keys, keys)] = n
+        return out
 
-    def __post_init__(self) -> None:
-        row = self.row
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.ids = np.frombuffer(row["ids"], "<i4").astype(np.int64)
+
+class Words(Grams):
+    """The words of a block, by number."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray) -> None:
+        self.keys, self.place = words, ids
+
+    def times(self, tokens: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place[tokens], minlength=len(self.keys))
+
+
+class Block:
+    """Texts of a block and what is known of their n-grams, up to the order that has no counts yet or to ``upto``."""
+
+    def __init__(self, row: dict, order: int, least: float = 2.0, upto: int | None = None) -> None:
+        self.row, self.order, self.least = row, order, least
+        self.words = _unpacked(row["words"], "<u8")
+        self.ids = _unpacked(row["ids"], "<i4")
         self.sizes, self.warm = (np.array(row[k], np.int64) for k in ("sizes", "warm"))
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.at = np.arange(len(self.ids)) - np.repeat(self.begins, self.sizes)
+        self.at = (np.arange(len(self.ids)) - np.repeat(self.begins, self.sizes)).astype(np.int32)
         self.scored = self.at >= np.repeat(self.warm, self.sizes)
-        self.grams.append(Grams(self.words, self.ids))
+        self.grams: list[Grams] = [Words(self.words, self.ids)]
         known = len(row["counts"])
         self._known(0, known)
-        hashes = self.words[self.ids]
-        keys = hashes
-        for n in range(2, min(self.order, known + 1) + 1):
-            longer = np.empty_like(keys)
-            longer[:1] = 0
+        hashes = keys = self.words[self.ids]
+        for n in range(2, min(order, known + 1, upto or order) + 1):
+            longer = np.zeros_like(keys)
             longer[1:] = _mixed(keys[:-1], hashes[1:], n)
             keys = longer
             kept = self.kept(n - 1)
             ends = np.flatnonzero(kept[1:] & kept[:-1] & (self.at[1:] >= n - 1)) + 1
-            own, first, inverse = np.unique(keys[ends], return_index=True, return_inverse=True)
-            place = np.full(len(self.ids), -1, np.int64)
-            place[ends] = inverse
-            self.grams.append(Grams(own, place, ends[first]))
+            self.grams.append(Grams(keys[ends], ends, len(self.ids)))
             self._known(n - 1, known)
 
     def _known(self, k: int, known: int) -> None:
         if k < known:
-            self.grams[k].counts = np.frombuffer(self.row["counts"][k], "<i8")
-            self.grams[k].own = np.frombuffer(self.row["own"][k], bool)
+            self.grams[k].counts = _unpacked(self.row["counts"][k], "<i8")
+            self.grams[k].own = _unpacked(self.row["own"][k], bool)
 
     def kept(self, n: int) -> np.ndarray:
         """Of every token: whether the n words that end there are a state or an arc; a text's start always is."""
@@ -223,6 +260,10 @@ class Block:
             kept[START] = True
         return kept[g.place]
 
+    def train(self) -> np.ndarray:
+        """Of every token: whether it counts."""
+        return self.scored & ~np.repeat(np.array(self.row["held_out"], bool), self.sizes)
+
     def count(self, n: int, tokens: np.ndarray) -> np.ndarray:
         """Counts of the n words that end at some tokens."""
         g = self.grams[n - 1]
@@ -231,8 +272,7 @@ class Block:
     def named(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the n-grams without counts yet, and their counts in the block's training texts."""
         g = self.grams[-1]
-        train = self.scored & ~np.repeat(np.array(self.row["held_out"], bool), self.sizes) & (g.place >= 0)
-        counts = np.bincount(g.place[train], minlength=len(g.keys))
+        counts = g.times(self.train())
         # a text's start is no word
         keep = slice(None) if len(self.grams) > 1 else np.arange(len(g.keys)) != START
         return g.keys[keep], counts[keep]
@@ -245,16 +285,16 @@ class Block:
         got[at[there]], mine[at[there]] = counts[there], own[there]
         row = dict(self.row)
         if len(self.grams) == 1:
-            train = self.scored & ~np.repeat(np.array(row["held_out"], bool), self.sizes)
+            train = self.train()
             row["train"], row["types"] = int(train.sum()), int(mine.sum())
             row["ends"] = int((self.ids[train] == END).sum())
         elif len(self.grams) == 2:
             # as often as a text begins
-            started = np.frombuffer(row["counts"][0], "<i8").copy()
+            started = self.grams[0].counts.copy()
             started[START] = ends
-            row["counts"] = [started.tobytes(), *row["counts"][1:]]
-        row["counts"] = [*row["counts"], got.tobytes()]
-        row["own"] = [*row["own"], mine.tobytes()]
+            row["counts"] = [_packed(started)]
+        row["counts"] = [*row["counts"], _packed(got)]
+        row["own"] = [*row["own"], _packed(mine)]
         return row
 
     def masses(self, norm: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -283,7 +323,7 @@ class Block:
             own = np.zeros(len(g.keys))
             at, there = _places(g.keys, keys)
             own[at[there]] = weights[there]
-            out.append(own.tobytes())
+            out.append(_packed(own))
         return {**self.row, "weights": out}
 
 
@@ -310,7 +350,7 @@ class Automaton:
             states += len(g.keys)
 
         def state(n: int, tokens: np.ndarray) -> np.ndarray:
-            return base[n - 1] + grams[n - 1].place[tokens]
+            return base[n - 1] + grams[n - 1].place[tokens].astype(np.int64)
 
         self.fail = np.zeros(states, np.int64)
         self.weight = np.zeros(states)
@@ -326,7 +366,7 @@ class Automaton:
             froms.append(state(n - 1, ends - 1) * self.width + ids[ends])
             tos.append(state(n if n < order else n - 1, ends))
             logs.append(np.log10((block.count(n, ends) - DISCOUNT) / block.count(n - 1, ends - 1)))
-            self.weight[base[n - 2] : base[n - 2] + len(grams[n - 2].keys)] = np.frombuffer(block.row["weights"][n - 2])
+            self.weight[base[n - 2] : base[n - 2] + len(grams[n - 2].keys)] = _unpacked(block.row["weights"][n - 2], "<f8")
             if n < order:
                 self.fail[state(n, ends)] = state(n - 1, ends)
         arcs = np.concatenate([np.zeros(0, np.int64), *froms])
@@ -421,7 +461,7 @@ def _weigh(order: int, least: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
         keys, weights = (right[k].to_numpy() for k in ("key", "weight"))
-        return pa.Table.from_batches([_row(Block(row, order, least).weighted(keys.view(np.uint64), weights))])
+        return pa.Table.from_batches([_row(Block(row, order, least, order - 1).weighted(keys.view(np.uint64), weights))])
 
     return run
 
