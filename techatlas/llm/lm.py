@@ -15,7 +15,7 @@ counts in its training texts. One shuffle by n-gram sums these counts, one shuff
 n-grams that occur twice. An n-gram is named only where both shorter n-grams in it occur twice, which loses
 none. Weights travel the same way: of all blocks that hold an n-gram the first adds its probability to its
 context. Then each block holds the part of the automaton that its texts can meet, and is walked alone. N-grams are
-keyed by 64-bit hashes. A key has at most one row per block, so no key is hot.
+keyed by 64-bit hashes; two with one hash, as unlikely as that is, would count as one. A key has at most one row per block, so no key is hot.
 
 Null texts count as empty: one end token. Rows without doc_id are held out. Repeated rows are
 scored, and trained on, once each. An empty table gives no rows.
@@ -46,6 +46,8 @@ MARKS = (b" end", b" start")
 BLOCK_TOKENS = 1_500_000
 #: Bytes of a text that are split into words at once.
 TEXT_BYTES = 1 << 20
+#: Answers that a task deals to their blocks at once.
+ANSWERS = 1_000_000
 #: Tokens that one lane of the traversal reads.
 STRETCH = 1024
 #: Blocks are wide rows: each has a row group of its own.
@@ -436,11 +438,46 @@ def _name(order: int, least: float):
     return tidy(run)
 
 
+def _dealt(answers: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One row per block of some answers (key, block, other columns), their columns compressed."""
+    keys, blocks, *others = (answers[k].to_numpy() for k in answers.column_names)
+    keys = keys.view(np.uint64)
+    by = np.lexsort((keys, blocks))
+    keys, blocks, others = keys[by], blocks[by], [x[by] for x in others]
+    begins = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    rows = []
+    for a, b in zip(begins, [*begins[1:], len(blocks)], strict=True):
+        steps = np.diff(keys[a:b], prepend=np.uint64(0))
+        rows.append((int(blocks[a]), _packed(steps), *(_packed(x[a:b]) for x in others)))
+    columns = [pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
+    yield pa.record_batch(columns, names=["block", "key", *answers.column_names[2:]])
+
+
+def _deal_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ANSWERS:
+            yield from _dealt(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield from _dealt(pa.Table.from_batches(held))
+
+
+def _answered(table: pa.Table, name: str, dtype) -> np.ndarray:
+    """A column of the answers of one block."""
+    parts = [_unpacked(x, dtype) for x in table[name].to_pylist()]
+    if name == "key":
+        parts = [np.cumsum(x, dtype=np.uint64) for x in parts]
+    return np.concatenate([np.zeros(0, dtype), *parts])
+
+
 def _fill(order: int, least: float, ends: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        keys, counts, own = (right[k].to_numpy() for k in ("key", "c", "own"))
-        filled = Block(row, order, least).filled(keys.view(np.uint64), counts, own.astype(bool), ends)
+        keys, counts, own = (_answered(right, k, t) for k, t in (("key", "<u8"), ("c", "<i8"), ("own", bool)))
+        filled = Block(row, order, least).filled(keys, counts, own, ends)
         return pa.Table.from_batches([_row(filled)])
 
     return run
@@ -460,8 +497,8 @@ def _masses(order: int, least: float, norm: float):
 def _weigh(order: int, least: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        keys, weights = (right[k].to_numpy() for k in ("key", "weight"))
-        return pa.Table.from_batches([_row(Block(row, order, least, order - 1).weighted(keys.view(np.uint64), weights))])
+        keys, weights = (_answered(right, k, t) for k, t in (("key", "<u8"), ("weight", "<f8")))
+        return pa.Table.from_batches([_row(Block(row, order, least, order - 1).weighted(keys, weights))])
 
     return run
 
@@ -493,7 +530,12 @@ def _walk(order: int, least: float, norm: float):
 
 
 def _brought(blocks: DataFrame, answers: DataFrame, fill) -> DataFrame:
-    """Blocks with what is known of their keys, written anew; the earlier ones are deleted."""
+    """Blocks with what is known of their keys, written anew; the earlier ones are deleted.
+
+    answers: key, block and what is known of the key in it.
+    """
+    others = "".join(f", {c} binary" for c in answers.columns[2:])
+    answers = answers.mapInArrow(tidy(_deal_answers), f"block long, key binary{others}")
     new = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, BLOCK)
     new = materialize(new, "blocks", **WRITER)
     discard(blocks)
