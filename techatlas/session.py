@@ -78,7 +78,8 @@ def discard(df: DataFrame) -> None:
     """Delete the files of one intermediate result, given as ``materialize`` returned it, before the others."""
     spark = df.sparkSession
     files = df.inputFiles()
-    for path in [p for p in _written if any(f.startswith(f"{qualified(spark, p)}/") for f in files)]:
+    # folder names are unique, however a file system writes the way to them
+    for path in [p for p in _written if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]:
         remove(spark, path)
         _written.remove(path)
 

@@ -271,3 +271,18 @@ def test_earlier_archives_that_arrive_late_win(spark, tmp_path):
     assert got.where("doc_number = '1'").first()["file_name"] == "a.zip"
     links = st.imported(spark, out, "code_links").join(got.where("doc_number = '1'").select("record_id"), "record_id")
     assert [r["code"] for r in links.select("code").distinct().orderBy("code").collect()] == ["A01B", "H01L"]
+
+
+def test_discarded_results_and_shuffles_are_gone(spark):
+    from techatlas.session import _written, discard, exists, materialize, shuffles_released
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_released(spark):
+        kept, gone = (materialize(spark.range(100).repartition(3), "part") for _ in range(2))
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+    paths = _written[-2:]
+    discard(gone)
+    assert [exists(spark, p) for p in paths] == [True, False] and paths[1] not in _written
+    assert kept.count() == 100
