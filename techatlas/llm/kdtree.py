@@ -6,8 +6,9 @@ together; null counts as the empty name). The node of all documents is to become
 leaves; a node of m leaves is cut along its widest dimension so that m // 2 leaves' share of its
 bytes lies below, until every node is one leaf, which holds about ``leaf_bytes`` bytes.
 
-A dimension's key carries 20 bits of a hash of the text and 12 of one of the id below the coordinate, so any
-number of equal coordinates can be cut, and equal texts lie side by side. Weighted medians of all nodes of a level
+A dimension's key carries 20 bits of a hash of the text and 12 of one of the id and the row's number below the
+coordinate, so any number of equal coordinates, and of equal rows, can be cut, and equal texts lie side by side. Row
+numbers are fixed once ``points`` are written. Weighted medians of all nodes of a level
 are found at once: sizes are summed in BINS equal intervals of the keys, the interval that holds the
 median is cut anew, and so on until it weighs at most ``TOLERANCE`` of the node. Nodes are a
 distributed table too; to the driver comes one number per round.
@@ -41,7 +42,7 @@ def points(docs: DataFrame) -> DataFrame:
         return F.shiftright(F.crc32(F.coalesce(value, F.lit(""))), 2).cast("long")
 
     tie = F.shiftleft(F.xxhash64(text).bitwiseAND((1 << 20) - 1), 12).bitwiseOR(
-        F.xxhash64("doc_id").bitwiseAND((1 << 12) - 1)
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND((1 << 12) - 1)
     )
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -56,3 +56,9 @@ def test_few_rows_empty_table_and_query(spark):
     got = queries.QUERIES["op9_kd_tree"](spark, "/root/testdata/sf0.01").toPandas()
     sizes = got.groupby("shard")["size"].sum()
     assert len(sizes) == 8 and sizes.max() - sizes.min() < 0.03 * sizes.mean()
+
+
+@pytest.mark.parametrize("row", [(7, "same text", "en", "s", 1), (None, None, None, None, None)])
+def test_equal_rows_are_spread(spark, row):
+    got = kdtree.shard(spark.createDataFrame([row] * 1000, brute.DOCS), shards=4).groupBy("shard").count().collect()
+    assert len(got) == 4 and all(abs(r["count"] - 250) <= 25 for r in got)
