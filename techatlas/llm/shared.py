@@ -110,6 +110,12 @@ class Known:
         return found
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind more underscores than any column of df begins with: none of them clashes."""
+    most = max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)
+    return ["_" * (most + 1) + n for n in names]
+
+
 #: Buckets of the filter that spares rows a shuffle.
 FILTER_BUCKETS = 1 << 20
 

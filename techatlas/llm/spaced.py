@@ -1,14 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 Words: runs of letters and digits in lower case. A text is contaminated by a benchmark item where
-``RUN`` consecutive words of it and of the item agree in all but ``SUBSTITUTIONS`` places (items
-shorter than RUN: their whole length, all words equal).
+``RUN`` consecutive words of it and of the item agree in all but ``SUBSTITUTIONS`` places. An item of n < RUN
+words is found as a whole, in n consecutive words that agree in all but n * SUBSTITUTIONS // RUN places: one for 7 to 12
+words, none below, so that an item of one word is found wherever that word stands. An item without words is found nowhere.
 
 ``MASKS`` mark which words of a window count (1) and which are ignored (0). They were chosen
 so that any RUN words with any SUBSTITUTIONS of them replaced hold a place where one mask meets no
 replaced word; so hashing the marked words of every window finds every overlap. Windows of
 texts and items with equal hashes are aligned, and the words around the hit are compared in
-place. Items of fewer than ``SHORTEST`` words are too common to say anything and are left out.
+place. Shorter items have masks of their own length, which ignore every third word in turn, so that one of the three
+meets no replaced word; where none may be replaced one mask marks all words. Items of equal words are one while they are searched.
 
 The item side is broadcast up to ``BROADCAST_SEEDS`` seeds (counted first); beyond that it is an
 ordinary join. Null and empty texts hold nothing. Rows without an item_id are items too.
@@ -21,16 +23,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import split_by
+from techatlas.llm.shared import free_names, split_by
 from techatlas.session import materialize
 
 MASKS = ("11101011", "110100111")
 RUN = 13
 SUBSTITUTIONS = 2
-SHORTEST = 6
 BROADCAST_SEEDS = 2_000_000
 
 
+def tolerance(n: int) -> int:
+    """How many of n words in a row may be replaced."""
+    return min(n, RUN) * SUBSTITUTIONS // RUN
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks for whole items of n < RUN words."""
+    if not tolerance(n):
+        return ["1" * n]
+    return ["".join("0" if k % 3 == gone else "1" for k in range(n)) for gone in range(3)]
+
+
 def words(text: Column) -> Column:
     """Words of a text; an empty list for null."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -55,17 +68,10 @@ def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
         starts = F.sequence(F.lit(0), F.col("n") - len(mask))
         none = F.array().cast("array<long>")
         lists.append(F.when(F.col("n") >= len(mask), F.transform(starts, _seed_at(k, mask))).otherwise(none))
-    rows = df.select(*keys, "n", F.posexplode(F.concat(*lists)).alias("at", "seed"))
-    # the lists stand one after the other
-    at, span, before = F.col("at"), F.lit(None).cast("int"), F.lit(0)
-    place = F.lit(None).cast("int")
-    for mask in masks:
-        windows = F.greatest(F.col("n") - (len(mask) - 1), F.lit(0))
-        inside = place.isNull() & (at < before + windows)
-        span = F.when(inside, len(mask)).otherwise(span)
-        place = F.when(inside, at - before).otherwise(place)
-        before = before + windows
-    return rows.select(*keys, place.alias("at"), span.alias("span"), "seed")
+    # a list for each mask, then a row for each window
+    rows = df.select(*keys, F.posexplode(F.array(*lists)).alias("mask", "seeds"))
+    span = F.get(F.array(*(F.lit(len(mask)) for mask in masks)), F.col("mask"))
+    return rows.select(*keys, span.alias("span"), F.posexplode("seeds").alias("at", "seed")).select(*keys, "at", "span", "seed")
 
 
 def _around() -> Column:
@@ -94,17 +100,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps, one row per (doc_id, text_hash, item_id).
 
     ``matched``: most equal words in a stretch of RUN words (or the whole of a shorter item); ``at``: the
-    first seed's position among the text's words; ``seeds``: hits that were verified.
+    first seed's position among the text's words; ``seeds``: hits that were verified. Texts of one item_id count together.
     """
-    items = benchmark.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("own"))
-    items = items.where(F.size("own") >= SHORTEST).dropDuplicates(["item"])
-    # at most RUN - SHORTEST further masks, for whole short items
+    own = benchmark.select("item_id", words(F.col("text")).alias("own")).where(F.size("own") > 0)
+    own = own.withColumn("item", F.xxhash64("own"))
+    items = own.select("item", "own").dropDuplicates(["item"])
+    # the lengths of short items, RUN - 1 at most
     short = sorted(r["n"] for r in items.where(F.size("own") < RUN).select(F.size("own").alias("n")).distinct().collect())
-    masks = [*MASKS, *("1" * n for n in short)]
+    masks = [*MASKS, *(m for n in short for m in short_masks(n))]
     size = items.select("item", F.size("own").alias("words"))
-    seeds = _seeds(items.select("item", "own"), masks).join(size, "item")
-    # a short item is met by its own mask only
-    seeds = seeds.where((F.col("words") >= RUN) | (F.col("words") == F.col("span")))
+    seeds = _seeds(items, masks).join(size, "item")
+    # a short item is met by masks of its length only
+    long = (F.col("words") >= RUN) & F.col("span").isin([len(m) for m in MASKS])
+    seeds = seeds.where(long | (F.col("words") == F.col("span")))
     seeds = materialize(seeds.select("seed", "item", F.col("at").alias("item_at")), "seeds")
     known = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
     hits = materialize(_seeds(_own(docs), masks).join(known, "seed").drop("seed"), "hits")
@@ -122,17 +130,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best = F.array_max(
         F.transform(starts, lambda k: F.aggregate(F.slice(equal, k, n), F.lit(0), lambda x, y: x + y))
     )
-    least = F.when(F.size("item_words") >= RUN, RUN - SUBSTITUTIONS).otherwise(F.size("item_words"))
+    least = n - F.floor(n * SUBSTITUTIONS / RUN).cast("int")
     found = (
-        hits.join(items.select("item", "item_id", F.col("own").alias("item_words")), "item")
+        hits.join(items.select("item", F.col("own").alias("item_words")), "item")
         .join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-        .select("doc_id", "text_hash", "item_id", "at", "item_words", _around().alias("equal"))
-        .select("doc_id", "text_hash", "item_id", "at", least.alias("least"), best.alias("matched"))
+        .select("doc_id", "text_hash", "item", "at", "item_words", _around().alias("equal"))
+        .select("doc_id", "text_hash", "item", "at", least.alias("least"), best.alias("matched"))
         .where("matched >= least")
     )
-    return found.groupBy("doc_id", "text_hash", "item_id").agg(
+    found = found.groupBy("doc_id", "text_hash", "item").agg(
         F.max("matched").alias("matched"), F.min("at").alias("at"), F.count(F.lit(1)).alias("seeds")
     )
+    named = found.join(own.select("item", "item_id").distinct(), "item")
+    return named.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.max("matched").alias("matched"), F.min("at").alias("at"), F.sum("seeds").alias("seeds")
+    )
 
 
 def _null_safe(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
@@ -142,9 +154,10 @@ def _null_safe(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> Da
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap with no item, with the columns of docs."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    """The rows of docs that overlap with no item, with the columns of docs, whatever their names."""
+    name, check = free_names(docs, "id", "hash")
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias(name), F.col("text_hash").alias(check)).distinct()
     bad = materialize(bad, "contaminated")
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    maybe, clean = split_by(own, bad, "__hash")
-    return clean.unionByName(_null_safe(maybe, bad, ["__id", "__hash"], "left_anti")).select(*docs.columns)
+    own = docs.withColumn(name, F.col("doc_id").cast("long")).withColumn(check, F.xxhash64("text"))
+    maybe, clean = split_by(own, bad, check)
+    return clean.unionByName(_null_safe(maybe, bad, [name, check], "left_anti")).select(*docs.columns)

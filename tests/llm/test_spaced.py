@@ -30,12 +30,12 @@ def plain(docs, items):
         own = codes(text)
         for i, other in others:
             n = min(spaced.RUN, len(other))
-            if len(other) < spaced.SHORTEST or len(own) < n:
+            if not n or len(own) < n:
                 continue
             equal = own[:, None] == other
             rows, columns = len(own) - n + 1, len(other) - n + 1
             matched = sum(equal[k : k + rows, k : k + columns].astype(int) for k in range(n))
-            if matched.max() >= n - (spaced.SUBSTITUTIONS if n == spaced.RUN else 0):
+            if matched.max() >= n - 2 * n // 13:
                 out.add((d, i))
     return out
 
@@ -50,11 +50,17 @@ def test_masks_find_every_overlap():
         )
 
 
+def test_masks_of_short_items_find_every_overlap():
+    for n in range(1, spaced.RUN):
+        for gone in itertools.combinations(range(n), spaced.tolerance(n)):
+            assert any(len(m) == n and not any(m[k] == "1" for k in gone) for m in spaced.short_masks(n))
+
+
 def fixture(seed):
     rnd = random.Random(seed)
     vocab = [f"v{k}" for k in range(60)]
     items = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(4, 40)))) for i in range(30)]
-    items += [(30, None), (31, ""), (32, "too few words"), (33, items[3][1]), (None, " ".join(rnd.choices(vocab, k=20)))]
+    items += [(30, None), (31, ""), (32, "too few words"), (33, items[3][1]), (34, "Alone!"), (35, "v1 v2"), (33, "v3 v4 v5 v6 v7 v8 v9"), (None, " ".join(rnd.choices(vocab, k=20)))]
     docs = []
     for d in range(150):
         w = rnd.choices(vocab, k=rnd.randint(0, 80))
@@ -66,6 +72,7 @@ def fixture(seed):
             low = rnd.randrange(len(w) + 1)
             w[low:low] = part[rnd.randrange(3) :]
         docs.append((d, rnd.choice([" ", ", ", "\n"]).join(w).title()))
+    docs += [(600, "not alone here"), (601, "there are too few words, he said"), (602, "a v3 v4 v5 other v7 v8 v9 b"), (603, "a v3 v4 v5 other other v8 v9 b")]
     docs += [(500, None), (501, ""), (None, items[0][1] + " " + items[1][1]), (5, docs[0][1]), docs[0], (502, ("x " * 9000) + items[2][1] * 2)]
     return docs, items
 
@@ -79,8 +86,11 @@ def test_overlaps_equal_plain_alignment(spark, monkeypatch, broadcast):
     got = {(r["doc_id"], r["item_id"]) for r in spaced.overlaps(df.repartition(3), bench).collect()}
     want = plain(docs, items)
     assert got == want and len(want) > 20
+    assert {(600, 34), (601, 32), (602, 33)} <= got and (603, 33) not in got
+    df = df.selectExpr("*", "7 as __hash", "8 as __id", "9 as ___id")
     clean = spaced.clean_rows(df, bench)
     assert clean.columns == df.columns
+    assert {tuple(r) for r in clean.select("__hash", "__id", "___id").distinct().collect()} == {(7, 8, 9)}
     bad = {k for k, _ in plain([(k, t) for k, (_, t) in enumerate(docs)], items)}
     left = [d for k, (d, _) in enumerate(docs) if k not in bad]
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == sorted(left, key=repr)
