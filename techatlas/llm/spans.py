@@ -3,7 +3,8 @@
 A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends;
 sentences of over ``LONGEST`` words are cut at places that depend on the words nearby (``_cuts``), so that equal passages are cut alike whatever stands before them. Where ``RUN`` sentences have under ``LEAST_WORDS`` words, they and
 their like beside them are joined to longer ones by the same rule, so that no run is too short. Every run of ``RUN`` consecutive sentences
-with at least ``LEAST_WORDS`` words is hashed (128 bits; A-Z in lower case, white space as one blank).
+with at least ``LEAST_WORDS`` words is hashed (128 bits; A-Z in lower case, white space as one blank); a text of fewer
+than ``RUN`` sentences is one run, so that its copies are found too.
 Of each hash the occurrence with the smallest (doc_id, hash of the text, sentence number) is the
 first; sentences covered by any other occurrence, in the same or another text, are removed.
 A repeated passage of 2 * LONGEST + 1 words or more that begins and ends at sentence ends always
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from techatlas.llm.shared import split_by, tidy, utf8
+from techatlas.llm.shared import free_names, split_by, tidy, utf8
 from techatlas.session import materialize
 
 RUN = 3
@@ -106,21 +107,29 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, numbers, hashes = [], [], []
+        rows, numbers, sizes, hashes = [], [], [], []
         for k, text in enumerate(batch["text"]):
             text = text.as_py()
             if not text:
                 continue
             own = [text[a:b].lower().split() for a, b in sentences(text)]
-            for i in range(len(own) - RUN + 1):
-                if sum(map(len, own[i : i + RUN])) >= LEAST_WORDS:
+            size = min(RUN, len(own))
+            for i in range(len(own) - size + 1):
+                if sum(map(len, own[i : i + size])) >= LEAST_WORDS:
                     rows.append(k)
                     numbers.append(i)
+                    sizes.append(size)
                     hashes.append(xxhash.xxh3_128_digest(b" ".join(w for s in own[i : i + RUN] for w in s)))
         at = pa.array(rows, pa.int64())
         yield pa.record_batch(
-            [batch["doc_id"].take(at), batch["text_hash"].take(at), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())],
-            names=["doc_id", "text_hash", "sentence", "span"],
+            [
+                batch["doc_id"].take(at),
+                batch["text_hash"].take(at),
+                pa.array(numbers, pa.int32()),
+                pa.array(sizes, pa.int32()),
+                pa.array(hashes, pa.binary()),
+            ],
+            names=["doc_id", "text_hash", "sentence", "size", "span"],
         )
 
 
@@ -133,12 +142,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """All non-first occurrences of repeated runs: doc_id, text_hash, sentence, first_doc_id, first_sentence.
+    """All non-first occurrences of repeated runs: doc_id, text_hash, sentence, size (of the run), first_doc_id, first_sentence.
 
     Only hashes that occur more than once are joined back; a frequent one is counted before the
     shuffle, and its many occurrences are split by the adaptive skew join.
     """
-    spans = _keyed(docs).mapInArrow(tidy(_span_rows), "doc_id long, text_hash long, sentence int, span binary")
+    spans = _keyed(docs).mapInArrow(tidy(_span_rows), "doc_id long, text_hash long, sentence int, size int, span binary")
     spans = materialize(spans, "spans")
     place = F.struct("doc_id", "text_hash", "sentence")
     first = spans.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -148,6 +157,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text_hash",
         "sentence",
+        "size",
         F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.sentence").alias("first_sentence"),
     )
@@ -156,9 +166,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """Per document that loses sentences: doc_id, text_hash, removed (their numbers, ascending), first_doc_ids."""
     again = repeated(docs).groupBy("doc_id", "text_hash").agg(
-        F.collect_set("sentence").alias("begins"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids")
+        F.collect_set(F.struct("sentence", "size")).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids")
     )
-    each = F.flatten(F.transform("begins", lambda b: F.sequence(b, b + (RUN - 1))))
+    each = F.flatten(F.transform("runs", lambda r: F.sequence(r["sentence"], r["sentence"] + r["size"] - 1)))
     return again.select("doc_id", "text_hash", F.array_sort(F.array_distinct(each)).alias("removed"), "first_doc_ids")
 
 
@@ -189,15 +199,16 @@ def changed(docs: DataFrame) -> DataFrame:
 
 def cut_rows(docs: DataFrame) -> DataFrame:
     """All rows of docs, repeated passages cut from the texts; columns as in docs, n_chars (if any) counted anew."""
-    cut = materialize(covered(docs), "covered").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed")
-    )
-    own = docs.withColumn("__hash", F.xxhash64("text"))
-    maybe, same = split_by(own, cut, "__hash")
-    keys = cut.select(F.col("__id"), F.col("__hash").alias("__cut"), "__removed").hint("merge")
-    joined = maybe.join(keys, maybe["__hash"].eqNullSafe(keys["__cut"]) & maybe["doc_id"].cast("long").eqNullSafe(keys["__id"]), "left")
-    kept = same.select(*docs.columns).unionByName(joined.where("__removed is null").select(*docs.columns))
-    less = joined.where("__removed is not null").withColumn("text", _without(utf8(F.col("text")), F.col("__removed")))
+    name, check, removed = free_names(docs, "id", "hash", "removed")
+    cut = materialize(covered(docs), "covered")
+    cut = cut.select(F.col("doc_id").alias(name), F.col("text_hash").alias(check), F.col("removed").alias(removed))
+    own = docs.withColumn(check, F.xxhash64("text"))
+    maybe, same = split_by(own, cut, check)
+    keys = cut.hint("merge")
+    equal = maybe[check].eqNullSafe(keys[check]) & maybe["doc_id"].cast("long").eqNullSafe(keys[name])
+    joined = maybe.join(keys, equal, "left").drop(keys[check])
+    kept = same.select(*docs.columns).unionByName(joined.where(F.col(removed).isNull()).select(*docs.columns))
+    less = joined.where(F.col(removed).isNotNull()).withColumn("text", _without(utf8(F.col("text")), F.col(removed)))
     if "n_chars" in docs.columns:
         less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.unionByName(less.select(*docs.columns))

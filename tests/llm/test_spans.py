@@ -10,10 +10,11 @@ def plain(docs):
     places = {}
     for d, text in sorted(set(docs), key=repr):
         own = [text.encode()[a:b].lower().split() for a, b in spans.sentences((text or "").encode())] if text else []
-        for i in range(len(own) - spans.RUN + 1):
-            run = own[i : i + spans.RUN]
+        size = min(spans.RUN, len(own))
+        for i in range(len(own) - size + 1):
+            run = own[i : i + size]
             if sum(map(len, run)) >= spans.LEAST_WORDS:
-                places.setdefault(tuple(w for s in run for w in s), []).append((d, text, i))
+                places.setdefault(tuple(w for s in run for w in s), []).append((d, text, i, size))
     return places
 
 
@@ -26,8 +27,8 @@ def removed_of(spark, docs):
     out = {}
     for found in plain(docs).values():
         found.sort(key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]], x[2]))
-        for d, text, i in found[1:]:
-            out.setdefault((d, text), set()).update(range(i, i + spans.RUN))
+        for d, text, i, size in found[1:]:
+            out.setdefault((d, text), set()).update(range(i, i + size))
     return out
 
 
@@ -46,6 +47,8 @@ def fixture(seed):
         docs.append((d, " ".join(parts)))
     docs += [(200, None), (201, ""), (202, " \n "), (None, shared[0]), (203, shared[1] + " " + shared[1]), docs[1], (3, docs[5][1])]
     docs += [(204, "no end " * 20000), (205, "Short. One. Two."), (206, "Short. One. Two."), (207, ("é è. " * 9))]
+    two = " ".join(f"t{k}" for k in range(15)) + ". And " + " ".join(f"u{k}" for k in range(7)) + "."
+    docs += [(d, two) for d in range(210, 214)] + [(214, two + " More words follow."), (215, "One sentence of nine words only, no more here."), (216, "One sentence of nine words only, no more here.")]
     return docs
 
 
@@ -55,8 +58,10 @@ def test_removal_equals_plain_table(spark):
     want = removed_of(spark, docs)
     got = {(r["doc_id"], r["text_hash"]): list(r["removed"]) for r in spans.covered(df.repartition(4)).collect()}
     assert sorted(map(sorted, want.values())) == sorted(got.values()) and len(want) > 30
+    df = df.selectExpr("*", "7 as __hash", "8 as __id", "9 as ___removed")
     cut = spans.cut_rows(df)
     assert cut.columns == df.columns
+    assert {tuple(r) for r in cut.select("__hash", "__id", "___removed").distinct().collect()} == {(7, 8, 9)}
     rows = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect()), key=repr)
     left = []
     for d, t in docs:
@@ -66,6 +71,16 @@ def test_removal_equals_plain_table(spark):
     assert rows == sorted(left, key=repr)
 
 
+def test_texts_of_few_sentences_are_cut_once(spark):
+    """Copies of one and two sentences lose everything, but for the first."""
+    texts = ["alpha " + " ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(9)) + ". Second one: " + " ".join(f"c{k}" for k in range(9)) + "."]
+    docs = [(10 * i + d, t) for i, t in enumerate(texts) for d in range(4)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], brute.DOCS)
+    left = {r["doc_id"]: r["text"] for r in spans.cut_rows(df).collect()}
+    assert left == {d: t if d in (0, 10) else "" for d, t in docs}
+    assert sorted(r["removed"] for r in spans.changed(df).collect()) == [[0]] * 3 + [[0, 1]] * 3
+
+
 def test_passages_of_fifty_words_are_cut_once(spark):
     """However a passage is punctuated, only its first place keeps it."""
     rnd = random.Random(5)
