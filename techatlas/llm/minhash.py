@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import components, split_by, tidy, utf8, words_of
+from techatlas.llm.shared import components, free_names, split_by, tidy, utf8, words_of
 from techatlas.session import materialize
 
 HASHES = 112
@@ -422,16 +422,17 @@ def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     Of rows that share a doc_id one stays. Rows without doc_id all stay. Columns are as in docs.
     """
     found = near_duplicates(docs, size, percent).where("doc_id is not null")
+    name, check, kept, best, rows = free_names(docs, "id", "hash", "kept", "best", "rows")
     # what is to be looked at: documents that go, and those of several rows
-    some = found.groupBy("doc_id").agg(
-        F.first("kept").alias("__kept"), F.min("text_hash").alias("__best"), F.count(F.lit(1)).alias("__rows")
+    some = found.groupBy(F.col("doc_id").alias(name)).agg(
+        F.first("kept").alias(kept), F.min("text_hash").alias(best), F.count(F.lit(1)).alias(rows)
     )
-    some = materialize(some.where("not __kept or __rows > 1").withColumnRenamed("doc_id", "__id"), "copies")
-    own = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
-    maybe, single = split_by(own, some, "__id")
-    joined = maybe.join(some.hint("merge"), "__id", "left")
-    others = joined.where("__kept is null")
+    some = materialize(some.where(~F.col(kept) | (F.col(rows) > 1)), "copies")
+    own = docs.withColumn(check, F.xxhash64("text")).withColumn(name, F.col("doc_id").cast("long"))
+    maybe, single = split_by(own, some, name)
+    joined = maybe.join(some.hint("merge"), name, "left")
+    others = joined.where(F.col(kept).isNull())
     # rows that are equal in doc_id and text
-    several = joined.where("__kept and __hash = __best").dropDuplicates(["__id"])
+    several = joined.where(F.col(kept) & (F.col(check) == F.col(best))).dropDuplicates([name])
     parts = [p.select(*docs.columns) for p in (single, others, several)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

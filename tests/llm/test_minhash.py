@@ -50,11 +50,12 @@ def test_query_equals_brute_force_on_given_table(spark):
 def test_repeated_rows_nameless_rows_and_empty_table(spark):
     t = "a b c d e f g h"
     texts = [(1, t), (1, t), (2, t), (None, t), (3, "x y z u v w"), (3, t), (4, "x y z u v w")]
-    df = documents(spark, texts).withColumn("bucket", F.lit(1)).withColumn("id", F.lit("x"))
+    df = documents(spark, texts).withColumn("bucket", F.lit(1)).withColumn("id", F.lit("x")).withColumn("__hash", F.lit(7)).withColumn("__kept", F.lit(8))
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect() if r["doc_id"])
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 1, False)]
     kept = minhash.one_per_group(df)
     assert kept.columns == df.columns
+    assert {(r["__hash"], r["__kept"]) for r in kept.collect()} == {(7, 8)}
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     assert minhash.one_per_group(df.limit(0)).count() == 0
