@@ -107,6 +107,28 @@ def radar_all(c):
     )
 
 
+@query
+def radar_with_failed_panel(c):
+    """All panels while one fails as it runs: seven are whole, and a warning names the eighth."""
+    broken = c.star.code_dimension().withColumn("description", F.raise_error(F.lit("no descriptions")).cast("string"))
+    full = rp.all_panels(_panels(c), broken, F.lit(AS_OF).cast("date"))
+    return full.select(
+        "tech",
+        "complete_until",
+        F.array_join("sources", "|").alias("sources"),
+        F.array_join("warnings", "|").alias("warnings"),
+        "landscape.total_records",
+        "landscape.total_projects",
+        "maturity.phase",
+        "competitive.hhi",
+        "funding.total_funding",
+        "geographic.total_countries",
+        "research_impact.h_index",
+        "temporal.dominant_programme",
+        F.col("code_flow").isNull().alias("code_flow_missing"),
+    )
+
+
 @query
 def run_metadata(c):
     meta = pa.run_metadata(_panels(c))
@@ -294,3 +316,12 @@ ORACLE["export_geographic"] = CLAMPED + f"""select tech, g.country, coalesce(lab
 ORACLE["export_research_impact"] = CLAMPED + f"select tech, title, year, citations, venue from ({ORACLE['top_papers'].removeprefix(BASE)})"
 ORACLE["export_temporal"] = CLAMPED.rstrip() + ",\n" + YRS + f"""
 select tech, year, total_actors, round(new_entrant_rate * 100, 1) new_entrant_rate, round(persistence_rate * 100, 1) persistence_rate from {DYN}"""
+
+ORACLE["radar_with_failed_panel"] = "select m.tech, m.complete_until, m.sources, concat_ws('|', nullif(m.warnings, ''), 'code_flow: failed (SparkRuntimeException)') warnings" + """,
+  l.total_records, l.total_projects, p.phase, c.hhi, f.total_funding, g.total_countries, r.h_index, t.dominant_programme, true code_flow_missing from """ + " join ".join(
+    f"({ORACLE[name]}) {alias}" + (" using (tech)" if k else "")
+    for k, (alias, name) in enumerate(
+        {"m": "run_metadata", "l": "panel_landscape", "p": "panel_maturity", "c": "panel_competitive", "f": "panel_funding",
+         "g": "panel_geographic", "r": "panel_research_impact", "t": "panel_temporal"}.items()
+    )
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,16 @@ RECORD_COLUMNS = ["record_id", "country", "pub_year", "family_id", "applicant_co
 PROJECT_COLUMNS = ["project_id", "start_year", "framework", "funding_scheme", "ec_max_contribution"]
 
 
+class shared(cached_property):
+    """A property that is made once, also when several threads ask for it at a time; one that fails is tried again."""
+
+    def __get__(self, instance, owner=None):
+        if instance is None:
+            return self
+        with instance.locks.setdefault(self.attrname, threading.RLock()):
+            return super().__get__(instance, owner)
+
+
 class Analysis:
     """Match tables for ``terms`` over ``tables``.
 
@@ -35,6 +46,7 @@ class Analysis:
         self.terms = terms
         self.clamp = clamp
         self.materialized = materialized
+        self.locks: dict[str, threading.RLock] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialized else df
@@ -42,56 +54,56 @@ class Analysis:
     def _columns(self, table: DataFrame, needed: list[str]) -> list[str]:
         return [c for c in table.columns if c in needed] if self.materialized else table.columns
 
-    @cached_property
+    @shared
     def last_full_record_year(self) -> DataFrame:
         return self.keep(ag.last_full_year(self.tables.records, "pub_date"), "last-year")
 
-    @cached_property
+    @shared
     def last_full_project_year(self) -> DataFrame:
         return self.keep(ag.last_full_year(self.tables.projects, "start_date"), "last-year")
 
-    @cached_property
+    @shared
     def all_records(self) -> DataFrame:
         """(tech, record columns …) in the window asked for."""
         columns = self._columns(self.tables.records, RECORD_COLUMNS)
         found = match_phrase(self.tables.records, self.terms, RECORD_FIELDS, columns, "pub_year")
         return self.keep(found, "records")
 
-    @cached_property
+    @shared
     def records(self) -> DataFrame:
         """Hits in the window, up to the last full year if clamped."""
         if not self.clamp:
             return self.all_records
         return self.all_records.where(F.col("pub_year") <= self.last_full_record_year.scalar())
 
-    @cached_property
+    @shared
     def record_actors(self) -> DataFrame:
         slim = self.records.select("tech", "record_id", "pub_year")
         return self.keep(ag.record_actors(slim, self.tables.record_actor), "record-actors")
 
-    @cached_property
+    @shared
     def code_links(self) -> DataFrame:
         return code_links_of(self.records)
 
-    @cached_property
+    @shared
     def projects(self) -> DataFrame:
         columns = self._columns(self.tables.projects, PROJECT_COLUMNS)
         found = match_phrase(self.tables.projects, self.terms, PROJECT_FIELDS, columns, "start_year")
         return self.keep(found, "projects")
 
-    @cached_property
+    @shared
     def project_orgs(self) -> DataFrame:
         slim = self.projects.select("tech", "project_id", "start_year", "framework")
         return self.keep(ag.project_orgs(slim, self.tables.organizations), "project-orgs")
 
-    @cached_property
+    @shared
     def publications_by_year(self) -> DataFrame:
         found = match_phrase(
             self.tables.publications, self.terms, ["title"], ["publication_id", "year"], "year"
         )
         return self.keep(found.groupBy("tech", "year").agg(F.count("*").alias("n")), "publications")
 
-    @cached_property
+    @shared
     def papers(self) -> DataFrame:
         """All matching papers."""
         found = match_phrase(self.tables.papers, self.terms, ["title"], self.tables.papers.columns, "year")

@@ -248,3 +248,11 @@ def run_metadata(an: Analysis) -> DataFrame:
         F.array_compact(F.array("warning")).alias("warnings"),
         F.col("end_year").alias("complete_until"),
     )
+
+
+def no_metadata(terms: DataFrame) -> DataFrame:
+    """``run_metadata`` where nothing is known."""
+    none = F.array().cast("array<string>")
+    return terms.select(
+        "tech", none.alias("sources"), none.alias("methods"), none.alias("warnings"), F.lit(None).cast("int").alias("complete_until")
+    )

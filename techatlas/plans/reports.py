@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from techatlas.functions import labels as lb
 from techatlas.plans import panels as pa
 from techatlas.plans.analysis import Analysis
-
-log = logging.getLogger(__name__)
+from techatlas.plans.apart import run_apart
+from techatlas.session import materialize
 
 
 def _say(template: str, *args: Column) -> Column:
@@ -183,31 +182,53 @@ def panel_builders(
     }
 
 
-def all_panels(an: Analysis, code_dimension: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """One row per technology: run metadata and every panel as a struct."""
-    out = pa.run_metadata(an)
-    for name, build in panel_builders(an, code_dimension, as_of).items():
-        # one row per technology: written, so that the join below stays a small plan
-        panel = an.keep(build(), f"panel-{name}")
-        rest = [c for c in panel.columns if c != "tech"]
-        out = out.join(panel.select("tech", F.struct(*rest).alias(name)), "tech", "left")
-    return out
+def all_panels(
+    an: Analysis, code_dimension: DataFrame, as_of: Column | None = None, time_limit: float | None = None
+) -> DataFrame:
+    """One row per technology: run metadata and every panel as a struct.
+
+    The panels are computed side by side and written. One that fails or takes over ``time_limit`` seconds is null in
+    every row, and a warning says so; the others are whole.
+    """
+    spark = an.terms.sparkSession
+    builders = {"metadata": lambda: pa.run_metadata(an), **panel_builders(an, code_dimension, as_of)}
+
+    def written(name: str, build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        # one row per technology: written, so that the joins below stay a small plan
+        return lambda: materialize(build(), f"panel-{name}")
+
+    done = run_apart(spark, {name: written(name, build) for name, build in builders.items()}, time_limit)
+    out = done.pop("metadata")
+    warnings = [o.warning for o in (out, *done.values()) if o.warning]
+    rows = out.value if out.warning is None else pa.no_metadata(an.terms)
+    rows = rows.withColumn("warnings", F.concat("warnings", F.array(*map(F.lit, warnings)).cast("array<string>")))
+    for name, outcome in done.items():
+        if outcome.warning:
+            rows = rows.withColumn(name, F.lit(None).cast("struct<analysis_text:string>"))
+        else:
+            rest = [c for c in outcome.value.columns if c != "tech"]
+            rows = rows.join(outcome.value.select("tech", F.struct(*rest).alias(name)), "tech", "left")
+    return rows
 
 
 def write_panels(
-    spark: SparkSession, an: Analysis, code_dimension: DataFrame, out: str, as_of: Column | None = None
+    spark: SparkSession,
+    an: Analysis,
+    code_dimension: DataFrame,
+    out: str,
+    as_of: Column | None = None,
+    time_limit: float | None = None,
 ) -> DataFrame:
-    """Write every panel to its own folder; one that fails does not stop the others.
+    """Write every panel to its own folder, side by side; one that fails or takes too long does not stop the others.
 
     ``an`` should be materialized, so the corpora are searched once, not once per panel.
     Returns (panel, status, message).
     """
-    status = []
-    for name, build in panel_builders(an, code_dimension, as_of).items():
-        try:
-            build().write.mode("overwrite").parquet(f"{out}/{name}")
-            status.append((name, "ok", ""))
-        except Exception as e:  # noqa: BLE001 - reported, not hidden
-            log.exception("panel %s failed", name)
-            status.append((name, "failed", str(e)))
+
+    def writer(name: str, build: Callable[[], DataFrame]) -> Callable[[], None]:
+        return lambda: build().write.mode("overwrite").parquet(f"{out}/{name}")
+
+    work = {name: writer(name, build) for name, build in panel_builders(an, code_dimension, as_of).items()}
+    done = run_apart(spark, work, time_limit)
+    status = [(name, "failed" if o.warning else "ok", o.message) for name, o in done.items()]
     return spark.createDataFrame(status, "panel string, status string, message string")

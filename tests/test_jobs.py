@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from techatlas.catalog.archives import record_documents, write_nested_archives
 from techatlas.plans import reports as rp
 from techatlas.plans.analysis import Analysis
+from techatlas.plans.apart import run_apart
 from techatlas.sources import ingest as ig
-from techatlas.sources.tables import StarSchema, terms_table
+from techatlas.sources.tables import StarSchema, Tables, terms_table
 from techatlas.streaming import jobs as st
 
 SF = "/root/testdata/sf0.001"
@@ -286,3 +288,44 @@ def test_discarded_results_and_shuffles_are_gone(spark):
     discard(gone)
     assert [exists(spark, p) for p in paths] == [True, False] and paths[1] not in _written
     assert kept.count() == 100
+
+
+def test_work_apart(spark):
+    """Work that fails or takes too long is named; the rest is whole, and nothing keeps running."""
+
+    def slow():
+        def wait(batches):
+            time.sleep(300)
+            yield from batches
+
+        return spark.range(0, 4, 1, 1).mapInPandas(wait, "id long").count()
+
+    def fails():
+        return spark.range(4).select(F.raise_error(F.lit("no"))).collect()
+
+    begin = time.monotonic()
+    done = run_apart(spark, {"good": lambda: spark.range(7).count(), "slow": slow, "fails": fails}, 8)
+    assert time.monotonic() - begin < 60
+    assert done["good"].value == 7 and done["good"].warning is None
+    assert done["slow"].warning == "slow: stopped after 8 s"
+    assert done["fails"].warning == "fails: failed (SparkRuntimeException)" and "no" in done["fails"].message
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert run_apart(spark, {}) == {}
+
+
+def test_panels_fail_alone(spark):
+    """A source that can't be read costs the panels that read it; a technology without hits keeps its row."""
+    star = StarSchema(spark, SF)
+    terms = terms_table(spark, [("hot anvil", "hot anvil", 1995, 2001), ("nothing", "zzz qqq", 1995, 2001)])
+    whole = star.tables()
+    lost = whole.papers.withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+    names = ("records", "record_actor", "projects", "organizations", "publications", "lei_reference")
+    tables = Tables(papers=lost, **{n: getattr(whole, n) for n in names})
+    full = rp.all_panels(Analysis(tables, terms, clamp=True, materialized=True), star.code_dimension(), F.lit("2001-08-01").cast("date"))
+    got = {r["tech"]: r for r in full.collect()}
+    assert set(got) == {"hot anvil", "nothing"}
+    for r in got.values():
+        assert r["warnings"] == ["metadata: failed (SparkRuntimeException)", "research_impact: failed (SparkRuntimeException)"]
+        assert r["research_impact"] is None and r["complete_until"] is None
+        assert all(r[n] is not None for n in ("landscape", "maturity", "competitive", "funding", "code_flow", "geographic", "temporal"))
+    assert got["hot anvil"]["landscape"]["analysis_text"].endswith(".")
