@@ -254,6 +254,30 @@ oracle("resolve_entities", """select tech, ma.name, total, coalesce(ma.country,
   from ma left join (select upper(trim(raw_name)) as name, lei, legal_name, country from lei
     where resolved_at <= date '2001-08-01' and resolved_at >= date '2001-08-01' - 90
     qualify row_number() over (partition by upper(trim(raw_name)) order by resolved_at desc, coalesce(lei, '') desc) = 1) e on ma.name = e.name""")
+
+
+def _refreshed(step: int, day: str, names: str) -> str:
+    """The legal-entity table r<step> from that before it, after the names were asked on a day."""
+    return f"""q{step} as (select distinct upper(trim(name)) raw_name from ({names}) where trim(name) <> '' and upper(trim(name)) not in
+    (select raw_name from r{step - 1} where resolved_at between date '{day}' - 90 and date '{day}')),
+r{step} as (select * from (select * from r{step - 1} union all
+    select raw_name, lei, legal_name, country, date '{day}' from q{step} left join registry using (raw_name))
+  qualify row_number() over (partition by raw_name order by resolved_at desc, coalesce(lei, '') desc) = 1)"""
+
+
+oracle(
+    "refresh_entities",
+    "select raw_name, lei, legal_name, country, resolved_at from r2",
+    ctes(
+        """r0 as (select upper(trim(raw_name)) raw_name, lei, legal_name, country, resolved_at from lei where raw_name not like '%5'),
+registry as (select upper(trim(s_name)) raw_name, concat('NEW', lpad(s_suppkey::varchar, 12, '0')) lei, concat(s_name, ' Holding') legal_name,
+  null::varchar country from supplier where s_suppkey % 4 <> 0),
+"""
+        + _refreshed(1, "2001-08-01", "select raw_name as name from record_actor")
+        + ",\n"
+        + _refreshed(2, "2001-09-30", "select raw_name as name from record_actor union all select name from organizations")
+    ),
+)
 oracle("describe_code", """select c.code, coalesce(d4.description, d3.description, d1.description, '') description
   from (select code, case when length(code) >= 4 then substr(code, 1, 4) end c4, case when length(code) >= 3 then substr(code, 1, 3) end c3,
     substr(code, 1, 1) c1 from (select distinct code from record_code)) c

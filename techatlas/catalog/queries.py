@@ -321,6 +321,29 @@ def spine_left_join(c):
     return c.family_series
 
 
+@query
+def refresh_entities(c):
+    """The legal-entity table after two refreshes: new, expired and negative names are asked, the others are not.
+
+    First the applicants of the records are looked up, 60 days later those and the participants of the projects; the
+    registry knows three of four suppliers.
+    """
+    registry = c.star.raw("supplier").where("s_suppkey % 4 <> 0").select(
+        F.col("s_name").alias("raw_name"),
+        F.concat(F.lit("NEW"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("lei"),
+        F.concat("s_name", F.lit(" Holding")).alias("legal_name"),
+        F.lit(None).cast("string").alias("country"),
+    )
+    reference = c.star.lei_reference().where("raw_name not like '%5'")
+    applicants = c.tables.record_actor.select(F.col("raw_name").alias("name"))
+    participants = c.tables.organizations.select("name")
+    for day, actors in (("2001-08-01", applicants), ("2001-09-30", applicants.unionAll(participants))):
+        as_of = F.lit(day).cast("date")
+        asked = ac.names_to_ask(actors, reference, as_of)
+        reference = materialize(ac.refresh_entities(asked, registry, reference, as_of), "entities")
+    return reference
+
+
 @query
 def resolve_entities(c):
     as_of = F.lit("2001-08-01").cast("date")

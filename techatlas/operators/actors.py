@@ -103,6 +103,29 @@ def latest_entities(reference: DataFrame, as_of: Column, valid_days: int = 90) -
     ).select("name", "_e.*")
 
 
+def names_to_ask(actors: DataFrame, reference: DataFrame, as_of: Column, valid_days: int = 90) -> DataFrame:
+    """(name): distinct names of actors without an unexpired answer, positive or negative; null and blank ones are not asked."""
+    names = actors.select(merge_key("name").alias("name")).where("name <> ''").distinct()
+    return names.join(latest_entities(reference, as_of, valid_days), "name", "left_anti")
+
+
+def refresh_entities(asked: DataFrame, answers: DataFrame, reference: DataFrame, as_of: Column) -> DataFrame:
+    """The reference after names were asked: one row per name, the newest answer with its time.
+
+    ``answers(raw_name, lei, legal_name, country)`` are what was found; an asked name without any becomes a negative answer,
+    so it is not asked again before it expires. Answers to names that were not asked are left out. Of several answers
+    to a name at one time the largest ``lei`` stays, found before not found. Older rows of other names stay as they are,
+    expired or not: the next refresh asks for them when an actor bears the name.
+    """
+    fields = ["raw_name", "lei", "legal_name", "country", "resolved_at"]
+    found = answers.select(merge_key("raw_name").alias("raw_name"), "lei", "legal_name", "country")
+    new = asked.select(F.col("name").alias("raw_name")).distinct().join(found, "raw_name", "left")
+    old = reference.select(merge_key("raw_name").alias("raw_name"), *fields[1:])
+    both = old.unionByName(new.withColumn("resolved_at", as_of.cast(reference.schema["resolved_at"].dataType)))
+    newest = F.max_by(F.struct(*fields[1:]), F.struct("resolved_at", F.coalesce("lei", F.lit(""))))
+    return both.groupBy("raw_name").agg(newest.alias("_e")).select("raw_name", "_e.*")
+
+
 def resolve_entities(actors: DataFrame, reference: DataFrame, as_of: Column, valid_days: int = 90) -> DataFrame:
     """Actors with their legal entity; a missing country is filled from it."""
     found = actors.join(latest_entities(reference, as_of, valid_days), "name", "left")

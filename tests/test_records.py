@@ -208,3 +208,27 @@ def test_pairs_from_code_text(quantum):
     two = co.code_jaccard_of(quantum)
     assert rows_of(two) == rows_of(co.code_jaccard(co.code_links_of(quantum)))
     assert rows_of(two) == [("quantum", "G06N", "H01L", 1, 1, 1.0)]
+
+
+def test_entities_refreshed(spark):
+    """New and expired names are asked, negative answers hold until they expire, other rows stay."""
+    schema = "raw_name string, lei string, legal_name string, country string, resolved_at date"
+    day = lambda text: F.lit(text).cast("date")
+    rows = [("Acme ", "L1", "Acme", "DE", "2024-03-01"), ("OLD", "L2", "Old", "FR", "2023-01-01"), ("NOBODY", None, None, None, "2024-03-01"), ("REST", "L9", "Rest", "US", "2020-01-01")]
+    reference = spark.createDataFrame(rows, schema.replace("date", "string")).withColumn("resolved_at", F.col("resolved_at").cast("date"))
+    actors = spark.createDataFrame([("acme",), ("old",), ("Old ",), ("nobody",), ("new",), ("unknown",), ("",), (None,)], "name string")
+    registry = spark.createDataFrame(
+        [("New", "L3", "New Ltd", "GB"), ("NEW", "L4", "New AG", "CH"), ("old", "L5", "Old SA", "FR"), ("acme", "L7", "x", "x")],
+        "raw_name string, lei string, legal_name string, country string",
+    )
+    asked = ac.names_to_ask(actors, reference, day("2024-03-10"))
+    assert rows_of(asked) == [("NEW",), ("OLD",), ("UNKNOWN",)]
+    after = ac.refresh_entities(asked, registry, reference, day("2024-03-10"))
+    assert {r["raw_name"]: r["lei"] for r in after.collect()} == {
+        "ACME": "L1", "OLD": "L5", "NOBODY": None, "REST": "L9", "NEW": "L4", "UNKNOWN": None,
+    }
+    assert after.schema["resolved_at"] == reference.schema["resolved_at"]
+    assert ac.names_to_ask(actors, after, day("2024-03-11")).count() == 0
+    assert rows_of(ac.names_to_ask(actors, after, day("2024-06-05"))) == [("ACME",), ("NOBODY",)]
+    empty = ac.names_to_ask(actors, reference.limit(0), day("2024-03-10"))
+    assert empty.count() == 5 and ac.refresh_entities(empty, registry.limit(0), reference.limit(0), day("2024-03-10")).count() == 5
