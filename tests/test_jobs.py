@@ -97,6 +97,24 @@ def test_all_xml_files_of_a_member_are_read(spark, tmp_path):
     assert [(r["doc_number"], r["kind"]) for r in got] == [("1", "A1"), ("2", "A1")]
 
 
+def test_documents_are_parsed_once(spark):
+    docs = spark.createDataFrame(
+        [("f", "m", 0, doc(body=BIBLIO), None), ("f", "m", 1, doc(), None), ("f", "m", 2, "<a", None), ("f", "m", 3, None, "unread"), ("f", "m", 4, None, None)],
+        "file_name string, member string, position long, doc string, error string",
+    )
+    good = docs.where("error is null").drop("error")
+    for df in (ig.extract_record_fields(good), ig.rejects(docs)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    parsed = ig.parse_documents(docs)
+    assert rows_of(ig.rejects(parsed)) == rows_of(ig.rejects(docs))
+    assert [r["error"] for r in ig.rejects(docs).orderBy("position").collect()] == [
+        "no country, number or bibliographic data", "malformed XML", "unread", "malformed XML"]
+    columns = ["position", "publication_number", "title", "codes"]
+    again = ig.extract_record_fields(parsed.where("error is null").drop("error"))
+    assert rows_of(again.select(columns)) == rows_of(ig.extract_record_fields(good).select(columns))
+    assert again.columns == ig.extract_record_fields(good).columns and again.count() == 1
+
+
 @pytest.mark.parametrize("chunk", [16, 100, 1 << 20])
 def test_xml_is_cut_the_same_in_pieces_of_any_size(chunk):
     body = ("<r>" + doc(number="1", body=BIBLIO) + " " * 90 + doc(number="2") + doc(number="3", body="ü") + "</r>").encode()
@@ -259,6 +277,42 @@ def test_a_run_rewrites_only_buckets_it_touches(spark, tmp_path):
     assert st.imported_projects(spark, out).where("title = 'new'").count() == 1 and st.imported_projects(spark, out).count() == 500
 
 
+def test_a_bucket_is_one_file_of_a_run(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")  # many tasks, as a large run has
+    try:
+        for n, size in ((1, 3000), (2, 2500)):
+            _project_archive(folder / f"cordis-h2020-{n}.zip", [{"id": k, "title": str(n)} for k in range(size)])
+            st.import_projects(spark, str(folder), out)
+    finally:
+        spark.conf.set(merging, before)
+    files = list((tmp_path / "out" / "projects").glob("run=*/bucket=*/*.parquet"))
+    assert len(files) == 2 * st.BUCKETS  # whatever the number of tasks
+    got = st.imported_projects(spark, out).groupBy("title").count()
+    assert rows_of(got) == [("1", 500), ("2", 2500)]
+
+
+def test_sound_json_elements_are_not_cut_mark_by_mark(monkeypatch):
+    looked = []
+
+    class Marks:
+        def finditer(self, *at):
+            for mark in marks.finditer(*at):
+                looked.append(mark)
+                yield mark
+
+    marks = ig._MARKS
+    monkeypatch.setattr(ig, "_MARKS", Marks())
+    rows = [{"id": k, "title": 'a "quoted", [text]', "parts": [{"n": 1}]} for k in range(1000)]
+    body = json.dumps(rows).replace('{"id": 500,', '{"id": 500 oops,').encode()
+    got = list(ig._elements(io.BytesIO(body), 5000))
+    assert [e is None for e, _ in got] == [k == 500 for k in range(1000)]
+    assert json.loads(got[999][0]) == rows[999]
+    assert len(looked) < len(list(marks.finditer(body.decode()))) / 4
+
+
 def test_earlier_archives_that_arrive_late_win(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
