@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from techatlas.operators import aggregate as ag
 from techatlas.operators import codes as co
 from techatlas.operators import pairs as pr
 from techatlas.plans import panels as pa
+from techatlas.plans import reports as rp
 from techatlas.plans.analysis import Analysis
 from techatlas.sources.tables import StarSchema, terms_table
 
@@ -62,3 +65,23 @@ def test_legal_forms_are_cut_as_by_the_pattern(spark):
     assert df.where(~nm.normalize_actor_name("v").eqNullSafe(want)).count() == 0
     plan = df.select(nm.normalize_actor_name("v"), tx.normalize_text("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "EndsWith" in plan.replace("endswith", "EndsWith") and "octet_length" in plan
+
+
+def test_texts_are_made_side_by_side(spark, ask, monkeypatch):
+    terms = ask(("q", "q", None, None))
+    an = Analysis(None, terms, materialized=True)
+    together = threading.Barrier(2, timeout=60)
+
+    def build():
+        together.wait()
+        return terms.select("tech", F.lit("t").alias("analysis_text"))
+
+    monkeypatch.setattr(rp, "panel_builders", lambda *a: {"one": build, "two": build})
+    assert rows_of(rp.report_texts(an, None)) == [("q", "one", "t"), ("q", "two", "t")]
+
+    def broken():
+        raise KeyError("broken")
+
+    monkeypatch.setattr(rp, "panel_builders", lambda *a: {"one": broken, "two": lambda: terms.select("tech", F.lit("t").alias("analysis_text"))})
+    with pytest.raises(KeyError):
+        rp.report_texts(an, None)
