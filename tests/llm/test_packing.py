@@ -31,6 +31,20 @@ def test_ids_equal_the_tokenizers_for_whole_texts():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected(texts)
 
 
+def test_letters_and_their_signs_are_encoded_apart_and_many_at_once(monkeypatch):
+    """A word costs one encoding whatever its case and the signs behind it; letters written with marks are left whole."""
+    ids = packing.Ids(tokenizer_path())
+    calls, batches = [], []
+    plain, letters = ids.encoded, ids.encoded_letters
+    monkeypatch.setattr(ids, "encoded", lambda parts: calls.extend(parts) or plain(parts))
+    monkeypatch.setattr(ids, "encoded_letters", lambda parts: batches.append(sorted(parts)) or letters(parts))
+    texts = ["Word word. WORD, word?! (word) Über über- ", "it's \u0130- \u0958. \ufb2a! \u03a3\u03a3. \u03a3\u03a3 e\u0301. H\u0331 h\u0331 \u01f0."]
+    got = ids.documents([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected(texts)
+    assert batches == [sorted(x.encode() for x in ["word", "Über", "über", "ΣΣ", "\u01f0"])]
+    assert not {b"Word", b"word.", b"WORD,", b"word?!"} & set(calls) and {b"(word)", b"it's", "\u0130-".encode(), "\u0958.".encode()} <= set(calls)
+
+
 def test_memory_of_a_worker_is_bounded_and_changes_no_ids(monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 20_000)
     ids, texts = packing.Ids(tokenizer_path()), odd_texts()
