@@ -11,8 +11,8 @@ probabilities sum to 1.
 
 The model is never gathered. Texts are dealt into blocks of about ``BLOCK_TOKENS`` tokens; longer texts go on in the next
 block, after the words that their state depends on. For every order a block names its distinct n-grams once, with their
-counts in its training texts. One shuffle by n-gram sums these counts, one shuffle by block brings back those of
-n-grams that occur twice. An n-gram is named only where both shorter n-grams in it occur twice, which loses
+counts in its training texts. Keys travel in ranges: a row holds, sorted and packed, all keys of a block in one range. A range
+is summed by one task and answered to each block in the order of its keys; ranges grow in number with the blocks. An n-gram is named only where both shorter n-grams in it occur twice, which loses
 none. Weights travel the same way: of all blocks that hold an n-gram the first adds its probability to its
 context. Then each block holds the part of the automaton that its texts can meet, and is walked alone. N-grams are
 keyed by 64-bit hashes; two with one hash, as unlikely as that is, would count as one. A key has at most one row per block, so no key is hot.
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from techatlas.llm.shared import doc_remainder, tidy, utf8, words_of
@@ -46,8 +46,8 @@ MARKS = (b" end", b" start")
 BLOCK_TOKENS = 1_500_000
 #: Bytes of a text that are split into words at once.
 TEXT_BYTES = 1 << 20
-#: Answers that a task deals to their blocks at once.
-ANSWERS = 1_000_000
+#: Tokens whose n-grams make up a range of keys.
+RANGE_TOKENS = 4_000_000
 #: Tokens that one lane of the traversal reads.
 STRETCH = 1024
 #: Blocks are wide rows: each has a row group of its own.
@@ -74,14 +74,21 @@ def _word_lists(text: bytes | None) -> Iterator[list[bytes]]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """An array's bytes, compressed, after their number."""
-    raw = values.tobytes()
+    """An array's bytes, those of equal place side by side and compressed, after their number."""
+    raw = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _unpacked(packed: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(packed[:8], "little")
-    return np.frombuffer(_ZSTD.decompress(packed[8:], size, asbytes=True), dtype)
+    size, dtype = int.from_bytes(packed[:8], "little"), np.dtype(dtype)
+    raw = np.frombuffer(_ZSTD.decompress(packed[8:], size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and once each; ``np.unique`` of values alone hashes them, which takes many times as long."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
 
 
 def _mixed(keys: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
@@ -193,7 +200,7 @@ class Grams:
 
     @cached_property
     def keys(self) -> np.ndarray:
-        return self._all[0] if "_all" in self.__dict__ else np.unique(self.values)
+        return self._all[0] if "_all" in self.__dict__ else _distinct(self.values)
 
     @cached_property
     def first(self) -> np.ndarray:
@@ -272,19 +279,22 @@ class Block:
         return g.counts[g.place[tokens]]
 
     def named(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the n-grams without counts yet, and their counts in the block's training texts."""
-        g = self.grams[-1]
-        counts = g.times(self.train())
-        # a text's start is no word
-        keep = slice(None) if len(self.grams) > 1 else np.arange(len(g.keys)) != START
-        return g.keys[keep], counts[keep]
-
-    def filled(self, keys: np.ndarray, counts: np.ndarray, own: np.ndarray, ends: int) -> dict:
-        """The row, with the counts of one more order."""
-        g = self.grams[-1]
-        at, there = _places(g.keys, keys)
+        """Sorted keys of the n-grams without counts yet, and their counts in the block's training texts."""
+        g, by = self.grams[-1], self._sorted()
+        return g.keys[by], g.times(self.train())[by]
+
+    def _sorted(self):
+        """The n-grams without counts yet, sorted by key; a text's start is no word."""
+        if len(self.grams) > 1:
+            return slice(None)
+        by = np.argsort(self.words, kind="stable")
+        return by[by != START]
+
+    def filled(self, counts: np.ndarray, own: np.ndarray, ends: int) -> dict:
+        """The row, with the counts of one more order, as they come for the keys of ``named``."""
+        g, by = self.grams[-1], self._sorted()
         got, mine = np.zeros(len(g.keys), np.int64), np.zeros(len(g.keys), bool)
-        got[at[there]], mine[at[there]] = counts[there], own[there]
+        got[by], mine[by] = counts, own
         row = dict(self.row)
         if len(self.grams) == 1:
             train = self.train()
@@ -428,46 +438,90 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch[name][k].as_py() for name in batch.schema.names}
 
 
-def _name(order: int, least: float):
+def _in_ranges(block: int, ranges: int, keys: np.ndarray, **others: np.ndarray) -> pa.RecordBatch:
+    """One row per range of sorted keys: their steps and their other columns, packed."""
+    number = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    begins = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(keys)])
+    cuts = list(zip(begins, np.append(begins, len(keys))[1:], strict=True))
+    columns = {"range": pa.array(number[begins].astype(np.int64)), "block": pa.array(np.full(len(cuts), block))}
+    columns["key"] = pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary())
+    columns |= {k: pa.array([_packed(x[a:b]) for a, b in cuts], pa.binary()) for k, x in others.items()}
+    return pa.record_batch(list(columns.values()), names=list(columns))
+
+
+def _name(order: int, least: float, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batches):
             keys, counts = Block(row, order, least).named()
-            block = np.full(len(keys), row["block"])
-            yield pa.record_batch([keys.view(np.int64), block, counts], names=["key", "block", "n"])
+            yield _in_ranges(row["block"], ranges, keys, n=counts)
 
     return tidy(run)
 
 
-def _dealt(answers: pa.Table) -> Iterator[pa.RecordBatch]:
-    """One row per block of some answers (key, block, other columns), their columns compressed."""
-    keys, blocks, *others = (answers[k].to_numpy() for k in answers.column_names)
-    keys = keys.view(np.uint64)
-    by = np.lexsort((keys, blocks))
-    keys, blocks, others = keys[by], blocks[by], [x[by] for x in others]
-    begins = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-    rows = []
-    for a, b in zip(begins, [*begins[1:], len(blocks)], strict=True):
-        steps = np.diff(keys[a:b], prepend=np.uint64(0))
-        rows.append((int(blocks[a]), _packed(steps), *(_packed(x[a:b]) for x in others)))
-    columns = [pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
-    yield pa.record_batch(columns, names=["block", "key", *answers.column_names[2:]])
+class Range:
+    """The keys of one range, of all blocks."""
 
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table.sort_by("block")
+        self.number = table["range"][0].as_py()
+        parts = [np.cumsum(_unpacked(x, "<u8"), dtype=np.uint64) for x in self.table["key"].to_pylist()]
+        self.keys = np.concatenate(parts)
+        self.stops = np.cumsum([len(x) for x in parts])
+        # parts are sorted and stay in order, so the first of equal keys is that of the first block
+        self.by = np.argsort(self.keys, kind="stable")
+        own = self.keys[self.by]
+        self.new = np.append(True, own[1:] != own[:-1])
 
-def _deal_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= ANSWERS:
-            yield from _dealt(pa.Table.from_batches(held))
-            held, n = [], 0
-    if n:
-        yield from _dealt(pa.Table.from_batches(held))
+    def column(self, name: str, dtype) -> np.ndarray:
+        return np.concatenate([_unpacked(x, dtype) for x in self.table[name].to_pylist()])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of every key: the sum over all blocks."""
+        out = np.empty(len(values), values.dtype)
+        out[self.by] = np.add.reduceat(values[self.by], np.flatnonzero(self.new))[np.cumsum(self.new) - 1]
+        return out
+
+    def first(self) -> np.ndarray:
+        """Of every key: whether no earlier block holds it."""
+        out = np.empty(len(self.keys), bool)
+        out[self.by] = self.new
+        return out
+
+    def answers(self, cut) -> pa.Table:
+        """One row per block: ``cut`` gives its packed columns from the slice of its keys."""
+        blocks = self.table["block"].to_pylist()
+        rows = [cut(slice(a, b)) for a, b in zip([0, *self.stops[:-1]], self.stops, strict=True)]
+        columns = {"block": blocks, "range": [self.number] * len(blocks)} | {k: [r[k] for r in rows] for k in rows[0]}
+        return pa.table({k: pa.array(v, pa.binary() if k in rows[0] else pa.int64()) for k, v in columns.items()})
+
+
+def _sum(once: float):
+    def run(table: pa.Table) -> pa.Table:
+        own = Range(table)
+        counts = own.sums(own.column("n", "<i8"))
+        counts[counts < once] = 0
+        mine = own.first() & (counts > 0)
+        return own.answers(lambda at: {"c": _packed(counts[at]), "own": _packed(mine[at])})
+
+    return run
+
+
+def _backoff(table: pa.Table) -> pa.Table:
+    own = Range(table)
+    mass, low = (own.sums(own.column(c, "<f8")) for c in ("mass", "low"))
+    falls = own.column("needs", bool) & (mass > 0)
+    weights = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - low, 1e-12))
+
+    def cut(at: slice) -> dict:
+        keys, some = own.keys[at][falls[at]], weights[at][falls[at]]
+        return {"key": _packed(np.diff(keys, prepend=np.uint64(0))), "weight": _packed(some)}
+
+    return own.answers(cut)
 
 
 def _answered(table: pa.Table, name: str, dtype) -> np.ndarray:
-    """A column of the answers of one block."""
-    parts = [_unpacked(x, dtype) for x in table[name].to_pylist()]
+    """A column of the answers to one block."""
+    parts = [_unpacked(x, dtype) for x in table.sort_by("range")[name].to_pylist()]
     if name == "key":
         parts = [np.cumsum(x, dtype=np.uint64) for x in parts]
     return np.concatenate([np.zeros(0, dtype), *parts])
@@ -476,20 +530,19 @@ def _answered(table: pa.Table, name: str, dtype) -> np.ndarray:
 def _fill(order: int, least: float, ends: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        keys, counts, own = (_answered(right, k, t) for k, t in (("key", "<u8"), ("c", "<i8"), ("own", bool)))
-        filled = Block(row, order, least).filled(keys, counts, own, ends)
+        counts, own = (_answered(right, k, t) for k, t in (("c", "<i8"), ("own", bool)))
+        filled = Block(row, order, least).filled(counts, own, ends)
         return pa.Table.from_batches([_row(filled)])
 
     return run
 
 
-def _masses(order: int, least: float, norm: float):
+def _masses(order: int, least: float, norm: float, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batches):
             for keys, mass, low, needs in Block(row, order, least).masses(norm):
-                block = np.full(len(keys), row["block"])
-                columns = [keys.view(np.int64), block, mass, low, needs]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "block", "mass", "low", "needs"])
+                by = np.argsort(keys)
+                yield _in_ranges(row["block"], ranges, keys[by], mass=mass[by], low=low[by], needs=needs[by])
 
     return tidy(run)
 
@@ -529,27 +582,27 @@ def _walk(order: int, least: float, norm: float):
     return tidy(run)
 
 
-def _brought(blocks: DataFrame, answers: DataFrame, fill) -> DataFrame:
-    """Blocks with what is known of their keys, written anew; the earlier ones are deleted.
+def _answers(named: DataFrame, answer, columns: str) -> DataFrame:
+    """The answers to what blocks have named, written, so that the named keys are gone before blocks move.
 
-    answers: key, block and what is known of the key in it.
+    named: range, block, key and other columns; a task answers one range at a time.
     """
-    others = "".join(f", {c} binary" for c in answers.columns[2:])
-    answers = answers.mapInArrow(tidy(_deal_answers), f"block long, key binary{others}")
-    new = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, BLOCK)
-    new = materialize(new, "blocks", **WRITER)
-    discard(blocks)
-    return new
+    return materialize(named.groupBy("range").applyInArrow(answer, f"block long, range long, {columns}"), "answers")
+
+
+def _brought(blocks: DataFrame, answers: DataFrame, fill) -> DataFrame:
+    """Blocks with what is known of their keys."""
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, BLOCK)
 
 
-def _counted(blocks: DataFrame, order: int, least: float, once: float, ends: int) -> DataFrame:
-    """Blocks with the counts of one more order; n-grams that occur less than ``once`` times count as 0."""
-    named = blocks.mapInArrow(_name(order, least), "key long, block long, n long")
-    same = Window.partitionBy("key")
-    answers = named.select(
-        "key", "block", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("own")
-    ).where(F.col("c") >= once)
-    return _brought(blocks, answers, _fill(order, least, ends))
+def _counted(blocks: DataFrame, order: int, least: float, once: float, ends: int, ranges: int) -> DataFrame:
+    """Blocks with the counts of one more order, written anew; n-grams that occur less than ``once`` times count as 0."""
+    named = blocks.mapInArrow(_name(order, least, ranges), "range long, block long, key binary, n binary")
+    answers = _answers(named, _sum(once), "c binary, own binary")
+    new = materialize(_brought(blocks, answers, _fill(order, least, ends)), "blocks", **WRITER)
+    discard(blocks)
+    discard(answers)
+    return new
 
 
 def automata(docs: DataFrame, order: int = 3, floor: float = 0.0) -> tuple[DataFrame, int, float, float]:
@@ -560,20 +613,18 @@ def automata(docs: DataFrame, order: int = 3, floor: float = 0.0) -> tuple[DataF
         utf8(F.col("text")).alias("text"),
     )
     blocks = materialize(rows.mapInArrow(_deal(order), BLOCK), "blocks", **WRITER)
-    blocks = _counted(blocks, order, 1.0, 1.0, 0)
+    ranges = -(-blocks.count() * BLOCK_TOKENS // RANGE_TOKENS) or 1
+    blocks = _counted(blocks, order, 1.0, 1.0, 0, ranges)
     total = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train", "types", "ends"))).first()
     tokens, ends = total["train"], total["ends"]
     norm = tokens + ADD * (total["types"] + 1)
     least = max(2.0, floor * tokens)
     for _ in range(2, order + 1):
-        blocks = _counted(blocks, order, least, least, ends)
+        blocks = _counted(blocks, order, least, least, ends, ranges)
     if order > 1:
-        masses = blocks.mapInArrow(_masses(order, least, norm), "key long, block long, mass double, low double, needs boolean")
-        same = Window.partitionBy("key")
-        rest = [F.greatest(1 - F.sum(c).over(same), F.lit(1e-12)) for c in ("mass", "low")]
-        weights = masses.select("key", "block", "needs", F.log10(rest[0] / rest[1]).alias("weight"), F.sum("mass").over(same).alias("all"))
-        weights = weights.where("needs and all > 0").select("key", "block", "weight")
-        blocks = _brought(blocks, weights, _weigh(order, least))
+        columns = "range long, block long, key binary, mass binary, low binary, needs binary"
+        masses = blocks.mapInArrow(_masses(order, least, norm, ranges), columns)
+        blocks = _brought(blocks, _answers(masses, _backoff, "key binary, weight binary"), _weigh(order, least))
     return blocks, tokens, least, norm
 
 

@@ -161,3 +161,29 @@ def test_model_does_not_shrink_as_the_corpus_grows(spark):
     assert got[1]["train_tokens"] == total > 1.1e6 and one["rare"] == 2
     want = sum(math.log10(p(w, h)) for w, h in [("one", ("<s>",)), ("rare", ("<s>", "one")), ("trigram", ("one", "rare")), ("</s>", ("rare", "trigram"))])
     assert got[1]["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_named_keys_travel_packed_in_ranges():
+    """A block's keys are a few bytes each and one row a range; answers come in their order, without keys."""
+    rnd = np.random.default_rng(5)
+    pool = np.unique(rnd.integers(0, 2**63, 60_000).astype(np.uint64) * np.uint64(2))
+    parts = {b: np.sort(rnd.choice(pool, 40_000, False)) for b in (7, 1 << 33)}
+    counts = {b: rnd.integers(0, 3, len(k)) for b, k in parts.items()}
+    table = lm.pa.Table.from_batches([lm._in_ranges(b, 5, k, n=counts[b]) for b, k in parts.items()])
+    assert table.num_rows == 10 and table["key"].nbytes + table["n"].nbytes < 9 * 80_000
+    total = Counter()
+    for b, k in parts.items():
+        total.update(dict(zip(k.tolist(), counts[b].tolist())))
+    ranges = [table.filter(lm.pa.array([x == r for x in table["range"].to_pylist()])) for r in range(5)]
+    answers = lm.pa.concat_tables([lm._sum(2.0)(t) for t in reversed(ranges)])
+    first = set()
+    for b, k in parts.items():
+        own = answers.filter(lm.pa.array([x == b for x in answers["block"].to_pylist()]))
+        want = [total[x] if total[x] >= 2 else 0 for x in k.tolist()]
+        assert lm._answered(own, "c", "<i8").tolist() == want
+        assert lm._answered(own, "own", bool).tolist() == [c > 0 and x not in first for x, c in zip(k.tolist(), want)]
+        first |= set(k.tolist())
+    assert "key" not in answers.column_names
+    assert lm._in_ranges(7, 5, pool[:0], n=counts[7][:0]).num_rows == 0
+    same = lm._distinct(np.repeat(parts[7], 2)[::-1])
+    assert (same == parts[7]).all() and len(lm._distinct(pool[:0])) == 0
