@@ -116,6 +116,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return ["_" * (most + 1) + n for n in names]
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """df as one side of a join, where both sides grow with the corpus: neither is ever broadcast.
+
+    Spark sizes what it has not shuffled by the files below, and files hold columns that repeat in a hundredth of
+    their memory, arrays that an explode turns into many rows, and rows that a join before this one has widened.
+    """
+    return df.hint("merge")
+
+
 #: Buckets of the filter that spares rows a shuffle.
 FILTER_BUCKETS = 1 << 20
 

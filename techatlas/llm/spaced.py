@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import free_names, split_by
+from techatlas.llm.shared import free_names, grows, split_by
 from techatlas.session import materialize
 
 MASKS = ("11101011", "110100111")
@@ -74,17 +74,20 @@ def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
     return rows.select(*keys, span.alias("span"), F.posexplode("seeds").alias("at", "seed")).select(*keys, "at", "span", "seed")
 
 
+def _stretch() -> list[Column]:
+    """Of a hit's item only what is compared: ``near``, its words from ``ahead`` (RUN - 1 at most) before the seed on."""
+    ahead = F.least(F.lit(RUN - 1), F.col("item_at"))
+    near = F.slice("item_words", F.col("item_at") - ahead + 1, ahead + F.col("span") + RUN - 1)
+    return [ahead.alias("ahead"), near.alias("near"), F.least(F.lit(RUN), F.size("item_words")).alias("n")]
+
+
 def _around() -> Column:
     """Which words around a hit are equal, as 1 and 0: up to RUN - 1 words before and after the seed, as far as both texts go."""
-    before = F.least(F.lit(RUN - 1), F.col("at"), F.col("item_at"))
-    after = F.least(
-        F.lit(RUN - 1),
-        F.size("own") - F.col("at") - F.col("span"),
-        F.size("item_words") - F.col("item_at") - F.col("span"),
-    )
+    before = F.least(F.col("at"), F.col("ahead"))
+    after = F.least(F.size("own") - F.col("at"), F.size("near") - F.col("ahead")) - F.col("span")
     n = before + F.col("span") + after
     mine = F.slice("own", F.col("at") - before + 1, n)
-    theirs = F.slice("item_words", F.col("item_at") - before + 1, n)
+    theirs = F.slice("near", F.col("ahead") - before + 1, n)
     return F.zip_with(mine, theirs, lambda a, b: (a == b).cast("int"))
 
 
@@ -108,14 +111,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # the lengths of short items, RUN - 1 at most
     short = sorted(r["n"] for r in items.where(F.size("own") < RUN).select(F.size("own").alias("n")).distinct().collect())
     masks = [*MASKS, *(m for n in short for m in short_masks(n))]
-    size = items.select("item", F.size("own").alias("words"))
-    seeds = _seeds(items, masks).join(size, "item")
+    seeds = _seeds(items.withColumn("words", F.size("own")), masks)
     # a short item is met by masks of its length only
     long = (F.col("words") >= RUN) & F.col("span").isin([len(m) for m in MASKS])
     seeds = seeds.where(long | (F.col("words") == F.col("span")))
     seeds = materialize(seeds.select("seed", "item", F.col("at").alias("item_at")), "seeds")
-    known = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    hits = materialize(_seeds(_own(docs), masks).join(known, "seed").drop("seed"), "hits")
+    known = F.broadcast if seeds.count() <= BROADCAST_SEEDS else grows
+    hits = materialize(_seeds(_own(docs), masks).join(known(seeds), "seed").drop("seed"), "hits")
 
     same = ["doc_id", "text_hash"]
     needed = materialize(hits.select(*same).distinct(), "hit")
@@ -124,17 +126,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = _null_safe(texts, needed, same, "left_semi").dropDuplicates(same)
     texts = texts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), words(F.col("text")).alias("own"))
     texts = materialize(texts, "texts")
-    n = F.least(F.lit(RUN), F.size("item_words"))
-    equal = F.col("equal")
+    n, equal = F.col("n"), F.col("equal")
     starts = F.sequence(F.lit(1), F.greatest(F.size(equal) - n + 1, F.lit(1)))
     best = F.array_max(
         F.transform(starts, lambda k: F.aggregate(F.slice(equal, k, n), F.lit(0), lambda x, y: x + y))
     )
     least = n - F.floor(n * SUBSTITUTIONS / RUN).cast("int")
+    # hits take little room in files, and with words of their items much in memory
     found = (
-        hits.join(items.select("item", F.col("own").alias("item_words")), "item")
-        .join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-        .select("doc_id", "text_hash", "item", "at", "item_words", _around().alias("equal"))
+        hits.join(known(items.select("item", F.col("own").alias("item_words"))), "item")
+        .select("doc_id", "text_hash", "item", "at", "span", *_stretch())
+        .join(grows(texts), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+        .select("doc_id", "text_hash", "item", "at", "n", _around().alias("equal"))
         .select("doc_id", "text_hash", "item", "at", least.alias("least"), best.alias("matched"))
         .where("matched >= least")
     )
@@ -148,8 +151,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _null_safe(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
-    """A join with keys that grow with the corpus: never broadcast, however few there are."""
-    k = keys.select(*(F.col(c).alias(f"__key_{c}") for c in names)).hint("merge")
+    """A join with keys that grow with the corpus."""
+    k = grows(keys.select(*(F.col(c).alias(f"__key_{c}") for c in names)))
     return df.join(k, [df[c].eqNullSafe(k[f"__key_{c}"]) for c in names], how)
 
 

@@ -117,3 +117,12 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(d, t) for d, t in docs], "doc_id long, text string")
     found = spaced.clean_rows(df, spark.createDataFrame(items, BENCHMARK)).select(F.count(F.lit(1)))
     assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+
+
+def test_hits_and_texts_are_never_broadcast(spark):
+    """Both grow with the corpus, and their files are far smaller than what they are in memory."""
+    docs, items = fixture(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plan = spaced.overlaps(df, spark.createDataFrame(items, BENCHMARK))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "text_hash" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
