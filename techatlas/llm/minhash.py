@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from techatlas.llm.shared import components, free_names, split_by, tidy, utf8, words_of
+from techatlas.llm.shared import components, free_names, grows, split_by, tidy, utf8, words_of
 from techatlas.session import materialize
 
 HASHES = 112
@@ -315,7 +315,7 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     """(class, family) of classes in a family of two or more."""
     members = classes.select("class", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = members.join(buckets, "bucket").join(classes.select("class", "signature"), "class")
+    members = members.join(grows(buckets), "bucket").join(grows(classes.select("class", "signature")), "class")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     members = members.withColumn("tiles", tiles).withColumn("side", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     # a tile meets itself and every other tile of its bucket
@@ -330,14 +330,14 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of one family; they join the same components as all links do."""
-    own = classes.select("class", "doc_id", "text_hash", "signature", "n_shingles").join(family, "class")
+    own = classes.select("class", "doc_id", "text_hash", "signature", "n_shingles").join(grows(family), "class")
     # classes whose sizes differ by more than one step of the threshold can't be linked
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     own = materialize(own.withColumn("step", step), "members")
     whole = own.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     whole = whole.select("family", ((F.col("n") <= TILE) & (F.col("s") <= 2 * TILE_SHINGLES)).alias("small"))
     tiles = own.groupBy("family", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    tiles = tiles.join(whole, "family").select(
+    tiles = tiles.join(grows(whole), "family").select(
         "family",
         F.when(F.col("small"), F.lit(-1)).otherwise(F.col("step")).alias("row"),
         "step",
@@ -345,13 +345,12 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
         .otherwise(F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / TILE_SHINGLES)).cast("int"))
         .alias("tiles"),
     )
-    # the members grow with the corpus, so they are never broadcast, however few there are
-    needed = own.select("doc_id", "text_hash").hint("merge")
+    needed = grows(own.select("doc_id", "text_hash"))
     texts, _ = split_by(keyed(docs), own, "text_hash")
     sets = texts.join(needed, ["doc_id", "text_hash"], "left_semi")
     sets = sets.mapInArrow(tidy(_set_rows(size)), "doc_id long, text_hash long, shingles binary")
     sets = sets.dropDuplicates(["doc_id", "text_hash"])
-    own = own.join(tiles, ["family", "step"]).join(sets, ["doc_id", "text_hash"])
+    own = own.join(grows(tiles), ["family", "step"]).join(grows(sets), ["doc_id", "text_hash"])
     own = own.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     own = materialize(own.select("family", "row", "tile", "class", "signature", "shingles"), "sets")
 
@@ -365,7 +364,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
 
     # large families: tiles of equal or neighbouring sizes meet, where more than one component is left
     parts = own.select("family", "row", "tile", "class").where("row >= 0").join(
-        components(links).select(F.col("id").alias("class"), "component"), "class", "left"
+        grows(components(links).select(F.col("id").alias("class"), "component")), "class", "left"
     )
     parts = parts.select("family", "row", "tile", "class", F.coalesce("component", "class").alias("comp"))
     parts = materialize(parts, "parts")
@@ -379,7 +378,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, family: DataFrame, size: int,
     sides = sides.unionByName(
         meet.select("pair", "family", F.col("row2").alias("row"), F.col("tile2").alias("tile"), F.lit(1).alias("side"))
     )
-    dealt = own.join(parts.select("class", "comp"), "class").join(sides, ["family", "row", "tile"])
+    dealt = own.join(grows(parts.select("class", "comp")), "class").join(sides, ["family", "row", "tile"])
     more = _dealt(dealt, "pair").select(columns).mapInArrow(tidy(_links(percent)), "a long, b long")
     return links.unionByName(materialize(more, "links"))
 
@@ -401,11 +400,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = classes.select("set_id", "class", F.col("doc_id").alias("rep"))
     one = reps.select(F.col("class").alias("a"), F.col("rep").alias("x"))
     two = reps.select(F.col("class").alias("b"), F.col("rep").alias("y"))
-    edges = links.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    copies = sets.select("set_id", "doc_id").join(reps, "set_id").where("doc_id <> rep")
+    edges = links.join(grows(one), "a").join(grows(two), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    copies = sets.select("set_id", "doc_id").join(grows(reps), "set_id").where("doc_id <> rep")
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     found = components(edges.unionByName(copies))
-    out = rows.join(found, rows["doc_id"] == found["id"], "left")
+    out = rows.join(grows(found), rows["doc_id"] == found["id"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id",
@@ -430,7 +429,7 @@ def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     some = materialize(some.where(~F.col(kept) | (F.col(rows) > 1)), "copies")
     own = docs.withColumn(check, F.xxhash64("text")).withColumn(name, F.col("doc_id").cast("long"))
     maybe, single = split_by(own, some, name)
-    joined = maybe.join(some.hint("merge"), name, "left")
+    joined = maybe.join(grows(some), name, "left")
     others = joined.where(F.col(kept).isNull())
     # rows that are equal in doc_id and text
     several = joined.where(F.col(kept) & (F.col(check) == F.col(best))).dropDuplicates([name])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from techatlas.llm.shared import free_names, split_by, tidy, utf8
+from techatlas.llm.shared import free_names, grows, split_by, tidy, utf8
 from techatlas.session import materialize
 
 RUN = 3
@@ -152,7 +152,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "sentence")
     first = spans.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     first = materialize(first.where("n > 1").select("span", "first"), "repeated")
-    again = spans.join(first, "span").where(~place.eqNullSafe(F.col("first")))
+    again = spans.join(grows(first), "span").where(~place.eqNullSafe(F.col("first")))
     return again.select(
         "doc_id",
         "text_hash",
@@ -193,7 +193,7 @@ def changed(docs: DataFrame) -> DataFrame:
     texts, _ = split_by(_keyed(docs), cut, "text_hash")
     keys = cut.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "removed", "first_doc_ids")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__hash"))
-    joined = texts.dropDuplicates(["doc_id", "text_hash"]).join(keys.hint("merge"), same)
+    joined = texts.dropDuplicates(["doc_id", "text_hash"]).join(grows(keys), same)
     return joined.select("doc_id", "text_hash", "removed", "first_doc_ids", _without("text", "removed").alias("text"))
 
 
@@ -204,7 +204,7 @@ def cut_rows(docs: DataFrame) -> DataFrame:
     cut = cut.select(F.col("doc_id").alias(name), F.col("text_hash").alias(check), F.col("removed").alias(removed))
     own = docs.withColumn(check, F.xxhash64("text"))
     maybe, same = split_by(own, cut, check)
-    keys = cut.hint("merge")
+    keys = grows(cut)
     equal = maybe[check].eqNullSafe(keys[check]) & maybe["doc_id"].cast("long").eqNullSafe(keys[name])
     joined = maybe.join(keys, equal, "left").drop(keys[check])
     kept = same.select(*docs.columns).unionByName(joined.where(F.col(removed).isNull()).select(*docs.columns))
